@@ -56,6 +56,18 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(h + (ends - starts).astype(_U) * _U(0xD1B54A32D192ED03))
 
 
+def run_hash(values: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of values[i:i + k] for every i; equal to range_hash of the same runs."""
+    n = len(values)
+    if n < k:
+        return np.zeros(0, _U)
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, _U)
+    np.cumsum(values * up[:-1], out=total[1:])
+    h = (total[k:] - total[:-k]) * down[: n - k + 1]
+    return mix(h + _U(k * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
+
+
 class Words:
     """Words of a slice of texts: byte starts and ends, fingerprints, and n + 1 offsets of each text's words."""
 

@@ -35,8 +35,8 @@ from quarrylens.llm.kernels import Words, range_hash, winnow
 from quarrylens.llm.repeats import anchors, keyed, merge, repeated, text_classes
 
 WINDOW, PREFIX = 50, 10
-#: Occurrences of a prefix beyond which its group is split further.
-LIMIT = 4096
+#: Occurrences of a prefix beyond which its group is split further: about 50 MB in the task that solves it.
+LIMIT = 32_768
 
 
 def windows_of(raw: np.ndarray, offs: np.ndarray, window: int, prefix: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
         text = w.doc()[at]
         return text, at - w.offs[text], h[at]
 
-    places = scratch.stage(repeated(anchors(docs, choose)), "places")
+    places = scratch.stage(repeated(scratch, anchors(docs, choose)), "places")
     # each repeated text once: the row that has the smallest id
     chosen = docs.join(places.join(classes, ["t1", "t2"]), ["t1", "t2"]).where("doc_id = rep").select("text", "t1", "t2", "doc_id", "at")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import op1_language_id, op5_toxicity, op7_substring_dedup, op8_chat, op9_packing, op10_sharding
+from quarrylens.llm import op1_language_id, op3_suffix_array, op5_toxicity, op7_substring_dedup, op8_chat, op9_packing, op10_sharding
 
 QUERIES = {
     "op1_language_id": op1_language_id.op1_language_id,
+    "op3_suffix_array_dedup": op3_suffix_array.op3_suffix_array_dedup,
     "op5_toxicity": op5_toxicity.op5_toxicity,
     "op7_suffix_tree_dedup": op7_substring_dedup.op7_suffix_tree_dedup,
     "op8_chat_formatting": op8_chat.op8_chat_formatting,

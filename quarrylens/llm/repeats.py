@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import slices, utf8
+from quarrylens.llm.common import Scratch, slices, utf8
 
 #: Stands for a null id where one is needed as a value.
 NO_ID = -(1 << 63)
@@ -54,9 +54,13 @@ def anchors(docs: DataFrame, choose: Callable[[np.ndarray, np.ndarray], tuple[np
     return docs.select("text", "t1", "t2").mapInArrow(run, "a long, t1 long, t2 long, pos int")
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """t1, t2, at: the places (pos, n) of a text's anchors that occur n >= 2 times in all."""
-    often = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+def repeated(scratch: Scratch, found: DataFrame) -> DataFrame:
+    """t1, t2, at: the places (pos, n) of a text's anchors that occur n >= 2 times in all.
+
+    The counts are a table of their own: the join then shuffles both sides, and
+    Spark can split an anchor that very many texts hold.
+    """
+    often = scratch.stage(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "often")
     return found.join(often, "a").groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "n")).alias("at"))
 
 
