@@ -161,17 +161,19 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
     return out
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, limit: int = LIMIT, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, limit: int = LIMIT, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with_text: the kept text (words joined by one space) as well.
 
-    A text of which nothing is removed is given back unchanged.
+    A text of which nothing is removed is given back unchanged. ``carry`` names
+    further columns of docs to return, in a struct ``carried``.
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    base = keyed(docs)
+    base = keyed(docs, carry=carry)
+    kind = dict(base.dtypes).get("carried")
     classes = scratch.stage(text_classes(base.where("doc_id IS NOT NULL")), "classes")
     runs = spans(scratch, base.where("doc_id IS NOT NULL"), classes, window, prefix, limit)
     verdict = classes.where("copies > 1").select("t1", "t2", "rep").join(runs, ["t1", "t2"], "full")
-    joined = base.join(verdict, ["t1", "t2"], "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)).alias("copy"), "runs")
+    joined = base.join(verdict, ["t1", "t2"], "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)).alias("copy"), "runs", *(["carried"] if carry else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,9 +198,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, limit: in
             if with_text:
                 arrays.append(pa.array(cols[3], pa.string()))
                 names.append("kept_text")
+            if carry:
+                arrays.append(b.column(4))
+                names.append("carried")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", carried {kind}" if carry else ""))
 
 
 def op7_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

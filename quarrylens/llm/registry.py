@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import op1_language_id, op3_suffix_array, op5_toxicity, op7_substring_dedup, op8_chat, op9_packing, op10_sharding
+from quarrylens.llm import (
+    op1_language_id,
+    op2_jaccard_join,
+    op3_suffix_array,
+    op4_decontamination,
+    op5_toxicity,
+    op6_embedding_dedup,
+    op7_substring_dedup,
+    op8_chat,
+    op9_packing,
+    op10_sharding,
+)
 
 QUERIES = {
     "op1_language_id": op1_language_id.op1_language_id,
+    "op2_partenum_join": op2_jaccard_join.op2_partenum_join,
     "op3_suffix_array_dedup": op3_suffix_array.op3_suffix_array_dedup,
+    "op4_minhash_containment": op4_decontamination.op4_minhash_containment,
     "op5_toxicity": op5_toxicity.op5_toxicity,
+    "op6_hyperplane_neardup": op6_embedding_dedup.op6_hyperplane_neardup,
     "op7_suffix_tree_dedup": op7_substring_dedup.op7_suffix_tree_dedup,
     "op8_chat_formatting": op8_chat.op8_chat_formatting,
     "op9_cost_balanced_packing": op9_packing.op9_cost_balanced_packing,
@@ -15,6 +29,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_partenum_join": op2_jaccard_join.ORACLE,
+    "op6_hyperplane_neardup": op6_embedding_dedup.ORACLE,
     "op7_suffix_tree_dedup": op7_substring_dedup.ORACLE,
     "op8_chat_formatting": op8_chat.ORACLE,
 }

@@ -22,15 +22,15 @@ from quarrylens.llm.common import Scratch, slices, utf8
 NO_ID = -(1 << 63)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (null: empty), t1 and t2: two hashes of the text, which stand for it."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (null: empty), t1 and t2: two hashes of the text, which stand for it; carried: a struct of the columns to carry."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), *([F.struct(*carry).alias("carried")] if carry else []))
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """One row per text: t1, t2, rep (smallest id), copies. Combined before the shuffle."""
-    return docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    """One row per text: t1, t2, rep (smallest id), copies, size (bytes). Combined before the shuffle."""
+    return docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("size"))
 
 
 def anchors(docs: DataFrame, choose: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
