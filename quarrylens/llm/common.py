@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -76,8 +77,10 @@ class Scratch:
 
     def sweep(self) -> None:
         """Let Spark's cleaner delete the shuffle files of finished jobs now rather than at some later collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(3):  # references from Python go first, then what they held
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 # --------------------------------------------------------------------------- Arrow text
@@ -107,6 +110,29 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(key, rows) of each run of equal values of the first ``keys`` (integer) columns of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple[int, ...] | None = None
+    for b in batches:
+        cols = [np.asarray(b.column(k)) for k in range(keys)]
+        change = np.zeros(len(b), bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        edge = [0, *np.flatnonzero(change).tolist(), len(b)]
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            if s == e:
+                continue
+            key = tuple(int(c[s]) for c in cols)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(s, e - s))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
+
+
 def crc_mod(id_col: str, m: int):
     """crc32 of the id written as text, modulo m."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(m)

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import Scratch, components
+from quarrylens.llm.common import Scratch, components, units
 
-THRESHOLD, RECALL, PER_BUCKET, BLOCK, SEED = 0.95, 0.999, 8, 256, 20240501
+THRESHOLD, RECALL, PER_BUCKET, BLOCK, SEED = 0.95, 0.999, 64, 256, 20240501
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -121,12 +121,10 @@ def neardup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     unit = ["dim", "table", "sig", "lo", "hi"]
     sorted_units = dealt.repartition(*unit).sortWithinPartitions(*unit)
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last: tuple | None = None
-
-        def solve(key: tuple) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in units(batches, len(unit)):
+            if len(t) < 2:
+                continue
             ids, weight, side = (np.asarray(t.column(k).combine_chunks()) for k in ("rep", "copies", "own"))
             x = np.asarray(t.column("e").combine_chunks().flatten()).reshape(len(ids), -1).astype(np.float64)
             x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -134,7 +132,7 @@ def neardup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
             sigs = np.asarray(t.column("sigs").combine_chunks().flatten()).reshape(len(ids), -1)
             gain, a, b = compare(ids, weight, x, sigs, key[1], side, key[3] != key[4], threshold)
             rows = np.flatnonzero(gain)
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([ids[rows], a])),
                     pa.array(np.concatenate([ids[rows], b])),
@@ -143,26 +141,7 @@ def neardup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
                 ["a", "b", "links"],
             )
 
-        for b in batches:
-            keys = [np.asarray(b.column(k)) for k in range(5)]
-            change = np.zeros(len(b), bool)
-            for k in keys:
-                change[1:] |= k[1:] != k[:-1]
-            edge = [0, *np.flatnonzero(change).tolist(), len(b)]
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if s == e:
-                    continue
-                key = tuple(int(k[s]) for k in keys)
-                if held and key != last:
-                    if sum(map(len, held)) > 1:
-                        yield solve(last)
-                    held = []
-                held.append(b.slice(s, e - s))
-                last = key
-        if held and sum(map(len, held)) > 1:
-            yield solve(last)
-
-    found = scratch.stage(sorted_units.mapInArrow(units, "a long, b long, links long"), "found")
+    found = scratch.stage(sorted_units.mapInArrow(solve, "a long, b long, links long"), "found")
     scratch.sweep()
     linked = components(scratch, found.where("a <> b"))
     counts = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
