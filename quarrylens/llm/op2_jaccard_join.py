@@ -13,8 +13,8 @@ partition), of which the n - ceil(3n/4) + 1 smallest suffice.
 Signatures travel as packed blocks - one row for each slice of the signature
 space and batch of documents, 8 bytes a signature - and are sorted in numpy.
 Sets under one signature yield a star of candidate pairs (the smallest with each
-other one), so a group of g near copies gives g - 1 pairs. Candidates are
-verified on whole sets. Where a star's leaf fails against its centre, it is
+other one), so a group of g near copies gives g - 1 pairs. Candidates that
+bitmaps of the sets don't rule out are verified on whole sets. Where a star's leaf fails against its centre, it is
 compared with the star's other leaves of other components; every pair that
 shares a signature is so either compared or known to be in one component.
 
@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import Scratch, components, slices, utf8
+from quarrylens.llm.common import Scratch, components, slices, units, utf8
 from quarrylens.llm.kernels import Words, mix, shingle_sets
 from quarrylens.llm.repeats import keyed, text_classes
 
 SHINGLE, SMALL = 5, 64
 #: Text bytes for each slice of the signature space, and slices at least.
 SLICE_TEXT, MIN_SLICES = 16 << 20, 48
+#: Leaves of a star that one block holds.
+STAR_BLOCK = 256
 #: Text bytes whose signatures form one packed block.
 BLOCK_TEXT = 6 << 20
 _U = np.uint64
@@ -182,6 +184,38 @@ def stars(blocks: DataFrame) -> DataFrame:
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long").distinct()
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """A bit for each feature, by its low bits; 8 to 16 bits a feature."""
+    m = max(256, 1 << int(8 * len(h) - 1).bit_length())
+    bits = np.zeros(m, np.uint8)
+    bits[(h & _U(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ, the longer one folded: a lower bound of the features in which their sets differ."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that bitmaps don't rule out. J >= 3/4 means at most a seventh of both sizes in differences, so none is lost."""
+    half = sets.select("t1", "n", "bits")
+    left, right = (half.select(F.col("t1").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            keep = [7 * differing(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) <= n for x, y, n in zip(b.column(4), b.column(5), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], ["a", "b", "maybe"])
+
+    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "na", "nb", "xa", "xb")
+    return both.mapInArrow(run, "a long, b long, maybe boolean")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with linked: whether 100 * |intersection| >= 75 * |union|."""
     left, right = sets.select(F.col("t1").alias("a"), F.col("set").alias("x")), sets.select(F.col("t1").alias("b"), F.col("set").alias("y"))
@@ -202,20 +236,83 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def close_bitmaps(size: np.ndarray, bits: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x[i], y[i]) of rows the bitmaps don't rule out."""
+    keep = np.zeros(len(x), bool)
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(np.minimum(width[x], width[y])):
+        rows = np.flatnonzero((width == w) | (width == 2 * w))
+        at = np.full(len(bits), -1, np.int64)
+        at[rows] = np.arange(len(rows))
+        table = np.stack([bits[r] if width[r] == w else bits[r][:w] | bits[r][w:] for r in rows])
+        mine = np.flatnonzero((np.minimum(width[x], width[y]) == w) & (at[x] >= 0) & (at[y] >= 0))
+        for s in range(0, len(mine), 16384):
+            m = mine[s : s + 16384]
+            apart = np.bitwise_count(table[at[x[m]]] ^ table[at[y[m]]]).sum(axis=1, dtype=np.int64)
+            keep[m] = 7 * apart <= size[x[m]] + size[y[m]]
+    return keep
+
+
+def unlinked_leaves(leaves: DataFrame, sets: DataFrame, block: int = STAR_BLOCK) -> DataFrame:
+    """Pairs (a, b) of leaves of one star and different components, one of them not linked to the centre, that bitmaps don't rule out.
+
+    leaves: a (centre), b, linked, c (component). Large stars are dealt into
+    blocks, and each pair of blocks is a unit, in which all is compared in
+    place: only the pairs that remain are emitted.
+    """
+    stars_left = leaves.groupBy("a").agg(F.count("*").alias("k"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("bad")).where("bad > 0 AND k > 1")
+    rows = leaves.join(stars_left.select("a", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "a")
+    rows = rows.join(sets.select(F.col("t1").alias("b"), "n", "bits"), "b").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "a", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "b", "linked", "c", "n", "bits"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, lo, hi), t in units(batches, 3):
+            col = lambda k: np.asarray(t.column(k).combine_chunks())  # noqa: B023, E731
+            own, node, comp, n = col("own"), col("b"), col("c"), col("n")
+            linked = t.column("linked").combine_chunks().to_numpy(zero_copy_only=False)
+            ok = (comp[:, None] != comp[None, :]) & ~(linked[:, None] & linked[None, :]) & (node[:, None] < node[None, :])
+            ok &= 4 * np.minimum(n[:, None], n[None, :]) >= 3 * np.maximum(n[:, None], n[None, :])
+            if lo != hi:
+                ok &= own[:, None] != own[None, :]
+            x, y = np.nonzero(ok)
+            if not len(x):
+                continue
+            bits = [np.frombuffer(v.as_buffer(), _U) for v in t.column("bits").combine_chunks()]
+            keep = close_bitmaps(n, bits, x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(node[x[keep]]), pa.array(node[y[keep]])], ["a", "b"])
+
+    return dealt.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def tested(scratch: Scratch, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """pairs with linked, staged: by bitmaps, then by whole sets."""
+    screened = scratch.stage(possible(pairs, sets), f"{name}-screened")
+    checked = verified(screened.where("maybe"), sets)
+    return scratch.stage(checked.union(screened.where("NOT maybe").select("a", "b", F.lit(False).alias("linked"))), name)
+
+
 def sets_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """t1, set (sorted int64 fingerprints) of each node (t1, rep), from the row that has the smallest id."""
+    """t1, n, bits, set (sorted int64 fingerprints) of each node (t1, rep), from the row that has the smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = utf8(b.column(0))
             for i, j in slices(offs):
                 h, cut = sets_of(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                h = h.view(np.int64)
-                # signed order, as int64 values are compared later
-                body = [np.sort(h[p:q]).tobytes() for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(body, pa.binary())], ["t1", "set"])
+                each = [h[p:q] for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(1).slice(i, j - i),
+                        pa.array(np.diff(cut)),
+                        pa.array([bitmap(x) for x in each], pa.binary()),
+                        pa.array([np.sort(x.view(np.int64)).tobytes() for x in each], pa.binary()),
+                    ],
+                    ["t1", "n", "bits", "set"],
+                )
 
-    return docs.join(nodes, "t1").where("doc_id = rep").select("text", "t1").mapInArrow(run, "t1 long, set binary").dropDuplicates(["t1"])
+    return docs.join(nodes, "t1").where("doc_id = rep").select("text", "t1").mapInArrow(run, "t1 long, n long, bits binary, set binary")
 
 
 def link_components(scratch: Scratch, docs: DataFrame, classes: DataFrame, total_bytes: int) -> DataFrame:
@@ -225,25 +322,22 @@ def link_components(scratch: Scratch, docs: DataFrame, classes: DataFrame, total
     near = pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct().join(classes.select("t1", "rep"), "t1")
     sets = scratch.stage(sets_table(docs, near), "sets")
     scratch.sweep()
-    tested = scratch.stage(verified(pairs, sets), "tested")
+    first_round = tested(scratch, pairs, sets, "tested")
     scratch.drop(pairs)
+    scratch.sweep()
 
     def edges(t: DataFrame) -> DataFrame:
         ids = classes.select("t1", "rep")
         return t.where("linked").join(ids.select(F.col("t1").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("t1").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
-    first = edges(tested)
+    first = edges(first_round)
     joined = scratch.stage(components(scratch, first), "components")
     # leaves that failed, against the other leaves of their star, unless in one component by now
     by_text = joined.join(classes.select("t1", F.col("rep").alias("node")), "node").select(F.col("t1").alias("b"), "component")
-    leaves = tested.join(by_text, "b", "left").select("a", "b", "linked", F.coalesce("component", F.col("b")).alias("c"))
-    failed = leaves.where("NOT linked").select("a", F.col("b").alias("x"), F.col("c").alias("cx"))
-    rest = (
-        failed.join(leaves.select("a", F.col("b").alias("y"), "linked", F.col("c").alias("cy")), "a")
-        .where("cx <> cy AND (linked OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
-    rest = scratch.stage(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    again = scratch.stage(verified(rest, sets), "again").where("linked")
+    leaves = first_round.join(by_text, "b", "left").select("a", "b", "linked", F.coalesce("component", F.col("b")).alias("c"))
+    rest = unlinked_leaves(leaves, sets).distinct()
+    rest = scratch.stage(rest.join(first_round.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    again = tested(scratch, rest, sets, "again").where("linked")
     if not again.head(1):
         return joined
     return components(scratch, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges(again)))
