@@ -1,4 +1,384 @@
 """All queries over the driver's tables, by name, and the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylens.functions import scalars
+from quarrylens.operators import analytics, lookups, rules, timeseries
+from quarrylens.sources import sinks, tables
+from quarrylens.streaming import monitor
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+NOW = "1999-01-01 00:00:00"
+
+#: Findings as tables.order_findings makes them.
+ORDERS = """(SELECT o_custkey AS target, o_orderkey AS seq, o_orderstatus || '-' || strftime(o_orderdate, '%m') AS rule,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' ELSE 'info' END AS severity,
+  (o_orderkey % 10) / 10.0 AS confidence, 'f' || (o_orderkey % 97)::VARCHAR AS file, o_orderkey % 31 AS line, o_orderdate, 'order ' || o_orderkey::VARCHAR AS description FROM orders)"""
+WEIGHT = "CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 5 WHEN 'low' THEN 2 ELSE 1 END"
+DIMENSION = "CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 WHEN 'low' THEN 1 ELSE 0 END"
+RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
+LEVEL = "CASE WHEN score <= 0 THEN 'clean' WHEN score <= 10 THEN 'low' WHEN score <= 30 THEN 'medium' WHEN score <= 60 THEN 'high' ELSE 'critical' END"
+LINES = "(SELECT doc_id, source || '/' || doc_id::VARCHAR AS path, source, i AS line, ls[i] AS content FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)))"
+HITS = f"""(SELECT path, source, line, r.rule, r.severity, r.confidence FROM {LINES} l JOIN (VALUES
+  ('ADDRESS_IPV4', 'medium', 0.7, '(^|[^0-9.])([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}([^0-9.]|$)'),
+  ('CONTACT_EMAIL', 'low', 0.6, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+'),
+  ('SECRET_TOKEN_ASSIGNED', 'critical', 0.9, '(token|key|secret|password) *= *"[0-9a-f]{{40}}"'),
+  ('LICENSE_NOTICE', 'info', 0.9, 'Licensed under the ')) r(rule, severity, confidence, pattern) ON regexp_matches(l.content, r.pattern))"""
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return rules.line_hits(tables.files(spark, d))
+
+
+# ------------------------------------------------------------------ text rules
+@query(f"SELECT path, line::INT AS line, rule, severity FROM {HITS}")
+def line_rule_hits(spark, d):
+    return _hits(spark, d).select("path", "line", "rule", "severity")
+
+
+@query(f"SELECT path, rule, min(line)::INT AS line FROM {HITS} GROUP BY 1, 2")
+def first_hit_per_file_rule(spark, d):
+    return rules.first_hits(_hits(spark, d))
+
+
+@query(f"""SELECT path, line::INT AS line, 'LICENSE_THEN_LINE' AS rule FROM (
+  SELECT path, line, content, lead(content) OVER (PARTITION BY path ORDER BY line) AS nxt FROM {LINES})
+  WHERE regexp_matches(content || chr(10) || nxt, '[a-z]\\.\\n(The|Licensed) ')""")
+def windowed_rule_hits(spark, d):
+    rule = rules.Rule("LICENSE_THEN_LINE", "low", r"[a-z]\.\n(The|Licensed) ", spans=2)
+    return rules.line_hits(tables.files(spark, d), (rule,)).select("path", "line", "rule")
+
+
+@query(f"""SELECT path, line::INT AS line, rule FROM {HITS} WHERE rule = 'CONTACT_EMAIL' AND regexp_matches(path, '^src1') AND NOT regexp_matches(path, '7$')""")
+def file_guarded_hits(spark, d):
+    mail = next(r for r in rules.DEFAULT if r.id == "CONTACT_EMAIL")
+    guarded = rules.Rule(mail.id, mail.severity, mail.pattern, mail.confidence, only_path="^src1", not_path="7$")
+    return rules.line_hits(tables.files(spark, d), (guarded,)).select("path", "line", "rule")
+
+
+@query(f"""SELECT source, least(100, sum(w))::BIGINT AS score, CASE WHEN least(100, sum(w)) <= 10 THEN 'low' WHEN least(100, sum(w)) <= 30 THEN 'medium' WHEN least(100, sum(w)) <= 60 THEN 'high' ELSE 'critical' END AS level
+  FROM (SELECT source, rule, max({WEIGHT}) AS w FROM {HITS} GROUP BY 1, 2) GROUP BY 1""")
+def risk_by_source(spark, d):
+    hits = _hits(spark, d).withColumn("target", F.regexp_extract("path", "^([^/]*)/", 1))
+    return analytics.score_by_target(hits).withColumnRenamed("target", "source")
+
+
+@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY path, rule ORDER BY line) AS rn FROM {HITS}),
+  b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY {RANK} DESC, line, rule) AS rf FROM a WHERE rn <= 2)
+  SELECT path, line::INT AS line, rule FROM b WHERE rf <= 2""")
+def per_file_caps(spark, d):
+    return rules.capped(_hits(spark, d), per_rule=2, per_file=3).select("path", "line", "rule")
+
+
+@query(f"""SELECT h.path, h.line::INT AS line, h.rule FROM {HITS} h WHERE NOT EXISTS (
+  SELECT 1 FROM {LINES} l WHERE l.path = h.path AND l.line = h.line - 1 AND regexp_extract(l.content, '(?:#|//) *ignore: *([A-Z0-9_]+)', 1) = h.rule)""")
+def inline_suppression(spark, d):
+    files = tables.files(spark, d)
+    return rules.not_suppressed(rules.line_hits(files), rules.lines(files)).select("path", "line", "rule")
+
+
+@query(f"""SELECT path, line::INT AS line, ip, CASE
+    WHEN NOT (a <= 255 AND b <= 255 AND c <= 255 AND e <= 255) OR regexp_matches('.' || ip, '\\.0[0-9]') THEN 'invalid'
+    WHEN a = 127 OR a = 0 THEN 'loopback'
+    WHEN a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) THEN 'private'
+    WHEN (a = 192 AND b = 0 AND c = 2) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) THEN 'documentation'
+    ELSE 'public' END AS class
+  FROM (SELECT path, line, ip, split_part(ip, '.', 1)::INT AS a, split_part(ip, '.', 2)::INT AS b, split_part(ip, '.', 3)::INT AS c, split_part(ip, '.', 4)::INT AS e
+    FROM (SELECT path, line, regexp_extract(content, '[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}') AS ip FROM {LINES}) WHERE ip <> '')""")
+def ip_classification(spark, d):
+    ip = F.regexp_extract("content", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0)
+    found = rules.lines(tables.files(spark, d)).select("path", "line", ip.alias("ip")).where("ip <> ''")
+    return found.withColumn("class", scalars.ipv4_class(F.col("ip")))
+
+
+@query("""SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, count(*)::BIGINT AS n FROM pages GROUP BY 1""")
+def url_hosts(spark, d):
+    pages = tables.table(spark, d, "pages")
+    return pages.groupBy(scalars.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM (
+  SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (
+    SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY 1, 2)) GROUP BY 1""")
+def file_entropy(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", F.round(scalars.byte_entropy("text"), 6).alias("entropy"))
+
+
+# ------------------------------------------------------------------ aggregates
+@query(f"""SELECT target, count(*)::BIGINT AS total, (count(*) FILTER (severity = 'critical'))::BIGINT AS critical, (count(*) FILTER (severity = 'high'))::BIGINT AS high,
+  (count(*) FILTER (severity = 'medium'))::BIGINT AS medium, (count(*) FILTER (severity = 'low'))::BIGINT AS low, (count(*) FILTER (severity = 'info'))::BIGINT AS info FROM {ORDERS} GROUP BY 1""")
+def severity_summary(spark, d):
+    return analytics.severity_summary(tables.order_findings(spark, d), "target")
+
+
+@query(f"SELECT *, {LEVEL} AS level FROM (SELECT target, least(100, sum(w))::BIGINT AS score FROM (SELECT target, rule, max({WEIGHT}) AS w FROM {ORDERS} GROUP BY 1, 2) GROUP BY 1)")
+def risk_score_by_target(spark, d):
+    return analytics.score_by_target(tables.order_findings(spark, d))
+
+
+@query(f"SELECT target, least(100, sum({WEIGHT}))::BIGINT AS score FROM {ORDERS} GROUP BY 1")
+def registry_score(spark, d):
+    return analytics.plain_score(tables.order_findings(spark, d))
+
+
+@query(f"SELECT level, count(*)::BIGINT AS n FROM (SELECT {LEVEL} AS level FROM (SELECT target, least(100, sum(w)) AS score FROM (SELECT target, rule, max({WEIGHT}) AS w FROM {ORDERS} GROUP BY 1, 2) GROUP BY 1)) GROUP BY 1")
+def risk_level_bands(spark, d):
+    return analytics.score_by_target(tables.order_findings(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT *, floor(round((0.35 * repo + 0.30 * code + 0.20 * dependency + 0.15 * pipeline)::DOUBLE, 6) + 0.5)::BIGINT AS overall FROM (
+  SELECT target, {", ".join(f"least(100, floor(round(sum(CASE WHEN regexp_matches(rule, '{p}') THEN ({DIMENSION}) * confidence ELSE 0.0 END), 6) + 0.5))::BIGINT AS {n}" for n, p in (("repo", "^O"), ("code", "^F"), ("dependency", "^P"), ("pipeline", "-0[1-6]")))}
+  FROM (SELECT * REPLACE (confidence::DOUBLE AS confidence) FROM {ORDERS}) GROUP BY 1)""")
+def risk_dimensions(spark, d):
+    return analytics.dimensions(tables.order_findings(spark, d), {"repo": "^O", "code": "^F", "dependency": "^P", "pipeline": "-0[1-6]"})
+
+
+@query(f"""SELECT target, greatest(0, 100 - least(60, 20 * count(*) FILTER (rule LIKE 'F%' AND severity = 'critical')) - least(30, 10 * count(*) FILTER (rule LIKE 'F%' AND severity = 'high')))::BIGINT AS code,
+  greatest(0, 100 - least(30, 10 * count(*) FILTER (rule LIKE 'O%')))::BIGINT AS dependency, greatest(0, 100 - least(50, 15 * count(*) FILTER (rule LIKE 'P%')))::BIGINT AS release FROM {ORDERS} GROUP BY 1""")
+def trust_breakdown(spark, d):
+    return analytics.trust(tables.order_findings(spark, d), "^F", "^O", "^P")
+
+
+CLUSTERS = [("spring", "O-03", False, 2, True), ("spring", "O-04", True, 2, True), ("spring", "F-03", False, 2, True), ("winter", "F-12", False, 2, False), ("winter", "F-01", False, 2, False), ("winter", "O-12", False, 2, False)]
+
+
+@query(f"""SELECT target, cluster, count(DISTINCT o.rule)::BIGINT AS n_rules, round(avg(confidence), 6)::DOUBLE AS confidence
+  FROM (SELECT * REPLACE (confidence::DOUBLE AS confidence) FROM {ORDERS}) o JOIN (VALUES {", ".join(f"('{c}', '{r}', {q}, {m}, {n})" for c, r, q, m, n in CLUSTERS)}) c(cluster, rule, required, min_match, needs_any) ON o.rule = c.rule
+  GROUP BY 1, 2 HAVING count(DISTINCT o.rule) >= max(min_match) AND (bool_or(required) OR NOT bool_or(needs_any))""")
+def incident_clusters(spark, d):
+    clusters = spark.createDataFrame(CLUSTERS, "cluster string, rule string, required boolean, min_match int, needs_any boolean")
+    return analytics.incidents(tables.order_findings(spark, d), clusters).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"SELECT rule, count(DISTINCT target)::BIGINT AS n_targets, least(1.0, 0.5 + 0.1 * count(DISTINCT target))::DOUBLE AS confidence FROM {ORDERS} GROUP BY 1 HAVING count(DISTINCT target) >= 3")
+def org_shared_rules(spark, d):
+    return analytics.shared_rules(tables.order_findings(spark, d))
+
+
+@query(f"SELECT rule, n_targets, all_targets FROM (SELECT rule, count(DISTINCT target)::BIGINT AS n_targets FROM {ORDERS} GROUP BY 1), (SELECT count(DISTINCT target)::BIGINT AS all_targets FROM {ORDERS}) WHERE n_targets >= 3 AND 2 * n_targets >= all_targets")
+def posture_systemic_rules(spark, d):
+    return analytics.systemic_rules(tables.order_findings(spark, d))
+
+
+@query(f"SELECT rule, count(*)::BIGINT AS n, min(seq)::BIGINT AS first_seq FROM {ORDERS} GROUP BY 1 ORDER BY n DESC, first_seq LIMIT 5")
+def topk_rules(spark, d):
+    return analytics.top_rules(tables.order_findings(spark, d))
+
+
+@query(f"SELECT target, least(100, sum({WEIGHT}))::BIGINT AS score FROM {ORDERS} GROUP BY 1 ORDER BY score DESC, target LIMIT 10")
+def topk_repos(spark, d):
+    return analytics.top_targets(analytics.plain_score(tables.order_findings(spark, d)))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def feed_stats_grouping_sets(spark, d):
+    o = tables.table(spark, d, "orders")
+    return o.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+DECISIONS = "(SELECT 'F-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS rule, CASE WHEN quality = 1 AND toxic = 1 THEN 'resolved' WHEN toxic = 1 THEN 'false-positive' WHEN quality = 0 THEN 'new' ELSE 'accepted' END AS status, doc_id AS target FROM labels)"
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda c: F.col(c) == 1
+    status = F.when(one("quality") & one("toxic"), "resolved").when(one("toxic"), "false-positive").when(F.col("quality") == 0, "new").otherwise("accepted")
+    return tables.table(spark, d, "labels").select(F.format_string("F-%02d", F.col("doc_id") % 12 + 1).alias("rule"), status.alias("status"), F.col("doc_id").alias("target"))
+
+
+@query(f"""SELECT (count(*) FILTER (severity = 'critical'))::BIGINT AS open_critical, (count(*) FILTER (severity = 'high'))::BIGINT AS open_high,
+  (SELECT CASE WHEN count(*) FILTER (status <> 'new') = 0 THEN 100 ELSE floor(100.0 * count(*) FILTER (status IN ('resolved', 'false-positive')) / count(*) FILTER (status <> 'new') + 0.5) END::BIGINT FROM {DECISIONS}) AS resolution_rate
+  FROM {ORDERS} WHERE rule NOT IN (SELECT rule FROM {DECISIONS} WHERE status = 'resolved')""")
+def security_metrics(spark, d):
+    return analytics.metrics(tables.order_findings(spark, d), _decisions(spark, d))
+
+
+@query(f"SELECT target, CASE max({RANK}) WHEN 4 THEN 2 WHEN 3 THEN 1 ELSE 0 END::INT AS exit_code FROM {ORDERS} GROUP BY 1")
+def exit_verdict(spark, d):
+    return analytics.verdict(tables.order_findings(spark, d))
+
+
+@query(f"SELECT rule, arg_min(description, seq) AS description, min(seq)::BIGINT AS first_seq, CASE WHEN max({RANK}) >= 3 THEN 'error' WHEN max({RANK}) = 2 THEN 'warning' ELSE 'note' END AS level FROM {ORDERS} GROUP BY 1")
+def sarif_rules(spark, d):
+    return analytics.sarif_rules(tables.order_findings(spark, d))
+
+
+# ------------------------------------------------------------------ joins
+def _deps(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "lineitem").join(tables.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", "l_linenumber", F.col("p_name").alias("name"), F.col("l_quantity").cast("int").cast("string").alias("version")
+    )
+
+
+@query("""WITH names AS (SELECT p_name AS name, dense_rank() OVER (ORDER BY p_name) AS k FROM (SELECT DISTINCT p_name FROM part)),
+  feed AS (SELECT k * 2 AS pos, name, (k % 5 + 1)::VARCHAR AS version FROM names WHERE k % 2 = 0 UNION ALL SELECT k * 2 + 1, name, NULL FROM names WHERE k % 3 = 0),
+  hits AS (SELECT l_orderkey, l_linenumber, p_name AS name, pos, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY pos) AS rn
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN feed ON feed.name = p_name AND (feed.version IS NULL OR feed.version = l_quantity::INT::VARCHAR))
+  SELECT l_orderkey, l_linenumber, name, pos::INT AS pos FROM hits WHERE rn = 1""")
+def ioc_prefixed_match(spark, d):
+    from pyspark.sql.window import Window
+
+    names = tables.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("k", F.dense_rank().over(Window.orderBy("name")))
+    pinned = names.where("k % 2 = 0").select((F.col("k") * 2).alias("pos"), "name", (F.col("k") % 5 + 1).cast("string").alias("version"))
+    bare = names.where("k % 3 = 0").select((F.col("k") * 2 + 1).alias("pos"), "name", F.lit(None).cast("string").alias("version"))
+    return lookups.first_indicator(_deps(spark, d), pinned.union(bare), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "name", "pos")
+
+
+@query("""SELECT l_orderkey, l_linenumber, p_name AS name, l_quantity::INT::VARCHAR AS version FROM lineitem JOIN part ON l_partkey = p_partkey
+  JOIN (SELECT DISTINCT p_name AS name, (length(p_name) % 7 + 1)::VARCHAR AS version FROM part) b ON b.name = p_name AND b.version = l_quantity::INT::VARCHAR""")
+def known_bad_version(spark, d):
+    bad = tables.table(spark, d, "part").select(F.col("p_name").alias("name"), (F.length("p_name") % 7 + 1).cast("string").alias("version")).distinct()
+    return lookups.bad_versions(_deps(spark, d), bad).select("l_orderkey", "l_linenumber", "name", "version")
+
+
+@query("SELECT sha256(text) AS digest, count(*)::BIGINT AS n, min(source || '/' || doc_id::VARCHAR) AS first_path FROM documents GROUP BY 1 HAVING count(*) > 1")
+def digest_match(spark, d):
+    return lookups.digest_groups(tables.files(spark, d))
+
+
+@query(f"""SELECT DISTINCT path, line::INT AS line, digest FROM (
+  SELECT path, line, sha256(chr(10) || lower(regexp_replace(token, '[._-]+$', ''))) AS digest, length(regexp_replace(token, '[._-]+$', '')) AS n
+  FROM (SELECT path, line, unnest(regexp_extract_all(content, '[A-Za-z0-9][A-Za-z0-9._-]*')) AS token FROM {LINES}))
+  WHERE n BETWEEN 2 AND 200 AND digest IN (sha256(chr(10) || 'token'), sha256(chr(10) || 'apache'), sha256(chr(10) || 'idiot'))""")
+def hashed_deny_terms(spark, d):
+    terms = spark.createDataFrame([("token",), ("apache",), ("idiot",)], "t string").select(F.sha2(F.concat(F.lit("\n"), "t"), 256).alias("digest"))
+    return lookups.deny_terms(rules.lines(tables.files(spark, d)), terms).select("path", "line", "digest")
+
+
+@query("""SELECT DISTINCT x.p_brand AS a, y.p_brand AS b FROM part x JOIN part y ON x.p_brand < y.p_brand AND damerau_levenshtein(x.p_brand, y.p_brand) <= 1""")
+def similar_dependency_pairs(spark, d):
+    return lookups.similar_pairs(tables.table(spark, d, "part").select(F.col("p_brand").alias("name")))
+
+
+@query("""SELECT DISTINCT p_brand AS name, 'Brand#11' AS target FROM part WHERE p_brand <> 'Brand#11' AND damerau_levenshtein(p_brand, 'Brand#11') <= 1""")
+def typosquat_similar(spark, d):
+    return lookups.similar_names(tables.table(spark, d, "part").select(F.col("p_brand").alias("name")).distinct(), ["Brand#11"])
+
+
+@query(f"SELECT seq::BIGINT AS seq, rule FROM {ORDERS} o WHERE NOT EXISTS (SELECT 1 FROM {ORDERS} b WHERE b.seq % 3 = 0 AND b.rule = o.rule AND b.file = o.file AND b.line = o.line)")
+def baseline_anti(spark, d):
+    f = tables.order_findings(spark, d)
+    return lookups.minus_baseline(f, f.where("seq % 3 = 0").select("rule", "file", "line")).select("seq", "rule")
+
+
+@query(f"SELECT seq::BIGINT AS seq, rule, CASE WHEN rule = 'O-05' THEN 'low' WHEN rule = 'F-02' THEN 'high' ELSE severity END AS severity FROM {ORDERS} WHERE rule NOT IN ('P-03', 'F-07')")
+def policy_filter(spark, d):
+    return lookups.apply_policy(tables.order_findings(spark, d), ["P-03", "F-07"], {"O-05": "low", "F-02": "high"}).select("seq", "rule", "severity")
+
+
+@query(f"SELECT seq::BIGINT AS seq, file FROM {ORDERS} WHERE file IN (SELECT 'f' || (l_orderkey % 97)::VARCHAR FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7)")
+def changed_semi(spark, d):
+    changed = tables.table(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 7").select(F.concat(F.lit("f"), (F.col("l_orderkey") % 97).cast("string")).alias("file"))
+    return lookups.changed_only(tables.order_findings(spark, d), changed).select("seq", "file")
+
+
+@query(f"SELECT seq::BIGINT AS seq, target::BIGINT AS target FROM {ORDERS} WHERE severity = 'critical' AND target NOT IN (SELECT doc_id FROM labels)")
+def unowned_critical(spark, d):
+    return lookups.unowned_critical(tables.order_findings(spark, d), _decisions(spark, d)).select("seq", "target")
+
+
+@query("SELECT p_partkey, p_name AS name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
+def orphans(spark, d):
+    part = tables.table(spark, d, "part").select("p_partkey", "p_name", F.col("p_partkey").alias("name"))
+    used = tables.table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("name"))
+    return lookups.orphans(part, used).select("p_partkey", F.col("p_name").alias("name"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey // 2 AS b FROM nation WHERE n_nationkey > 0),
+  r AS (SELECT a, b, 1 AS depth FROM e UNION ALL SELECT r.a, e.b, depth + 1 FROM r JOIN e ON r.b = e.a)
+  SELECT a, b, depth::INT AS depth FROM r""")
+def transitive_needs(spark, d):
+    tables.table(spark, d, "nation").createOrReplaceTempView("quarrylens_nation")
+    return spark.sql("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey DIV 2 AS b FROM quarrylens_nation WHERE n_nationkey > 0),
+      r AS (SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, 1 AS depth FROM e UNION ALL SELECT r.a, CAST(e.b AS INT), depth + 1 FROM r JOIN e ON r.b = e.a)
+      SELECT a, b, depth FROM r""")
+
+
+# ------------------------------------------------------------------ time
+@query("""SELECT o_custkey, o_orderkey, round(gap, 6) AS gap_days FROM (
+  SELECT o_custkey, o_orderkey, (epoch(o_orderdate) - epoch(lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))) / 86400.0 AS gap FROM orders) WHERE gap > 730""")
+def version_diff(spark, d):
+    out = timeseries.version_gaps(tables.table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    return out.select("o_custkey", "o_orderkey", F.round("gap_days", 6).alias("gap_days"))
+
+
+DAILY = "(SELECT user_id, date_trunc('day', ts)::DATE AS day, count(*)::BIGINT * 20 AS score FROM events GROUP BY 1, 2)"
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg((F.count("*") * 20).alias("score"))
+
+
+@query(f"""SELECT user_id, day, score, coalesce(score > 2 * p1 AND score > 30, false) AS spike,
+  coalesce(rn >= 10 AND a5 > 1.3 * b5 AND a5 > 20, false) AS increasing, rn >= 5 AND m5 > 50 AS stagnation,
+  CASE WHEN score - p2 > 5 THEN 'increasing' WHEN score - p2 < -5 THEN 'decreasing' ELSE 'stable' END AS direction
+  FROM (SELECT *, lag(score) OVER w AS p1, lag(score, 2) OVER w AS p2, row_number() OVER w AS rn,
+    avg(score) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a5,
+    avg(score) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) AS b5,
+    min(score) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m5
+    FROM {DAILY} WINDOW w AS (PARTITION BY user_id ORDER BY day))""")
+def history_trend(spark, d):
+    return timeseries.trend(_daily(spark, d), "user_id", "day", "score")
+
+
+@query(f"""SELECT user_id, count(*)::BIGINT AS n, arg_max(score, day)::DOUBLE AS current, round(regr_slope(score::DOUBLE, -bk::DOUBLE), 6) AS slope,
+  round(arg_max(score, day) + 5 * regr_slope(score::DOUBLE, -bk::DOUBLE), 6) AS ahead
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS bk FROM {DAILY}) WHERE bk <= 10 GROUP BY 1 HAVING count(*) > 1""")
+def history_forecast(spark, d):
+    out = timeseries.forecast(_daily(spark, d), "user_id", "day", "score").where("n > 1")
+    return out.select("user_id", "n", "current", F.round("slope", 6).alias("slope"), F.round("ahead", 6).alias("ahead"))
+
+
+@query(f"""SELECT seq::BIGINT AS seq, CASE WHEN age > lim THEN 'breached' WHEN age > 0.8 * lim THEN 'at-risk' ELSE 'ok' END AS state FROM (
+  SELECT seq, (epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate)) / 3600.0 AS age, CASE severity WHEN 'critical' THEN 24 WHEN 'high' THEN 72 ELSE 17520 END AS lim FROM {ORDERS})""")
+def sla_breaches(spark, d):
+    limit = F.when(F.col("severity") == "critical", 24).when(F.col("severity") == "high", 72).otherwise(17520)
+    return tables.order_findings(spark, d).select("seq", timeseries.sla_state(F.col("o_orderdate"), NOW, limit).alias("state"))
+
+
+@query("""SELECT user_id, session, count(*)::BIGINT AS n, min(ts) AS started, max(ts) AS ended FROM (
+  SELECT user_id, ts, (sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1)::BIGINT AS session FROM (
+    SELECT *, CASE WHEN floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) > 86400 THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY 1, 2""")
+def event_sessions(spark, d):
+    return timeseries.sessions(tables.table(spark, d, "events"), "user_id", "ts", "event_id", 86400)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, d):
+    return monitor.tumbling(tables.table(spark, d, "events"), width="1 day").withColumn("total", F.round("total", 4))
+
+
+# ------------------------------------------------------------------ reports
+@query("""SELECT id, min(name) AS name, 'npm' AS ecosystem, min(version) AS version FROM (
+  SELECT p_name AS name, p_size::VARCHAR AS version, upper('QL-' || substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 48) || '-' || substr(sha256('npm:' || p_name || '@' || p_size::VARCHAR), 1, 8)) AS id FROM part) GROUP BY 1""")
+def osv_records(spark, d):
+    p = tables.table(spark, d, "part").select(F.col("p_name").alias("name"), F.lit("npm").alias("ecosystem"), F.col("p_size").cast("string").alias("version"))
+    return sinks.osv_records(p)
+
+
+@query("""SELECT p_name AS name, p_size::VARCHAR AS version, arg_min(p_brand, p_partkey) AS scope, 'pkg:npm/' || replace(p_name, ' ', '%20') || '@' || p_size::VARCHAR AS purl FROM part GROUP BY 1, 2""")
+def sbom_components(spark, d):
+    p = tables.table(spark, d, "part").select(F.lit("npm").alias("ecosystem"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version"), F.col("p_brand").alias("scope"), F.col("p_partkey").alias("pos"))
+    return sinks.sbom_components(p)
+
+
+@query()
+def report_json(spark, d):
+    hits = _hits(spark, d).withColumnRenamed("path", "file").withColumn("description", F.lit(""))
+    return sinks.sarif_results(hits)

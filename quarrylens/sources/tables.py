@@ -1,0 +1,37 @@
+"""Adapters: the driver's tables in the roles of files, findings, dependencies, history and decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as path, source, text."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "source", "text")
+
+
+def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as target, seq, rule (status and month), severity, confidence, file, line."""
+    o = table(spark, sf_dir, "orders")
+    priority = F.substring("o_orderpriority", 1, 1)
+    severity = F.when(priority == "1", "critical").when(priority == "2", "high").when(priority == "3", "medium").when(priority == "4", "low").otherwise("info")
+    return o.select(
+        F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("seq"),
+        F.concat(F.col("o_orderstatus"), F.lit("-"), F.date_format("o_orderdate", "MM")).alias("rule"), severity.alias("severity"),
+        ((F.col("o_orderkey") % 10) / 10.0).alias("confidence"), F.concat(F.lit("f"), (F.col("o_orderkey") % 97).cast("string")).alias("file"),
+        (F.col("o_orderkey") % 31).alias("line"), "o_orderdate", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("description"),
+    )
+
+
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """Files below a folder as path, size, content; .git, node_modules and other generated folders are left out."""
+    # Folders that a scan does not enter.
+    excluded = ["node_modules", ".git", "dist", "build", "coverage", ".next", "vendor", "__pycache__"]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return raw.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded)))).select("path", F.col("length").alias("size"), "content")
