@@ -103,7 +103,7 @@ def sets_of(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(docs: DataFrame, cuts: int) -> DataFrame:
-    """part, nodes, sizes, sigs: signatures of a batch in slice ``part``; the low 16 bits of a signature index nodes."""
+    """part, nodes, sigs: signatures of a batch in slice ``part``; the low 16 bits of a signature index nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,14 +111,12 @@ def packed(docs: DataFrame, cuts: int) -> DataFrame:
             t1 = np.asarray(b.column(1))
             for i, j in slices(offs, BLOCK_TEXT):
                 nodes, first = np.unique(t1[i:j], return_index=True)
-                owner, sig, size = [], [], np.zeros(len(nodes), np.int64)
+                owner, sig = [], []
                 rank = np.full(j - i, -1, np.int64)
                 rank[first] = np.arange(len(nodes))
                 for p, q in slices(offs[i : j + 1]):
                     h, cut = sets_of(raw[offs[i + p] : offs[i + q]], offs[i + p : i + q + 1] - offs[i + p])
                     own = rank[p:q]
-                    n = np.diff(cut)
-                    size[own[own >= 0]] = n[own >= 0]
                     o, s = signatures(h, cut)
                     keep = own[o] >= 0
                     owner.append(own[o][keep])
@@ -134,23 +132,26 @@ def packed(docs: DataFrame, cuts: int) -> DataFrame:
                         sel = order[edge[c] : edge[c + 1]]
                         used, index = np.unique(o[sel], return_inverse=True)
                         value = (s[sel] & ~_U(0xFFFF)) | index.astype(_U)
-                        rows.append((int(c), nodes[used].tobytes(), size[used].astype(np.int32).tobytes(), value.tobytes()))
+                        rows.append((int(c), nodes[used].tobytes(), value.tobytes()))
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "nodes", "sizes", "sigs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "nodes", "sigs"])
 
-    return docs.select("text", "t1").mapInArrow(run, "part int, nodes binary, sizes binary, sigs binary")
+    return docs.select("text", "t1").mapInArrow(run, "part int, nodes binary, sigs binary")
 
 
 def stars(blocks: DataFrame) -> DataFrame:
-    """Distinct candidate pairs a < b (texts' hashes): under each signature the smallest with each other of a size that J allows."""
+    """Distinct candidate pairs a < b (texts' hashes): under each signature the smallest with each other.
 
-    def solve(part: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+    Sizes are not looked at here: a leaf that is too large or small for its
+    centre still has to be compared with the star's other leaves.
+    """
+
+    def solve(part: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         nodes = np.concatenate([np.frombuffer(x[0], np.int64) for x in part])
-        sizes = np.concatenate([np.frombuffer(x[1], np.int32) for x in part]).astype(np.int64)
         shift = np.cumsum([0, *(len(x[0]) // 8 for x in part[:-1])])
-        value = np.concatenate([np.frombuffer(x[2], _U) for x in part])
-        index = (value & _U(0xFFFF)).astype(np.int64) + np.repeat(shift, [len(x[2]) // 8 for x in part])
+        value = np.concatenate([np.frombuffer(x[1], _U) for x in part])
+        index = (value & _U(0xFFFF)).astype(np.int64) + np.repeat(shift, [len(x[1]) // 8 for x in part])
         value = value >> _U(16)
         order = np.argsort(value, kind="stable")
         value = value[order]
@@ -162,22 +163,22 @@ def stars(blocks: DataFrame) -> DataFrame:
         index = index[order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
         run = np.cumsum(np.append(1, value[1:] != value[:-1])) - 1
-        node, size = nodes[index], sizes[index]
+        node = nodes[index]
         best = np.lexsort((node, run))  # the runs stay in place, their smallest node comes first
-        centre, centre_size = node[best[first]][run], size[best[first]][run]
-        ok = (node != centre) & (4 * np.minimum(size, centre_size) >= 3 * np.maximum(size, centre_size))
+        centre = node[best[first]][run]
+        ok = node != centre
         pairs = np.unique(np.stack([centre[ok], node[ok]], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for b in batches:  # sorted by part
-            for part, nodes, sizes, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for part, nodes, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if part != last and held:
                     yield solve(held)
                     held = []
                 last = part
-                held.append((nodes, sizes, sigs))
+                held.append((nodes, sigs))
         if held:
             yield solve(held)
 
@@ -208,8 +209,8 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.asarray(b.column(2)) + np.asarray(b.column(3))
-            keep = [7 * differing(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) <= n for x, y, n in zip(b.column(4), b.column(5), size.tolist(), strict=True)]
+            sizes = zip(np.asarray(b.column(2)).tolist(), np.asarray(b.column(3)).tolist(), strict=True)
+            keep = [4 * min(p, q) >= 3 * max(p, q) and 7 * differing(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) <= p + q for x, y, (p, q) in zip(b.column(4), b.column(5), sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], ["a", "b", "maybe"])
 
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "na", "nb", "xa", "xb")
@@ -241,7 +242,7 @@ def close_bitmaps(size: np.ndarray, bits: list[np.ndarray], x: np.ndarray, y: np
     keep = np.zeros(len(x), bool)
     width = np.array([len(b) for b in bits])
     for w in np.unique(np.minimum(width[x], width[y])):
-        rows = np.flatnonzero((width == w) | (width == 2 * w))
+        rows = np.flatnonzero((width == w) | (width == 2 * w))  # sizes of 3 : 4 at most are one fold apart
         at = np.full(len(bits), -1, np.int64)
         at[rows] = np.arange(len(rows))
         table = np.stack([bits[r] if width[r] == w else bits[r][:w] | bits[r][w:] for r in rows])
