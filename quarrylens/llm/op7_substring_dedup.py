@@ -153,10 +153,11 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
     grouped = rows.where(F.col("n") <= limit).select("prefix", "doc_id", "t1", "t2", "start", "nodes").repartition("prefix").sortWithinPartitions("prefix")
     cold = grouped.mapInArrow(subtrees, "t1 long, t2 long, from int, to int")
     single = rows.where(F.col("n") > limit).select("prefix", "doc_id", "t1", "t2", "start", F.posexplode("nodes").alias("i", "node"))
-    least = single.groupBy("prefix", "node").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest")
+    # a table of its own, so that the join shuffles both sides and Spark can split a node that very many documents hold
+    least = scratch.stage(single.groupBy("prefix", "node").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest"), "least")
     hot = single.join(least, ["prefix", "node"]).where("doc_id > smallest").select("t1", "t2", (F.col("start") + F.col("i")).alias("from"), (F.col("start") + F.col("i") + window).alias("to"))
     out = scratch.stage(cold.union(hot).groupBy("t1", "t2").agg(F.collect_list(F.struct("from", "to")).alias("runs")), "runs")
-    scratch.drop(rows)
+    scratch.drop(rows, least)
     scratch.sweep()
     return out
 
