@@ -195,10 +195,11 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, gr
     grouped = rows.where(F.col("n") <= limit).select("anchor", "t1", "t2", "start", "lead", "body").repartition("anchor").sortWithinPartitions("anchor")
     cold = grouped.mapInArrow(blocks, "t1 long, t2 long, from int, to int")
     single = rows.where(F.col("n") > limit).select("anchor", "t1", "t2", "start", F.posexplode("nodes").alias("i", "node"))
-    often = single.groupBy("anchor", "node").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    # a table of its own, so that the join shuffles both sides and Spark can split a window that very many documents hold
+    often = scratch.stage(single.groupBy("anchor", "node").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "often")
     hot = single.join(often, ["anchor", "node"]).select("t1", "t2", (F.col("start") + F.col("i")).alias("from"), (F.col("start") + F.col("i") + window).alias("to"))
     out = scratch.stage(cold.union(hot).groupBy("t1", "t2").agg(F.collect_list(F.struct("from", "to")).alias("runs")), "runs")
-    scratch.drop(rows)
+    scratch.drop(rows, often)
     scratch.sweep()
     return out
 
