@@ -1 +1,3 @@
 
+
+from quarrylens.plans import catalog, catalog_risk  # noqa: F401  (the second adds to the first)
