@@ -39,8 +39,6 @@ DEFAULT = (
     Rule("LICENSE_NOTICE", "info", r"Licensed under the ", 0.9),
 )
 
-MAX_FILE_BYTES = 5 * 1024 * 1024
-
 
 def lines(files: DataFrame) -> DataFrame:
     """files(path, text) -> path, line (from 1), content."""
@@ -59,9 +57,8 @@ def _guard(rule: Rule, path: Column, text: Column | None) -> Column:
 
 
 def line_hits(files: DataFrame, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
-    """path, line, content, rule, severity, confidence of each rule that hits a line."""
-    whole = files.where(F.octet_length("text") <= MAX_FILE_BYTES)
-    guarded = whole.select("path", "text", F.array(*(_guard(r, F.col("path"), F.col("text")) for r in rules)).alias("allowed"))
+    """path, line, content, rule, severity, confidence of each rule that hits a line, in files of any size."""
+    guarded = files.select("path", "text", F.array(*(_guard(r, F.col("path"), F.col("text")) for r in rules)).alias("allowed"))
     each = guarded.select("path", "allowed", F.posexplode(F.split("text", "\n")).alias("i", "content"))
     width = max(r.spans for r in rules)
     if width > 1:
@@ -78,11 +75,6 @@ def line_hits(files: DataFrame, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
     return found.select("path", "line", "content", "h.rule", "h.severity", "h.confidence")
 
 
-def skipped_files(files: DataFrame) -> DataFrame:
-    """Coverage rows: files that are too large to be scanned."""
-    return files.where(F.octet_length("text") > MAX_FILE_BYTES).select("path", F.lit("FILE_TOO_LARGE_SKIPPED").alias("rule"), F.lit("info").alias("severity"))
-
-
 def first_hits(hits: DataFrame) -> DataFrame:
     """path, rule, line of the first hit of each rule in each file."""
     return hits.groupBy("path", "rule").agg(F.min("line").alias("line"))

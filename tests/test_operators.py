@@ -45,6 +45,12 @@ def test_spanning_rule_and_limits(spark):
         rules.Rule("R", "low", "x", spans=21)
 
 
+def test_files_over_five_mebibytes_are_scanned(spark):
+    rows = [("big", "x\n" * (3 << 20) + "a@b.example"), ("small", "c@d.example"), ("none", None)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    assert sorted(one(rules.line_hits(files).select("path", "line"))) == [("big", (3 << 20) + 1), ("small", 1)]
+
+
 def test_inline_directive_silences_the_next_line(spark):
     files = spark.createDataFrame([("p", "# ignore: CONTACT_EMAIL\na@b.example\nc@d.example")], "path string, text string")
     assert one(rules.not_suppressed(rules.line_hits(files), rules.lines(files)).select("line")) == [(3,)]
