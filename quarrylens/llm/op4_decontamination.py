@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,30 +125,41 @@ class Index:
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 
 
-def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """One row per (doc_id, item_id) of which the document holds at least ``containment`` of the item's shingles."""
-    spark = docs.sparkSession
+def indexes(items: DataFrame, block_items: int) -> Iterator[Broadcast]:
+    """The index of each block of items."""
+    spark = items.sparkSession
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // block_items))
-    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    found = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in block], [r["text"] for r in block]))
+        yield spark.sparkContext.broadcast(Index([r["item_id"] for r in block], [r["text"] for r in block]))
+
+
+def matches(x: Index, column: pa.Array, containment: float) -> list[tuple[int, int, int]]:
+    """(text, item, shared shingles) of the verified pairs of a batch's texts."""
+    raw, offs = utf8(column)
+    out = []
+    for i, j in slices(offs):
+        last, own = None, set()
+        for d, item in x.candidates(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
+            if d != last:
+                last, own = d, exact_shingles(raw[offs[i + d] : offs[i + d + 1]].tobytes())
+            shared = len(x.sets[item] & own)
+            if shared >= containment * len(x.sets[item]):
+                out.append((i + d, item, shared))
+    return out
+
+
+def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """One row per (doc_id, item_id) of which the document holds at least ``containment`` of the item's shingles."""
+    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    found = []
+    for index in indexes(items, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x = index.value
             for b in batches:
-                raw, offs = utf8(b.column(0))
-                out = []
-                for i, j in slices(offs):
-                    last, own = None, set()
-                    for d, item in x.candidates(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
-                        if d != last:
-                            last, own = d, exact_shingles(raw[offs[i + d] : offs[i + d + 1]].tobytes())
-                        shared = len(x.sets[item] & own)
-                        if shared >= containment * len(x.sets[item]):
-                            out.append((i + d, int(x.ids[item]), len(x.sets[item]), shared, shared / len(x.sets[item])))
+                out = [(d, int(x.ids[i]), len(x.sets[i]), n, n / len(x.sets[i])) for d, i, n in matches(x, b.column(0), containment)]
                 if out:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -159,6 +171,22 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     return reduce(DataFrame.union, found).distinct()
 
 
+def without(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of docs whose text contains no item. Rows are filtered where they are read, by text: no id, no shuffle."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for index in indexes(items, block_items):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            x = index.value
+            for b in batches:
+                keep = np.ones(len(b), bool)
+                keep[[d for d, _, _ in matches(x, b.column(at), containment)]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def op4_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -179,6 +179,22 @@ def test_containment_search_equals_brute_force(spark):
     assert collected(blocks, "doc_id", "item_id", "n_item_shingles", "n_shared") == got
 
 
+def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
+    import corpus_pipeline
+
+    item, item2 = " ".join(f"leak{k}" for k in range(30)), " ".join(f"spill{k}" for k in range(30))
+    spark.createDataFrame([(1, item), (2, item2)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    dirty, clean = f"before it {item} after it", "a clean text of seven words only"
+    rows = [(None, dirty), (None, clean), (1, dirty), (1, clean), (2, clean), (3, dirty), (3, item2), (None, None), (4, "")]
+    docs = frame(spark, rows)
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = [r for r in rows if r[1] not in (dirty, item2)]
+    assert sorted((tuple(r) for r in got.select("doc_id", "text", "lang", "t1").collect()), key=str) == sorted(((i, t, "en", 5) for i, t in kept), key=str)
+    blocks = op4_decontamination.without(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), block_items=1)
+    assert sorted(collected(blocks.na.fill(-1).na.fill("-"), "doc_id", "text")) == sorted((-1 if i is None else i, "-" if t is None else t) for i, t in kept)
+
+
 def test_language_id_learns_and_defaults(spark):
     rows = [(i, f"the house and the {w} of the morning", "en") for i, w in enumerate(VOCABULARY)] + [(50 + i, f"das haus und der {w} ist nicht schön", "de") for i, w in enumerate(VOCABULARY)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
