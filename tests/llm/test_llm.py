@@ -276,6 +276,32 @@ def test_chat_collapses_snapshots(spark):
     assert op8_chat.collapse_and_render(df.limit(0)).count() == 0
 
 
+def test_chat_rows_without_id_are_conversations_of_their_own(spark):
+    rows = [(None, 0, "user", "x"), (None, 1, "user", "x"), (None, 1, "user", "y"), (None, 5, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "user", "yo"), (2, 0, "user", "z"), (None, 3, "user", "z")]
+    got = op8_chat.collapse_and_render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    say = lambda *texts: "".join(f"<|user|>\n{t}\n<|end|>\n" for t in texts)
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["n_copies"], r["chat"]) for r in got) == [(0, 1, 1, say("y")), (0, 1, 2, say("x")), (1, 2, 1, say("hi", "yo")), (2, 1, 2, say("z"))]
+
+
+@pytest.mark.parametrize("row_bytes", [op8_chat.ROW_BYTES, 400])
+def test_long_chats_in_ranges_equal_short_ones(spark, row_bytes):
+    rows = [(c, t, "user", f"turn {t}" if t != 20 else f"own {c // 2}") for c in range(8) for t in range(40)]
+    rows += [(8, t, "user", f"turn {t}") for t in range(15)] + [(9, t, "user", f"turn {t}") for t in range(3)] + [(11, 0, "user", "same")] * 50 + [(12, 0, "user", "same")] * 20
+    rows += [(13, t // 2, "user", f"tie {t}") for t in range(30)] + [(14, None, None, None), (14, None, "user", "ä" * 700), (None, 0, "user", "turn 0")]
+    df = spark.createDataFrame(R.sample(rows, len(rows)), "conv_id long, turn long, role string, text string").repartition(3)
+    whole = op8_chat.collapse_and_render(df).collect()
+    got = op8_chat.collapse_and_render(df, long_turns=12, row_bytes=row_bytes, range_turns=7).collect()
+    assert sorted(r["conv_id"] for r in whole) == [0, 2, 4, 6, 11, 13, 14] and {r["chunk"] for r in whole} == {0}
+    chats = {}
+    for r in sorted(got, key=lambda r: r["chunk"]):
+        key = (r["conv_id"], r["n_turns"], r["n_copies"])
+        assert r["chunk"] == 0 or key in chats
+        chats[key] = chats.get(key, "") + r["chat"]
+    assert chats == {(r["conv_id"], r["n_turns"], r["n_copies"]): r["chat"] for r in whole}
+    assert (len(got) > len(whole)) == (row_bytes == 400)
+    assert all(len(r["chat"]) < row_bytes + 800 for r in got)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
