@@ -7,6 +7,8 @@ partition size, so that an item's text, wherever it stands, lies within one
 window of at most four times its size. In such a window an item that is
 contained to ``CONTAINMENT`` has a Jaccard similarity of 0.17 or more, so one of
 ``HASHES`` min-hashes agrees with probability 0.998 (0.9999 for a whole copy).
+Items of fewer than eight shingles would be a smaller part of their windows, so
+documents with any one of their shingles are candidates instead, without loss.
 Min-hashes of the windows come from those of blocks of eight, joined pairwise
 for each next partition.
 
@@ -73,9 +75,18 @@ class Index:
         h, cut = shingle_sets(Words(buf, offs, fold=True), SHINGLE) if len(buf) else (np.zeros(0, _U), np.zeros(len(raw) + 1, np.int64))
         self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         members: dict[int, list[int]] = {}
+        short = []
         for i, n in enumerate(np.diff(cut)):
-            if n:
-                members.setdefault(max(8, 1 << int(n - 1).bit_length()), []).append(i)
+            if n >= 8:
+                members.setdefault(1 << int(n - 1).bit_length(), []).append(i)
+            elif n:
+                short.append(i)
+        key = np.concatenate([np.zeros(0, _U), *(h[cut[i] : cut[i + 1]] for i in short)])
+        order = np.argsort(key, kind="stable")
+        seen = np.zeros(1 << _BITS, bool)
+        seen[key >> _U(64 - _BITS)] = True
+        #: Shingles of the items of fewer than eight.
+        self.short = (seen, key[order], np.repeat(np.array(short, np.int64), np.diff(cut)[short] if short else 0)[order])
         for level, items in members.items():
             low = np.stack([permuted(h[cut[i] : cut[i + 1]]).min(axis=1) for i in items])
             seen = np.zeros((HASHES, 1 << _BITS), bool)
@@ -95,13 +106,21 @@ class Index:
         if len(short):
             hs, cut = shingle_sets(w, SHINGLE)
             doc, h = np.append(doc, short), np.append(h, hs[cut[short]])
-        if not len(h) or not self.levels:
+        if not len(h):
             return []
+        found = []
+        seen, key, item = self.short
+        maybe = np.flatnonzero(seen[h >> _U(64 - _BITS)])
+        a, b = np.searchsorted(key, h[maybe], "left"), np.searchsorted(key, h[maybe], "right")
+        for m in np.flatnonzero(b > a):
+            found += [(int(doc[maybe[m]]), int(x)) for x in item[a[m] : b[m]]]
+        if not self.levels:
+            return sorted(set(found))
         new_doc = np.append(True, doc[1:] != doc[:-1])
         at = np.arange(len(h)) - np.flatnonzero(new_doc)[np.cumsum(new_doc) - 1]
         start = np.flatnonzero(at % 8 == 0)
         low, owner, number = np.minimum.reduceat(permuted(h), start, axis=1), doc[start], at[start] // 8
-        level, found = 8, []
+        level = 8
         while True:
             if level in self.levels:
                 seen, key, item = self.levels[level]

@@ -179,6 +179,18 @@ def test_containment_search_equals_brute_force(spark):
     assert collected(blocks, "doc_id", "item_id", "n_item_shingles", "n_shared") == got
 
 
+@pytest.mark.parametrize("length", [5, 6, 11])
+def test_short_items_are_found_at_every_offset(length):
+    rng = random.Random(length)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(4)]
+    items = [(1000 * i + k, " ".join(t.split()[k : k + length])) for i, t in docs for k in range(300 - length + 1)]
+    index = op4_decontamination.Index([i for i, _ in items], [t for _, t in items])
+    import pyarrow as pa
+
+    got = {(docs[d][0], items[i][0], len(index.sets[i]), n) for d, i, n in op4_decontamination.matches(index, pa.array([t for _, t in docs]), 0.75)}
+    assert got == op4_decontamination.brute_force(docs, items)
+
+
 def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
     import corpus_pipeline
 
