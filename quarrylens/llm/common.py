@@ -133,6 +133,14 @@ def units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[
         yield last, pa.Table.from_batches(held).combine_chunks()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of df has it (case is ignored, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(id_col: str, m: int):
     """crc32 of the id written as text, modulo m."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(m)
