@@ -7,20 +7,33 @@ into n1 = ceil((k+1)/2) parts and each part into three; so some part holds at
 most one difference, and two of its three sub-parts hold none. Each set
 therefore emits, for its own band and the one below that it can reach into, a
 signature of every two-of-three subset of every part: similar sets share one.
-Sets of up to ``SMALL`` features emit single features instead (the finest
-partition), of which the n - ceil(3n/4) + 1 smallest suffice.
+(Where k = 0 the signature is the whole set.)
+
+A subset that is empty in a set gives no signature. For sets of more than
+``SMALL`` features a pair at the threshold could only be lost if all its agreeing
+subsets were empty, which we estimate below 1e-8. Smaller sets make up for it: one
+in which some part has an empty subset also emits its n - ceil(3n/4) + 1 smallest
+features as signatures, of which two similar sets share one; a pair can only be
+lost to empty subsets if both its sets emit these.
 
 Signatures travel as packed blocks - one row for each slice of the signature
 space and batch of documents, 8 bytes a signature - and are sorted in numpy.
 Sets under one signature yield a star of candidate pairs (the smallest with each
 other one), so a group of g near copies gives g - 1 pairs. Candidates that
-bitmaps of the sets don't rule out are verified on whole sets. Where a star's leaf fails against its centre, it is
-compared with the star's other leaves of other components; every pair that
-shares a signature is so either compared or known to be in one component.
+bitmaps of the sets don't rule out are verified on whole sets. Where a star's
+leaf fails against its centre, it is compared with the star's other leaves of
+other components; every pair that shares a signature is so either compared or
+known to be in one component. In stars of more than ``LARGE_STAR`` leaves - those
+of a shingle that very many texts share - leaves first meet again on the rarest
+quarter of their features, counted within the star, so that what all of them
+share brings none of them together.
 
 Equal texts are one set from the start. Nulls and texts without words have an
 empty set and link with nothing. Rows with a null id link with nothing. Rows
-that repeat an id count as one document: their links are united.
+that repeat an id count as one document: their links are united. Very long texts
+are slices of their own, read whole. Pairs at exactly 0.75 link; of equals the
+smallest id names the component. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrylens.llm.common import Scratch, components, slices, units, utf8
 from quarrylens.llm.kernels import Words, mix, shingle_sets
@@ -39,8 +53,8 @@ from quarrylens.llm.repeats import keyed, text_classes
 SHINGLE, SMALL = 5, 64
 #: Text bytes for each slice of the signature space, and slices at least.
 SLICE_TEXT, MIN_SLICES = 16 << 20, 48
-#: Leaves of a star that one block holds.
-STAR_BLOCK = 256
+#: Leaves of a star that one block holds, and leaves beyond which they meet on rare features first.
+STAR_BLOCK, LARGE_STAR = 256, 4096
 #: Text bytes whose signatures form one packed block.
 BLOCK_TEXT = 6 << 20
 _U = np.uint64
@@ -50,7 +64,7 @@ _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 def bands(largest: int) -> list[tuple[int, int]]:
     """(smallest, largest) size of the smaller set of a pair, for each band that sets of up to ``largest`` features reach."""
-    out, low = [], SMALL + 1
+    out, low = [], 1
     while low <= largest:
         high = -(-low * 4 // 3) - 1
         out.append((low, high))
@@ -68,17 +82,13 @@ def signatures(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         total = np.cumsum(count)
         return np.arange(int(total[-1])) - np.repeat(total - count, count) + np.repeat(offs[sets], count)
 
-    small = np.flatnonzero((size > 0) & (size <= SMALL * 4 // 3))
-    if len(small):
-        n = size[small]
-        count = n - -(-3 * n // 4) + 1
-        owners.append(np.repeat(small, count))
-        sigs.append(mix(h[elements(small, count)] ^ _K))
+    lacking = np.zeros(len(size), bool)
     for b, (low, high) in enumerate(bands(int(size.max(initial=0)))):
         sets = np.flatnonzero((size >= low) & (size <= high * 4 // 3))
         if not len(sets):
             continue
-        parts = (high // 3 + 2) // 2
+        differences = high // 3
+        parts = (differences + 2) // 2
         cells = 3 * parts
         at = elements(sets, size[sets])
         x = h[at]
@@ -88,11 +98,19 @@ def signatures(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         total[cell[first]] = np.add.reduceat(x, first)
         some[cell[first]] = True
         total, some = total.reshape(-1, 3), some.reshape(-1, 3)
+        if low <= SMALL and differences:
+            lacking[sets] |= (some.sum(axis=1) <= 1).reshape(len(sets), parts).any(axis=1)
         place = (np.arange(len(sets) * parts) % parts).astype(_U) * _U(3)
-        for s, (i, j) in enumerate(_SUBSETS):
-            keep = np.flatnonzero(some[:, i] | some[:, j])
+        for s, chosen in enumerate(_SUBSETS if differences else ((0, 1, 2),)):
+            keep = np.flatnonzero(some[:, chosen].any(axis=1))
             owners.append(sets[keep // parts])
-            sigs.append(mix(total[keep, i] + total[keep, j] + (place[keep] + _U(s + 1) + _U(b << 40)) * _K))
+            sigs.append(mix(total[np.ix_(keep, chosen)].sum(axis=1, dtype=_U) + (place[keep] + _U(s + 1) + _U((b + 1) << 40)) * _K))
+    rest = np.flatnonzero(lacking)
+    if len(rest):
+        n = size[rest]
+        count = n - -(-3 * n // 4) + 1
+        owners.append(np.repeat(rest, count))
+        sigs.append(mix(h[elements(rest, count)] ^ _K))
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     return np.concatenate(owners), np.concatenate(sigs)
@@ -254,22 +272,50 @@ def close_bitmaps(size: np.ndarray, bits: list[np.ndarray], x: np.ndarray, y: np
     return keep
 
 
-def unlinked_leaves(leaves: DataFrame, sets: DataFrame, block: int = STAR_BLOCK) -> DataFrame:
+def rare_meetings(scratch: Scratch, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, f, b: the leaves b of star a that have feature f among the rarest quarter of theirs, rarity counted within the star.
+
+    Two similar leaves share one of their n - ceil(3n/4) + 1 first features in any common order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(3)]
+            size = np.array([len(x) for x in each], np.int64)
+            keys = [np.repeat(np.asarray(b.column(k)), size) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(np.repeat(size, size)), pa.array(np.concatenate([np.zeros(0, np.int64), *each]))], ["a", "b", "n", "f"])
+
+    features = rows.select("a", "b").join(sets.select(F.col("t1").alias("b"), "n", "set"), "b").select("a", "b", "n", "set").mapInArrow(run, "a long, b long, n long, f long")
+    # a table of its own, so that the join shuffles both sides and Spark can split a feature that very many leaves have
+    often = scratch.stage(features.groupBy("a", "f").agg(F.count("*").alias("times")), "features")
+    order = Window.partitionBy("a", "b").orderBy("times", "f")
+    first = features.join(often, ["a", "f"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
+    return first.where("times > 1").select("a", "f", "b")
+
+
+def unlinked_leaves(scratch: Scratch, leaves: DataFrame, sets: DataFrame, block: int = STAR_BLOCK, large: int = LARGE_STAR) -> DataFrame:
     """Pairs (a, b) of leaves of one star and different components, one of them not linked to the centre, that bitmaps don't rule out.
 
-    leaves: a (centre), b, linked, c (component). Large stars are dealt into
-    blocks, and each pair of blocks is a unit, in which all is compared in
-    place: only the pairs that remain are emitted.
+    leaves: a (centre), b, linked, c (component). Stars of more than ``block``
+    leaves are dealt into blocks, and each pair of blocks is a unit, in which all
+    is compared in place: only the pairs that remain are emitted.
     """
     stars_left = leaves.groupBy("a").agg(F.count("*").alias("k"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("bad")).where("bad > 0 AND k > 1")
-    rows = leaves.join(stars_left.select("a", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "a")
-    rows = rows.join(sets.select(F.col("t1").alias("b"), "n", "bits"), "b").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    found = scratch.stage(leaves.join(stars_left.select("a", "k"), "a"), "leaves")
+    few = found.where(F.col("k") <= large).select("a", F.lit(0).cast("long").alias("f"), "k", "b", "linked", "c")
+    many = found.where(F.col("k") > large)
+    if many.head(1):
+        met = scratch.stage(rare_meetings(scratch, many, sets), "met")
+        groups = scratch.stage(met.groupBy("a", "f").agg(F.count("*").alias("k")).where("k > 1"), "groups")
+        few = few.union(met.join(groups, ["a", "f"]).join(many.select("a", "b", "linked", "c"), ["a", "b"]).select("a", "f", "k", "b", "linked", "c"))
+    rows = few.withColumn("blocks", F.ceil(F.col("k") / block).cast("int")).join(sets.select(F.col("t1").alias("b"), "n", "bits"), "b")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "a", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "b", "linked", "c", "n", "bits"
+        "a", "f", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "b", "linked", "c", "n", "bits"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), t in units(batches, 3):
+        for (_, _, lo, hi), t in units(batches, 4):
             col = lambda k: np.asarray(t.column(k).combine_chunks())  # noqa: B023, E731
             own, node, comp, n = col("own"), col("b"), col("c"), col("n")
             linked = t.column("linked").combine_chunks().to_numpy(zero_copy_only=False)
@@ -284,7 +330,8 @@ def unlinked_leaves(leaves: DataFrame, sets: DataFrame, block: int = STAR_BLOCK)
             keep = close_bitmaps(n, bits, x, y)
             yield pa.RecordBatch.from_arrays([pa.array(node[x[keep]]), pa.array(node[y[keep]])], ["a", "b"])
 
-    return dealt.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi").mapInArrow(run, "a long, b long")
+    unit = ["a", "f", "lo", "hi"]
+    return dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "a long, b long")
 
 
 def tested(scratch: Scratch, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -316,10 +363,21 @@ def sets_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(nodes, "t1").where("doc_id = rep").select("text", "t1").mapInArrow(run, "t1 long, n long, bits binary, set binary")
 
 
+def shared_ids(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the texts of ids that have several: id and smallest id of the text."""
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "t1")
+    several = worded.groupBy("doc_id").agg(F.min("t1").alias("x"), F.max("t1").alias("y")).where("x <> y")
+    texts = several.select("doc_id", F.col("x").alias("t1")).union(several.select("doc_id", F.col("y").alias("t1"))).union(worded.join(several.select("doc_id"), "doc_id").distinct()).distinct()
+    return texts.join(classes.select("t1", "rep"), "t1").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def link_components(scratch: Scratch, docs: DataFrame, classes: DataFrame, total_bytes: int) -> DataFrame:
     """node (smallest id of a text), component (smallest id reachable), for the texts that link with another."""
+    same_id = scratch.stage(shared_ids(docs, classes), "ids")
     pairs = scratch.stage(stars(packed(docs, max(MIN_SLICES, total_bytes // SLICE_TEXT))), "pairs")
     scratch.sweep()
+    if not pairs.head(1):
+        return components(scratch, same_id) if same_id.head(1) else docs.sparkSession.createDataFrame([], "node long, component long")
     near = pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct().join(classes.select("t1", "rep"), "t1")
     sets = scratch.stage(sets_table(docs, near), "sets")
     scratch.sweep()
@@ -331,14 +389,14 @@ def link_components(scratch: Scratch, docs: DataFrame, classes: DataFrame, total
         ids = classes.select("t1", "rep")
         return t.where("linked").join(ids.select(F.col("t1").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("t1").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
-    first = edges(first_round)
-    joined = scratch.stage(components(scratch, first), "components")
+    joined = scratch.stage(components(scratch, edges(first_round).union(same_id)), "components")
     # leaves that failed, against the other leaves of their star, unless in one component by now
     by_text = joined.join(classes.select("t1", F.col("rep").alias("node")), "node").select(F.col("t1").alias("b"), "component")
     leaves = first_round.join(by_text, "b", "left").select("a", "b", "linked", F.coalesce("component", F.col("b")).alias("c"))
-    rest = unlinked_leaves(leaves, sets).distinct()
+    rest = unlinked_leaves(scratch, leaves, sets).distinct()
     rest = scratch.stage(rest.join(first_round.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    again = tested(scratch, rest, sets, "again").where("linked")
+    again = tested(scratch, rest, sets, "again").where("linked") if rest.head(1) else rest
+    scratch.drop(first_round, sets)
     if not again.head(1):
         return joined
     return components(scratch, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges(again)))
@@ -351,7 +409,8 @@ def join(docs: DataFrame) -> DataFrame:
     known = base.where("doc_id IS NOT NULL")
     classes = scratch.stage(text_classes(known), "classes")
     total = classes.agg(F.sum("size")).first()[0] or 0
-    found = link_components(scratch, known, classes, int(total))
+    none = docs.sparkSession.createDataFrame([], "node long, component long")
+    found = link_components(scratch, known, classes, int(total)) if total else none
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,10 +422,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     sized = base.select("text", "doc_id", "t1", "t2").mapInArrow(count, "doc_id long, t1 long, t2 long, n_shingles long")
     labelled = classes.join(found, classes["rep"] == found["node"], "left").select("t1", "t2", F.coalesce("component", "rep").alias("component"))
-    out = sized.join(labelled, ["t1", "t2"], "left").select(
+    return sized.join(labelled, ["t1", "t2"], "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
-    return out
 
 
 def op2_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
