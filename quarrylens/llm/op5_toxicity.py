@@ -12,12 +12,16 @@ logistic curve fitted on the same rows.
 ``max_rows`` labelled rows, chosen by a hash of the id, bound what is learned
 from; everything is scored. Nulls and empty texts have no match and get the
 curve's lowest value. Without rows of both labels every score is 0. Rows that
-repeat are scored alike; labels that disagree on a doc_id all count.
+repeat are scored alike; labels that disagree on a doc_id all count. Texts are
+scored whole, however long. Terms of equal strength enter the lexicon shortest
+first, then in alphabetical order. An empty table gives no rows. Extra columns
+are kept; where one has the name of a result, the result's name gets underscores.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,11 +31,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import crc_mod
+from quarrylens.llm.common import Scratch, crc_mod, fresh
 
 #: Labelled rows that are learned from, at most.
 MAX_ROWS = 16_000
-MIN_DOCS, MIN_ODDS, MAX_TERMS, MAX_CANDIDATES = 3, 2.5, 4000, 50_000
+MIN_DOCS, MIN_ODDS = 3, 2.5
 PREFIXES = range(4, 10)
 THRESHOLD = 0.3
 #: Given exceptions: benign phrases that hold a term.
@@ -113,15 +117,30 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
-    """Lexicon, learned exceptions and curve from at most ``max_rows`` labelled rows."""
-    sc = docs.sparkSession.sparkContext
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """text, toxic of at most ``max_rows`` labelled rows, in the order of a hash; staged, so that documents are read once."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "toxic").limit(max_rows)
     )
     # at most max_rows rows of two numbers
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = scratch.stage(found.select("text", "toxic", F.xxhash64(F.lit(5), "doc_id").alias("draw"), F.monotonically_increasing_id().alias("row")), "labelled")
+    if rows.count() > max_rows:  # ids that repeat: the first max_rows again
+        last = rows.select("draw", "row").orderBy("draw", "row").limit(max_rows).agg(F.max(F.struct("draw", "row")).alias("at")).first()["at"]
+        rows = rows.where((F.col("draw") < last["draw"]) | ((F.col("draw") == last["draw"]) & (F.col("row") <= last["row"])))
+    return rows.select("text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
+    """Lexicon, learned exceptions and curve from at most ``max_rows`` labelled rows.
+
+    Tables of terms and phrases that come to the driver are those of that many
+    rows, so they are bounded by the sample, however large the corpus is.
+    """
+    sc = docs.sparkSession.sparkContext
+    rows = sample(docs, labels, max_rows).repartition(sc.defaultParallelism)
     sizes = {int(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     none = {"lexicon": {}, "exceptions": set(), "curve": None}
     if not sizes.get(1) or not sizes.get(0):
@@ -129,23 +148,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for t in b["text"]:
-                yield pd.DataFrame({"term": sorted(candidates(fold(t)))})
+            count = Counter(term for t in b["text"] for term in candidates(fold(t)))
+            yield pd.DataFrame({"term": list(count), "n": list(count.values())})
 
-    hot = (
-        rows.where("toxic = 1").select("text").mapInPandas(explode, "term string").groupBy("term").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).toPandas()
-    )
-    toxic = dict(zip(hot["term"], hot["n"], strict=True))
+    hot = rows.where("toxic = 1").select("text").mapInPandas(explode, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).toPandas()
+    toxic = dict(sorted(zip(hot["term"], hot["n"].tolist(), strict=True)))
     share = sc.broadcast(set(toxic))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for t in b["text"]:
-                yield pd.DataFrame({"term": sorted(candidates(fold(t)) & share.value)})
+            count = Counter(term for t in b["text"] for term in candidates(fold(t)) & share.value)
+            yield pd.DataFrame({"term": list(count), "n": list(count.values())})
 
-    clean_df = rows.where("toxic = 0").select("text").mapInPandas(seen, "term string").groupBy("term").agg(F.count("*").alias("n")).toPandas()
-    clean = dict(zip(clean_df["term"], clean_df["n"], strict=True))
+    clean_df = rows.where("toxic = 0").select("text").mapInPandas(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    clean = dict(zip(clean_df["term"], clean_df["n"].tolist(), strict=True))
     odds = {
         t: math.log((n + 0.5) / (sizes[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (sizes[0] + 1))
         for t, n in toxic.items()
@@ -166,8 +182,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
         shorter = (t[:k] for k in range(5, len(t)))
         if not any(s in lexicon and toxic[s] >= toxic[t] and lexicon[s] >= strong[t] - 0.7 for s in shorter):
             lexicon[t] = strong[t]
-        if len(lexicon) >= MAX_TERMS:
-            break
     model = sc.broadcast(lexicon)
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
             yield pd.DataFrame(found, columns=["phrase", "toxic"])
 
     context = rows.mapInPandas(around, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    learned = context.where((F.col("bad") == 0) & (F.col("n") >= 5)).orderBy(F.desc("n"), "phrase").limit(500).toPandas()
+    learned = context.where((F.col("bad") == 0) & (F.col("n") >= 5)).toPandas()
     exceptions = {fold(x).strip() for x in EXCEPTIONS} | set(learned["phrase"])
     both = sc.broadcast((lexicon, exceptions))
 
@@ -200,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
             got = [weigh(fold(t), a) for t in b["text"]]
             yield pd.DataFrame({"total": [x[0] for x in got], "words": [float(x[1]) for x in got], "toxic": b["toxic"]})
 
-    # max_rows rows of three numbers
-    table = rows.mapInPandas(measured, "total double, words double, toxic int").toPandas()
+    # max_rows rows of three numbers, in a defined order
+    table = rows.mapInPandas(measured, "total double, words double, toxic int").toPandas().sort_values(["total", "words", "toxic"])
     curve = logistic(traits(table["total"].to_numpy(), table["words"].to_numpy()), table["toxic"].to_numpy(float))
     return {"lexicon": lexicon, "exceptions": exceptions, "curve": curve}
 
@@ -214,7 +228,7 @@ def score(texts: list[str | None], model: dict, a: ahocorasick.Automaton | None)
 
 
 def with_toxicity(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """df with score (double) and predicted (int)."""
+    """df with two last columns, score (double) and predicted (int); underscores are added to names that df has."""
     share = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -223,7 +237,9 @@ def with_toxicity(df: DataFrame, model: dict, text_col: str = "text") -> DataFra
         for s in parts:
             yield pd.Series(score(s.tolist(), share.value, a))
 
-    return df.withColumn("score", toxicity(F.col(text_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    name = fresh(df, "score")
+    scored = df.select("*", toxicity(F.col(text_col)).alias(name))
+    return scored.select("*", (F.col(name) >= THRESHOLD).cast("int").alias(fresh(scored, "predicted")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
