@@ -14,7 +14,10 @@ pair of blocks is a task's unit, so hot buckets are spread and none is capped.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing and are kept; so do vectors of different dimensions. Rows that
-repeat an id and vector count as copies of each other. Extra columns are ignored.
+repeat an id and vector count as copies of each other; two vectors under one id
+are judged as two rows, each with the links of its own vector. Rows with a null
+id link with nothing, have a null component and are kept. An empty table gives no
+rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,7 +81,9 @@ def neardup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    # float32 vectors travel as such; products are taken in double precision
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col("e").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("e", lambda v: v != 0.0), F.lit(False))
     base = base.withColumn("ok", usable)
@@ -116,7 +121,7 @@ def neardup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     dealt = (
         met.withColumn("blocks", blocks).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("dim", "table", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "copies", "e", "sigs")
+        .select("dim", "table", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "copies", "e", F.slice("sigs", 1, F.col("table")).alias("sigs"))
     )
     unit = ["dim", "table", "sig", "lo", "hi"]
     sorted_units = dealt.repartition(*unit).sortWithinPartitions(*unit)
@@ -129,7 +134,7 @@ def neardup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
             x = np.asarray(t.column("e").combine_chunks().flatten()).reshape(len(ids), -1).astype(np.float64)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            sigs = np.asarray(t.column("sigs").combine_chunks().flatten()).reshape(len(ids), -1)
+            sigs = np.asarray(t.column("sigs").combine_chunks().flatten()).reshape(len(ids), key[1])  # of the tables before
             gain, a, b = compare(ids, weight, x, sigs, key[1], side, key[3] != key[4], threshold)
             rows = np.flatnonzero(gain)
             yield pa.RecordBatch.from_arrays(
