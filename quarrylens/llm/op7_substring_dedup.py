@@ -1,23 +1,32 @@
 """Substring dedup over words: prefix-partitioned suffix trees.
 
-Suffixes are split by prefixes into groups that fit in memory, and the deep
-internal nodes of each group's subtree (those at least ``window`` words down)
-are the repeats. The prefix that decides a suffix's group is the anchor of its
-first ``window`` words (see repeats.py), so suffixes with an equal start of that
-depth meet in one group, and suffixes whose anchor occurs once - leaves that hang
-high in the tree - are never shuffled. Prefixes are of variable length: where an
-anchor occurs more than ``LIMIT`` times, its group is split further by the whole
-start of ``window`` words, which is one node; such nodes need their smallest
-document only, which Spark aggregates before the shuffle.
-
-Within a group, a subtree's nodes at the depth ``window`` are found by sorting
-the suffixes' fingerprints under their prefix; each node has its smallest
-document, and suffixes of other documents below it are removed ones.
+Every word position with ``window`` words to come starts a suffix. Its prefix is
+of variable length: it reaches from the suffix's first word to the end of the
+first-ranked run of ``PREFIX`` words among its first ``window`` ones (see
+repeats.py), so it has ``PREFIX`` to ``window`` words, and suffixes that agree on
+``window`` words have the same prefix. Prefixes with the same end make one group;
+neighbouring suffixes of a document mostly share that end, so a group's suffixes
+travel as a few passages of text and not one by one. Suffixes whose prefix ends in
+a run that occurs once are leaves right below the root and are never shuffled.
+
+A task builds the subtrees of its groups in memory (``subtrees``): suffixes are
+sorted under their prefixes, and the common prefix of neighbours in that order,
+measured on the texts, gives the internal nodes. A node ``window`` words down or
+deeper is a maximal repeat of its suffixes within the passages: it has its depth
+and its smallest document, and removes that depth's words from the others.
+
+A group of more than ``LIMIT`` passages would not be even work or memory. Its
+prefixes are lengthened to ``window`` words: each such prefix is a group of its
+own, whose tree has a single node, of which only the smallest document is needed
+- a minimum that Spark combines before the shuffle, however many suffixes it has.
 
 Equal texts are one text with the smallest of their ids; the others are removed
 whole where they have ``window`` words. Rows with a null id are never removed
 and never a source. Null texts have no words. Rows that repeat an id are judged
-by text, and do not remove each other. Very long texts are slices of their own.
+by text, and do not remove each other. Very long texts are slices of their own,
+read whole. Of equal passages the one in the smallest id stays. An empty table
+gives no rows. Extra columns are ignored unless they are carried, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,8 +44,8 @@ from quarrylens.llm.kernels import Words, range_hash, winnow
 from quarrylens.llm.repeats import anchors, keyed, merge, repeated, text_classes
 
 WINDOW, PREFIX = 50, 10
-#: Occurrences of a prefix beyond which its group is split further: about 50 MB in the task that solves it.
-LIMIT = 32_768
+#: Passages of a group beyond which its prefixes are lengthened, and passages that a task holds at a time (some 10 MB).
+LIMIT, HELD = 2_048, 20_000
 
 
 def windows_of(raw: np.ndarray, offs: np.ndarray, window: int, prefix: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,6 +58,49 @@ def windows_of(raw: np.ndarray, offs: np.ndarray, window: int, prefix: int) -> t
     return w, at[start], at[chosen], by_word
 
 
+def subtrees(flat: np.ndarray, offs: np.ndarray, lead: np.ndarray, doc: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, first word, end word) of the repeats to remove from passages flat[offs[i]:offs[i + 1]] of documents doc[i].
+
+    Passage i's prefixes end ``prefix`` words after word lead[i].
+    """
+    w = Words(flat, offs)
+    starts = w.counts - window + 1
+    row = np.repeat(np.arange(len(starts)), starts)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+    suffix = w.offs[row] + at
+    path = range_hash(w.hash, suffix, w.offs[row] + lead[row] + prefix)
+    down = range_hash(w.hash, suffix, suffix + window)
+    order = np.lexsort((down, path))
+    path, down, sorted_suffix, sorted_row = path[order], down[order], suffix[order], row[order]
+    shared = np.append(False, (path[1:] == path[:-1]) & (down[1:] == down[:-1]))
+    # common prefixes of neighbours below the window's depth, by bisection
+    here = np.flatnonzero(shared)
+    x, y = sorted_suffix[here - 1], sorted_suffix[here]
+    low = np.full(len(here), window)
+    high = np.minimum(w.offs[sorted_row[here - 1] + 1] - x, w.offs[sorted_row[here] + 1] - y)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        same = range_hash(w.hash, x, x + middle) == range_hash(w.hash, y, y + middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    common = np.full(len(order), np.iinfo(np.int64).max)
+    common[here] = low
+    node_at = np.flatnonzero(~shared)
+    node = np.cumsum(~shared) - 1
+    if not len(node_at):
+        return row, at, at
+    depth = np.minimum.reduceat(common, node_at)
+    smallest = np.minimum.reduceat(doc[sorted_row], node_at)
+    gone, reach = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
+    gone[order] = doc[sorted_row] > smallest[node]
+    reach[order] = np.where(gone[order], depth[node], 0)
+    first = gone.copy()
+    first[1:] &= ~(gone[:-1] & (row[1:] == row[:-1]))
+    if not first.any():
+        return row[:0], at[:0], at[:0]
+    end = np.maximum.reduceat(np.where(gone, at + reach, 0), np.flatnonzero(first))
+    return row[first], at[first], end
+
+
 def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, prefix: int, limit: int) -> DataFrame:
     """t1, t2, runs: array of (start, end) word runs, covered by windows that also start in a smaller document."""
 
@@ -78,12 +130,14 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
                 start, anchor = start[keep], anchor[keep]
                 if not len(start):
                     continue
-                f = range_hash(w.hash, start, start + window)
                 first = np.ones(len(start), bool)
                 first[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
                 edge = np.append(np.flatnonzero(first), len(start))
-                a = anchor[edge[:-1]]
+                a, s, e = anchor[edge[:-1]], start[edge[:-1]], start[edge[1:] - 1]
                 text = w.doc()[a]
+                hot = n[a] > limit
+                body = raw[offs[i] : offs[j]].tobytes()
+                nodes = range_hash(w.hash, start, start + window).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h[a].view(np.int64)),
@@ -91,42 +145,28 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
                         pa.array(keys[2][i + text]),
                         pa.array(keys[0][i + text]),
                         pa.array(keys[1][i + text]),
-                        pa.array((start[edge[:-1]] - w.offs[text]).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(f.view(np.int64))),
+                        pa.array((s - w.offs[text]).astype(np.int32)),
+                        pa.array((a - s).astype(np.int32)),
+                        pa.array([None if x else body[p:q] for p, q, x in zip(w.starts[s].tolist(), w.ends[e + window - 1].tolist(), hot.tolist(), strict=True)], pa.binary()),
+                        pa.array([nodes[p:q] if x else None for p, q, x in zip(edge[:-1].tolist(), edge[1:].tolist(), hot.tolist(), strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["prefix", "n", "doc_id", "t1", "t2", "start", "nodes"],
+                    ["prefix", "n", "doc_id", "t1", "t2", "start", "lead", "body", "nodes"],
                 )
 
-    rows = scratch.stage(chosen.mapInArrow(suffixes, "prefix long, n long, doc_id long, t1 long, t2 long, start int, nodes array<long>"), "suffixes")
+    rows = scratch.stage(chosen.mapInArrow(suffixes, "prefix long, n long, doc_id long, t1 long, t2 long, start int, lead int, body binary, nodes array<long>"), "suffixes")
     scratch.drop(places)
     scratch.sweep()
 
-    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
 
         def solve(t: pa.Table) -> pa.RecordBatch:
             col = lambda k: np.asarray(t.column(k).combine_chunks())
-            lists = t.column("nodes").combine_chunks()
-            size = np.asarray(lists.value_lengths())
-            node = np.asarray(lists.flatten())
-            row = np.repeat(np.arange(len(size)), size)
-            pre, doc = col("prefix")[row], col("doc_id")[row]
-            order = np.lexsort((doc, node, pre))
-            p, x, d = pre[order], node[order], doc[order]
-            new = np.ones(len(p), bool)
-            new[1:] = (p[1:] != p[:-1]) | (x[1:] != x[:-1])
-            smallest = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone = np.zeros(len(p), bool)
-            gone[order] = d > smallest
-            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + col("start")[row]
-            first = gone.copy()
-            first[1:] &= ~(gone[:-1] & (row[1:] == row[:-1]))
-            last = gone.copy()
-            last[:-1] &= ~(gone[1:] & (row[1:] == row[:-1]))
-            r = row[first]
+            row, first, end = subtrees(*utf8(t.column("body")), col("lead").astype(np.int64), col("doc_id"), window, prefix)
+            start = col("start")[row]
             return pa.RecordBatch.from_arrays(
-                [pa.array(col("t1")[r]), pa.array(col("t2")[r]), pa.array(at[first].astype(np.int32)), pa.array((at[last] + window).astype(np.int32))],
+                [pa.array(col("t1")[row]), pa.array(col("t2")[row]), pa.array((start + first).astype(np.int32)), pa.array((start + end).astype(np.int32))],
                 ["t1", "t2", "from", "to"],
             )
 
@@ -135,7 +175,7 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
             if not len(b):
                 continue
             keys = np.asarray(b.column(0))
-            if count >= 20_000:
+            if count >= HELD:
                 # the held rows end with the group that this batch may go on with
                 cut = int(np.searchsorted(keys != last_prefix, True)) if keys[0] == last_prefix else 0
                 if cut < len(b):
@@ -150,8 +190,8 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    grouped = rows.where(F.col("n") <= limit).select("prefix", "doc_id", "t1", "t2", "start", "nodes").repartition("prefix").sortWithinPartitions("prefix")
-    cold = grouped.mapInArrow(subtrees, "t1 long, t2 long, from int, to int")
+    grouped = rows.where(F.col("n") <= limit).select("prefix", "doc_id", "t1", "t2", "start", "lead", "body").repartition("prefix").sortWithinPartitions("prefix")
+    cold = grouped.mapInArrow(trees, "t1 long, t2 long, from int, to int")
     single = rows.where(F.col("n") > limit).select("prefix", "doc_id", "t1", "t2", "start", F.posexplode("nodes").alias("i", "node"))
     # a table of its own, so that the join shuffles both sides and Spark can split a node that very many documents hold
     least = scratch.stage(single.groupBy("prefix", "node").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest"), "least")
