@@ -18,7 +18,9 @@ chunk.
 Turns are ordered by turn, then role and text, so turns that tie have a defined
 order. A null conv_id names no conversation: each such row is one of a single
 turn. Null roles render as ``unknown``, null texts as nothing. Exactly repeated
-turn rows count as turns. Extra columns are ignored.
+turn rows count as turns. In roles and texts a backslash is doubled and ``<|``
+becomes ``<\\|``, so that no text can forge a turn. Of equal conversations the
+smallest id stays. An empty table gives no chats. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,13 +53,18 @@ def in_place(pos: Column) -> tuple[Column, Column]:
     return F.xxhash64(pos, "a", "b").alias("a"), F.xxhash64(pos, "b", F.lit(11), "a").alias("b")
 
 
+def escaped(column: str) -> Column:
+    """The column with its delimiters escaped, so that no text can pass for a turn; reversible."""
+    return F.replace(F.replace(F.col(column), F.lit("\\"), F.lit("\\\\")), F.lit(OPEN), F.lit("<\\|"))
+
+
 def piece() -> Column:
-    return F.concat(F.lit(OPEN), "role", F.lit(MIDDLE), "text", F.lit("\n" + CLOSE)).alias("t")
+    return F.concat(F.lit(OPEN), escaped("role"), F.lit(MIDDLE), escaped("text"), F.lit("\n" + CLOSE)).alias("t")
 
 
 def long_conversations(turns: DataFrame, long_turns: int, row_bytes: int) -> DataFrame:
     """conv_id, n (turns), size (bytes of chat) of the conversations that are dealt into ranges."""
-    size = F.octet_length("role") + F.octet_length("text") + len(OPEN + MIDDLE + "\n" + CLOSE)
+    size = F.octet_length(escaped("role")) + F.octet_length(escaped("text")) + len(OPEN + MIDDLE + "\n" + CLOSE)
     known = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("size"))
     return known.where((F.col("n") > long_turns) | (F.col("size") > row_bytes))
 
@@ -174,7 +181,7 @@ kept AS (
   SELECT * FROM whole w
   WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = w.n AND p.prefix = w.prefix))
 SELECT k.conv_id, k.n::BIGINT AS n_turns, k.n_copies::BIGINT AS n_copies,
-       string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.pos) AS chat
+       string_agg('<|' || replace(replace(role, '\\', '\\\\'), '<|', '<\\|') || '|>' || chr(10) || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.pos) AS chat
 FROM kept k JOIN t ON t.conv_id = k.conv_id
 GROUP BY 1, 2, 3
 """
