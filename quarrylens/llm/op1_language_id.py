@@ -12,8 +12,10 @@ not come out as certain.
 
 Null texts and texts without a letter give ``und`` with score 0; so does
 everything when there is no training row. Rows with a null lang are not learned
-from. Extra columns are kept by ``with_language``; repeated rows are predicted
-alike. A tie goes to the language that is first in alphabetical order.
+from. Extra columns are kept by ``with_language``, clashing names included: the
+new column's name gets underscores until it is free. Repeated rows are predicted
+alike. A tie goes to the language that is first in alphabetical order. A very
+long text is a slice of its own, read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import crc_mod
+from quarrylens.llm.common import crc_mod, fresh
 
 BUCKETS, ORDERS, EVIDENCE, SLICE_CHARS = 1 << 15, (1, 2, 3), 60.0, 1 << 19
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -138,7 +140,7 @@ def predict(texts: list[str | None], langs: list[str], logp: np.ndarray, prior:
 
 
 def with_language(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """df with _language (struct of lang and score)."""
+    """df with a last column _language (struct of lang and score); where df has that name, underscores are added."""
     share = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double>")
@@ -146,7 +148,7 @@ def with_language(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]
         names, scores = predict(texts.tolist(), *share.value)
         return pd.DataFrame({"lang": names, "score": scores})
 
-    return df.withColumn("_language", language(F.col(text_col)))
+    return df.select("*", language(F.col(text_col)).alias(fresh(df, "_language")))
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

@@ -16,11 +16,13 @@ Candidates are verified exactly: the distinct shingles of the item that occur
 anywhere in the document, over the item's. Shingles as in the Jaccard join:
 A-Z lower-cased, whole texts; a text of fewer than five words is one shingle.
 
-Items are taken in blocks of ``BLOCK_ITEMS``, so what is broadcast is bounded
-however many there are; a further block costs a further pass over the
+Distinct items are taken in blocks of about ``BLOCK_ITEMS`` and ``BLOCK_BYTES``
+of text, so what is broadcast is bounded however many there are; a further block costs a further pass over the
 documents. Null or empty texts and items match nothing. Rows that repeat an id
-are searched one by one, and equal pairs are returned once. An empty table gives
-no pairs.
+are searched one by one, and equal pairs are returned once. A document that ties
+on the containment of several items is returned with each. Very long documents
+are searched whole, as slices of their own. An empty table gives no pairs. Extra
+columns are ignored by ``contained`` and kept by ``without``.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import slices, utf8
 from quarrylens.llm.kernels import Words, mix, shingle_sets
 
-SHINGLE, HASHES, CONTAINMENT, BLOCK_ITEMS = 5, 32, 0.75, 10_000
+SHINGLE, HASHES, CONTAINMENT, BLOCK_ITEMS, BLOCK_BYTES = 5, 32, 0.75, 10_000, 32 << 20
 _U = np.uint64
 _A = mix(np.arange(1, HASHES + 1, dtype=_U)) | _U(1)
 _B = mix(np.arange(101, HASHES + 101, dtype=_U))
@@ -147,8 +149,9 @@ SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, contai
 def indexes(items: DataFrame, block_items: int) -> Iterator[Broadcast]:
     """The index of each block of items."""
     spark = items.sparkSession
-    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // block_items))
+    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    size = items.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    blocks = max(1, -(-size["rows"] // block_items), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         yield spark.sparkContext.broadcast(Index([r["item_id"] for r in block], [r["text"] for r in block]))
