@@ -44,8 +44,8 @@ from quarrylens.llm.kernels import Words, range_hash, winnow
 from quarrylens.llm.repeats import anchors, keyed, merge, repeated, text_classes
 
 WINDOW, PREFIX = 50, 10
-#: Passages of a group beyond which its prefixes are lengthened, and passages that a task holds at a time (some 10 MB).
-LIMIT, HELD = 2_048, 20_000
+#: Passages (of some 430 bytes) of a group beyond which its prefixes are lengthened, and passages that a task holds before it solves them.
+LIMIT, HELD, PART = 2_048, 2_000, 500
 
 
 def windows_of(raw: np.ndarray, offs: np.ndarray, window: int, prefix: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,22 +171,22 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
             )
 
         last_prefix = None
-        for b in batches:  # sorted by prefix: whole groups are solved as soon as enough rows are held
-            if not len(b):
-                continue
-            keys = np.asarray(b.column(0))
-            if count >= HELD:
-                # the held rows end with the group that this batch may go on with
-                cut = int(np.searchsorted(keys != last_prefix, True)) if keys[0] == last_prefix else 0
-                if cut < len(b):
-                    if cut:
-                        held.append(b.slice(0, cut))
-                    yield solve(pa.Table.from_batches(held))
-                    held, count = [], 0
-                    b = b.slice(cut)
-            held.append(b)
-            count += len(b)
-            last_prefix = keys[-1]
+        for b in batches:  # sorted by prefix: whole groups are solved as soon as enough passages are held
+            for at in range(0, len(b), PART):
+                part = b.slice(at, PART)
+                keys = np.asarray(part.column(0))
+                if count >= HELD:
+                    # the held passages end with the group that this part may go on with
+                    cut = int(np.searchsorted(keys != last_prefix, True)) if keys[0] == last_prefix else 0
+                    if cut < len(part):
+                        if cut:
+                            held.append(part.slice(0, cut))
+                        yield solve(pa.Table.from_batches(held))
+                        held, count = [], 0
+                        part = part.slice(cut)
+                held.append(part)
+                count += len(part)
+                last_prefix = keys[-1]
         if held:
             yield solve(pa.Table.from_batches(held))
 
