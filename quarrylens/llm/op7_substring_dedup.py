@@ -45,7 +45,7 @@ from quarrylens.llm.repeats import anchors, keyed, merge, repeated, text_classes
 
 WINDOW, PREFIX = 50, 10
 #: Passages (of some 430 bytes) of a group beyond which its prefixes are lengthened, and passages that a task holds before it solves them.
-LIMIT, HELD, PART = 2_048, 2_000, 500
+LIMIT, HELD, PART = 8_192, 2_000, 500
 
 
 def windows_of(raw: np.ndarray, offs: np.ndarray, window: int, prefix: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
