@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -69,18 +69,24 @@ def normalized_package(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"[-_.]+", "-"))
 
 
-@F.pandas_udf(DoubleType())
-def byte_entropy(texts: pd.Series) -> pd.Series:
-    """Shannon entropy of the UTF-8 bytes, bits a byte; 0 for nothing."""
-
-    def one(t: str | None) -> float:
-        if not t:
-            return 0.0
-        n = np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
-        p = n[n > 0] / n.sum()
-        return float(-(p * np.log2(p)).sum()) + 0.0
-
-    return texts.map(one)
+@F.arrow_udf(DoubleType())
+def byte_entropy(texts: pa.Array) -> pa.Array:
+    """Shannon entropy of the UTF-8 bytes, bits a byte; 0 for nothing. Counts are taken on the Arrow buffer."""
+    if not len(texts):
+        return pa.array([], pa.float64())
+    wide = pa.types.is_large_string(texts.type)
+    column = texts.fill_null("") if texts.null_count else texts
+    _, off, data = column.buffers()
+    offs = np.frombuffer(off, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    size, out = np.diff(offs), np.zeros(len(column))
+    for i in range(0, len(column), 256):
+        n = size[i : i + 256]
+        part = raw[offs[i] - offs[0] : offs[i + len(n)] - offs[0]]
+        counts = np.bincount(np.repeat(np.arange(len(n)) * 256, n) + part, minlength=256 * len(n)).reshape(-1, 256)
+        p = counts / np.maximum(n, 1)[:, None]
+        out[i : i + 256] = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1) + 0.0
+    return pa.array(out)
 
 
 def osa_at_most_one(a: Column, b: Column) -> Column:

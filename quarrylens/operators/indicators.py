@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +31,52 @@ def indicator_hits(lines: DataFrame, indicators: DataFrame) -> DataFrame:
     return each.join(indicators.select(F.lower("value").alias("value")).distinct(), "value").select("path", "line", "value")
 
 
+#: Indicators that one automaton holds; a longer list is searched in blocks.
+LITERALS = 100_000
+
+
+def literal_hits(lines: DataFrame, indicators: DataFrame, block: int = LITERALS) -> DataFrame:
+    """path, line, value of indicators(value, exact: boolean) that stand anywhere in the line, whatever surrounds them.
+
+    Case counts for exact ones (addresses) only. One pass over the lines for each
+    ``block`` indicators, by an Aho-Corasick automaton in the tasks: the work does not
+    grow with lines times indicators, and what is broadcast has a bound.
+    """
+    wanted = indicators.where("length(value) > 0").select(F.when(F.col("exact"), F.col("value")).otherwise(F.lower("value")).alias("value"), "exact").distinct()
+    blocks = max(1, -(-wanted.count() // block))
+    out = None
+    for k in range(blocks):
+        part = [(r["value"], r["exact"]) for r in wanted.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k).collect()]
+        share = lines.sparkSession.sparkContext.broadcast(part)
+
+        def search(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
+            machines = []
+            for exact in (True, False):
+                a = ahocorasick.Automaton()
+                for value, kind in share.value:
+                    if kind == exact:
+                        a.add_word(value, value)
+                if len(a):
+                    a.make_automaton()
+                    machines.append((a, exact))
+            for b in batches:
+                found = [
+                    (i, v)
+                    for i, text in enumerate(b.column(2).to_pylist()) if text
+                    for v in sorted({v for a, exact in machines for _, v in a.iter(text if exact else text.lower())})
+                ]
+                rows = pa.array([i for i, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([v for _, v in found], pa.string())], ["path", "line", "value"])
+
+        each = lines.select("path", F.col("line").cast("int").alias("line"), "content").mapInArrow(search, "path string, line int, value string")
+        out = each if out is None else out.union(each)
+    return out
+
+
 def glob_regex(glob: str) -> str:
-    """Anchored pattern of a path glob: ** crosses folders, * and ? do not."""
-    parts = re.split(r"(\*\*|\*|\?)", glob)
-    meaning = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    """Anchored pattern of a path glob: **/ is any number of folders, ** anything, * and ? stay in a folder."""
+    parts = re.split(r"(\*\*/|\*\*|\*|\?)", glob)
+    meaning = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
     return "^" + "".join(meaning.get(p, re.escape(p)) for p in parts) + "$"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,13 +31,37 @@ def digest_matches(files: DataFrame, known: DataFrame) -> DataFrame:
     return each.join(known.where(F.length("digest").isin(64, 32)), "digest")
 
 
+# Fixed value: what counts as a token of a deny list.
+DENY_TOKEN = r"[A-Za-z0-9][A-Za-z0-9._-]*"
+#: Terms that are broadcast at most: 64 hex digits each.
+BROADCAST_TERMS = 200_000
+
+
+def deny_tokens(lines: DataFrame) -> DataFrame:
+    """path, line, token: lower-cased tokens without . _ - at their end, those without .git, and pairs a/b of neighbours; some repeat."""
+    trim = lambda t: F.regexp_replace(t, r"[._-]+$", "")
+    single = lines.select("path", "line", F.explode(F.regexp_extract_all("content", F.lit(DENY_TOKEN), F.lit(0))).alias("token"))
+    # only lines with a slash can hold a pair
+    parts = F.split("content", "/")
+    last, first = (lambda x: F.regexp_extract(x, f"{DENY_TOKEN}$", 0)), (lambda x: F.regexp_extract(x, f"^{DENY_TOKEN}", 0))
+    ends = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda x, y: F.when((last(x) != "") & (first(y) != ""), F.concat(last(x), F.lit("/"), first(y))))
+    pairs = lines.where(F.col("content").contains("/")).select("path", "line", F.explode(ends).alias("token")).where("token IS NOT NULL")
+    trimmed = single.union(pairs).select("path", "line", F.lower(F.when(F.col("token").rlike("[._-]$"), trim(F.col("token"))).otherwise(F.col("token"))).alias("token"))
+    git = trimmed.where(F.col("token").endswith(".git")).select("path", "line", F.regexp_replace("token", r"\.git$", "").alias("token"))
+    return trimmed.union(git).where(F.length("token").between(2, 200))
+
+
 def deny_terms(lines: DataFrame, terms: DataFrame, salt: str = "") -> DataFrame:
-    """path, line, digest of tokens whose salted hash is a deny term's; the term itself is never shown."""
-    token = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9][A-Za-z0-9._-]*"), F.lit(0)))).alias("token")
-    trimmed = F.regexp_replace("token", r"[._-]+$", "")
-    each = lines.select("path", "line", token).select("path", "line", trimmed.alias("token")).where(F.length("token").between(2, 200))
-    hashed = each.select("path", "line", F.sha2(F.concat(F.lit(salt + "\n"), F.lower("token")), 256).alias("digest")).distinct()
-    return hashed.join(terms, "digest")
+    """path, line, digest of tokens whose salted hash is a deny term's; the term itself is never shown.
+
+    Hashes meet the terms where they are made; only hits are shuffled. Terms are a
+    list of an organisation's names: it is broadcast if its count is small.
+    """
+    wanted = terms.select("digest").distinct()
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    hashed = deny_tokens(lines).select("path", "line", F.sha2(F.concat(F.lit(salt + "\n"), "token"), 256).alias("digest"))
+    return hashed.join(wanted, "digest").distinct()
 
 
 def similar_names(names: DataFrame, popular: list[str], allowed: tuple[str, ...] = ()) -> DataFrame:
@@ -88,3 +112,12 @@ def orphans(locked: DataFrame, declared: DataFrame) -> DataFrame:
 
 def changed_only(findings: DataFrame, changed: DataFrame) -> DataFrame:
     return findings.join(changed, "file", "left_semi")
+
+
+def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """a, b, depth: every b that a needs, by any path of edges(a, b: int); edges must not form a cycle."""
+    return spark.sql(
+        """WITH RECURSIVE r AS (SELECT a, b, 1 AS depth FROM {edges} UNION ALL SELECT r.a, e.b, r.depth + 1 FROM r JOIN {edges} e ON r.b = e.a)
+        SELECT a, b, depth FROM r""",
+        edges=edges,
+    )

@@ -7,6 +7,8 @@ without a hit yields no row. Guards on the path are evaluated once a file.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,13 @@ from pyspark.sql.window import Window
 
 @dataclass(frozen=True)
 class Rule:
-    """A line pattern with guards; ``spans`` > 1 matches that many lines joined by a newline."""
+    """A line pattern with guards.
+
+    ``spans`` > 1 matches that many lines joined by a newline; a match belongs to
+    the line where it starts, and a dot matches the newline too. ``accept`` is a
+    condition on the value of ``group``; ``exempt`` is a pattern of lines that the
+    rule skips; ``flags`` are inline flags such as ``i``.
+    """
 
     id: str
     severity: str
@@ -26,10 +34,42 @@ class Rule:
     not_path: str | None = None
     requires: str | None = None
     spans: int = 1
+    flags: str = ""
+    group: int = 0
+    accept: Callable[[Column], Column] | None = None
+    exempt: str | None = None
 
     def __post_init__(self) -> None:
         if not 1 <= self.spans <= 20:
             raise ValueError(f"{self.id}: a rule spans 1 to 20 lines")
+        if not self.id or not self.pattern:
+            raise ValueError("a rule has an id and a pattern")
+        try:
+            re.compile(self.pattern)
+        except re.error as e:
+            raise ValueError(f"{self.id}: {e}") from e
+
+    @property
+    def regex(self) -> str:
+        flags = self.flags + ("s" if self.spans > 1 else "")
+        head = f"(?{flags})" if flags else ""
+        return head + (rf"\A[^\n]*?(?:{self.pattern})" if self.spans > 1 else self.pattern)
+
+    def hits(self, content: Column) -> Column:
+        out = content.rlike(self.regex)
+        if self.accept is not None:
+            out = out & self.accept(F.regexp_extract(content, self.regex, self.group))
+        if self.exempt:
+            out = out & ~content.rlike(self.exempt)
+        return out
+
+
+def validated(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    """The rules, if no two have the same id."""
+    ids = [r.id for r in rules]
+    if again := sorted({i for i in ids if ids.count(i) > 1}):
+        raise ValueError(f"ids of several rules: {', '.join(again)}")
+    return rules
 
 
 DEFAULT = (
@@ -67,7 +107,7 @@ def line_hits(files: DataFrame, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
             each = each.withColumn(f"span{r}", F.concat_ws("\n", "content", *(F.lead("content", k).over(w) for k in range(1, r))))
     hits = F.array(
         *(
-            F.when(F.element_at("allowed", k + 1) & F.col("content" if r.spans == 1 else f"span{r.spans}").rlike(r.pattern), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence")))
+            F.when(F.element_at("allowed", k + 1) & r.hits(F.col("content" if r.spans == 1 else f"span{r.spans}")), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence")))
             for k, r in enumerate(rules)
         )
     )

@@ -58,12 +58,13 @@ def first_hit_per_file_rule(spark, d):
     return rules.first_hits(_hits(spark, d))
 
 
-@query(f"""SELECT path, line::INT AS line, 'LICENSE_THEN_LINE' AS rule FROM (
-  SELECT path, line, content, lead(content) OVER (PARTITION BY path ORDER BY line) AS nxt FROM {LINES})
-  WHERE regexp_matches(content || chr(10) || nxt, '[a-z]\\.\\n(The|Licensed) ')""")
+@query(f"""SELECT path, line::INT AS line, r.rule FROM (
+  SELECT path, line, content, lead(content) OVER (PARTITION BY path ORDER BY line) AS nxt FROM {LINES}) l
+  JOIN (VALUES ('LICENSE_THEN_LINE', '[a-z]\\.\\n(The|Licensed) '), ('LICENSE_ALONE', 'Licensed under'), ('LICENSE_FAR', 'Licensed.*\\.')) r(rule, pattern)
+  ON regexp_matches(concat_ws(chr(10), content, nxt), '(?s)^[^\\n]*?(?:' || r.pattern || ')')""")
 def windowed_rule_hits(spark, d):
-    rule = rules.Rule("LICENSE_THEN_LINE", "low", r"[a-z]\.\n(The|Licensed) ", spans=2)
-    return rules.line_hits(tables.files(spark, d), (rule,)).select("path", "line", "rule")
+    found = (("LICENSE_THEN_LINE", r"[a-z]\.\n(The|Licensed) "), ("LICENSE_ALONE", "Licensed under"), ("LICENSE_FAR", r"Licensed.*\."))
+    return rules.line_hits(tables.files(spark, d), tuple(rules.Rule(i, "low", p, spans=2) for i, p in found)).select("path", "line", "rule")
 
 
 @query(f"""SELECT path, line::INT AS line, rule FROM {HITS} WHERE rule = 'CONTACT_EMAIL' AND regexp_matches(path, '^src1') AND NOT regexp_matches(path, '7$')""")
@@ -172,9 +173,9 @@ def org_shared_rules(spark, d):
     return analytics.shared_rules(tables.order_findings(spark, d))
 
 
-@query(f"SELECT rule, n_targets, all_targets FROM (SELECT rule, count(DISTINCT target)::BIGINT AS n_targets FROM {ORDERS} GROUP BY 1), (SELECT count(DISTINCT target)::BIGINT AS all_targets FROM {ORDERS}) WHERE n_targets >= 3 AND 2 * n_targets >= all_targets")
+@query(f"SELECT rule, n_targets, all_targets FROM (SELECT rule[1] AS rule, count(DISTINCT target)::BIGINT AS n_targets FROM {ORDERS} GROUP BY 1), (SELECT count(DISTINCT target)::BIGINT AS all_targets FROM {ORDERS}) WHERE n_targets >= 3 AND 2 * n_targets >= all_targets")
 def posture_systemic_rules(spark, d):
-    return analytics.systemic_rules(tables.order_findings(spark, d))
+    return analytics.systemic_rules(tables.order_findings(spark, d).withColumn("rule", F.substring("rule", 1, 1)))
 
 
 @query(f"SELECT rule, count(*)::BIGINT AS n, min(seq)::BIGINT AS first_seq FROM {ORDERS} GROUP BY 1 ORDER BY n DESC, first_seq LIMIT 5")
@@ -226,18 +227,16 @@ def _deps(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""WITH names AS (SELECT p_name AS name, dense_rank() OVER (ORDER BY p_name) AS k FROM (SELECT DISTINCT p_name FROM part)),
+@query("""WITH names AS (SELECT p_name AS name, min(p_partkey) AS k FROM part GROUP BY 1),
   feed AS (SELECT k * 2 AS pos, name, (k % 5 + 1)::VARCHAR AS version FROM names WHERE k % 2 = 0 UNION ALL SELECT k * 2 + 1, name, NULL FROM names WHERE k % 3 = 0),
   hits AS (SELECT l_orderkey, l_linenumber, p_name AS name, pos, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY pos) AS rn
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN feed ON feed.name = p_name AND (feed.version IS NULL OR feed.version = l_quantity::INT::VARCHAR))
   SELECT l_orderkey, l_linenumber, name, pos::INT AS pos FROM hits WHERE rn = 1""")
 def ioc_prefixed_match(spark, d):
-    from pyspark.sql.window import Window
-
-    names = tables.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("k", F.dense_rank().over(Window.orderBy("name")))
+    names = tables.table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k"))
     pinned = names.where("k % 2 = 0").select((F.col("k") * 2).alias("pos"), "name", (F.col("k") % 5 + 1).cast("string").alias("version"))
     bare = names.where("k % 3 = 0").select((F.col("k") * 2 + 1).alias("pos"), "name", F.lit(None).cast("string").alias("version"))
-    return lookups.first_indicator(_deps(spark, d), pinned.union(bare), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "name", "pos")
+    return lookups.first_indicator(_deps(spark, d), pinned.union(bare), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "name", F.col("pos").cast("int").alias("pos"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, p_name AS name, l_quantity::INT::VARCHAR AS version FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -248,17 +247,33 @@ def known_bad_version(spark, d):
 
 
 @query("SELECT sha256(text) AS digest, count(*)::BIGINT AS n, min(source || '/' || doc_id::VARCHAR) AS first_path FROM documents GROUP BY 1 HAVING count(*) > 1")
-def digest_match(spark, d):
+def digest_groups(spark, d):
     return lookups.digest_groups(tables.files(spark, d))
 
 
-@query(f"""SELECT DISTINCT path, line::INT AS line, digest FROM (
-  SELECT path, line, sha256(chr(10) || lower(regexp_replace(token, '[._-]+$', ''))) AS digest, length(regexp_replace(token, '[._-]+$', '')) AS n
-  FROM (SELECT path, line, unnest(regexp_extract_all(content, '[A-Za-z0-9][A-Za-z0-9._-]*')) AS token FROM {LINES}))
-  WHERE n BETWEEN 2 AND 200 AND digest IN (sha256(chr(10) || 'token'), sha256(chr(10) || 'apache'), sha256(chr(10) || 'idiot'))""")
+@query("""WITH k AS (SELECT CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE md5(text) END AS digest FROM documents WHERE doc_id % 7 < 2)
+  SELECT DISTINCT source || '/' || doc_id::VARCHAR AS path, digest FROM documents JOIN k ON digest = sha256(text) OR digest = md5(text)""")
+def digest_match(spark, d):
+    body = F.col("text").cast("binary")
+    known = tables.table(spark, d, "documents").where("doc_id % 7 < 2").select(F.when(F.col("doc_id") % 2 == 0, F.sha2(body, 256)).otherwise(F.md5(body)).alias("digest"))
+    short = known.select(F.substring("digest", 1, 40).alias("digest"))  # of another length: never matched
+    return lookups.digest_matches(tables.files(spark, d), known.union(short).distinct())
+
+
+@query(f"""WITH l AS (SELECT path, line, content FROM {LINES} UNION ALL SELECT url, 1, url FROM pages),
+  t AS (SELECT path, line, regexp_replace(token, '[._-]+$', '') AS token FROM (SELECT path, line, unnest(regexp_extract_all(content, '[A-Za-z0-9][A-Za-z0-9._-]*')) AS token FROM l)),
+  s AS (SELECT path, line, string_split(content, '/') AS p FROM l WHERE contains(content, '/')),
+  q AS (SELECT path, line, regexp_extract(p[i], '[A-Za-z0-9][A-Za-z0-9._-]*$') AS a, regexp_extract(p[i + 1], '^[A-Za-z0-9][A-Za-z0-9._-]*') AS b FROM (SELECT *, unnest(range(1, len(p))) AS i FROM s)),
+  u AS (SELECT * FROM t UNION ALL SELECT path, line, a || '/' || regexp_replace(b, '[._-]+$', '') FROM q WHERE a <> '' AND b <> ''),
+  v AS (SELECT path, line, lower(token) AS token FROM u UNION ALL SELECT path, line, lower(regexp_replace(token, '\\.git$', '')) FROM u)
+  SELECT DISTINCT path, line::INT AS line, sha256(chr(10) || token) AS digest FROM v WHERE length(token) BETWEEN 2 AND 200
+    AND (token IN ('token', 'apache', 'idiot') OR token IN (SELECT lower(regexp_extract(url, '//([^/]+/[A-Za-z0-9_-]+)', 1)) FROM pages WHERE page_id % 5 = 0))""")
 def hashed_deny_terms(spark, d):
-    terms = spark.createDataFrame([("token",), ("apache",), ("idiot",)], "t string").select(F.sha2(F.concat(F.lit("\n"), "t"), 256).alias("digest"))
-    return lookups.deny_terms(rules.lines(tables.files(spark, d)), terms).select("path", "line", "digest")
+    pages = tables.table(spark, d, "pages")
+    pairs = pages.where("page_id % 5 = 0").select(F.lower(F.regexp_extract("url", "//([^/]+/[A-Za-z0-9_-]+)", 1)).alias("t")).where("t <> ''")
+    terms = spark.createDataFrame([("token",), ("apache",), ("idiot",)], "t string").union(pairs).select(F.sha2(F.concat(F.lit("\n"), "t"), 256).alias("digest"))
+    every = rules.lines(tables.files(spark, d)).union(pages.select("url", F.lit(1), "url"))
+    return lookups.deny_terms(every, terms).select("path", "line", "digest")
 
 
 @query("""SELECT DISTINCT x.p_brand AS a, y.p_brand AS b FROM part x JOIN part y ON x.p_brand < y.p_brand AND damerau_levenshtein(x.p_brand, y.p_brand) <= 1""")
@@ -304,10 +319,8 @@ def orphans(spark, d):
   r AS (SELECT a, b, 1 AS depth FROM e UNION ALL SELECT r.a, e.b, depth + 1 FROM r JOIN e ON r.b = e.a)
   SELECT a, b, depth::INT AS depth FROM r""")
 def transitive_needs(spark, d):
-    tables.table(spark, d, "nation").createOrReplaceTempView("quarrylens_nation")
-    return spark.sql("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey DIV 2 AS b FROM quarrylens_nation WHERE n_nationkey > 0),
-      r AS (SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, 1 AS depth FROM e UNION ALL SELECT r.a, CAST(e.b AS INT), depth + 1 FROM r JOIN e ON r.b = e.a)
-      SELECT a, b, depth FROM r""")
+    n = tables.table(spark, d, "nation").where("n_nationkey > 0")
+    return lookups.closure(spark, n.select(F.col("n_nationkey").cast("int").alias("a"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("b")))
 
 
 # ------------------------------------------------------------------ time

@@ -8,6 +8,7 @@ from quarrylens.functions import scalars
 from quarrylens.operators import indicators, rules, triage
 from quarrylens.plans.catalog import DAILY, HITS, LINES, NOW, ORDERS, RANK, _daily, query
 from quarrylens.sources import tables
+from quarrylens.streaming import monitor
 
 DOMAINS = ("mail2.example.com", "Mail5.example.com", "apache", "example.com")
 
@@ -18,15 +19,27 @@ def _located(spark, d):
 
 @query(f"""SELECT DISTINCT path, line::INT AS line, value FROM (SELECT path, line, unnest(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9.-]*[a-z0-9]')) AS token FROM {LINES})
   JOIN (VALUES {", ".join(f"('{x.lower()}')" for x in DOMAINS)}) i(value) ON token = value OR ends_with(token, '.' || value)""")
-def indicator_contains(spark, d):
+def indicator_domains(spark, d):
     known = spark.createDataFrame([(x,) for x in DOMAINS], "value string")
     return indicators.indicator_hits(rules.lines(tables.files(spark, d)), known)
 
 
-@query(f"SELECT path, line::INT AS line, rule FROM {HITS} WHERE NOT (rule = 'CONTACT_EMAIL' AND regexp_matches(path, '^src1[^/]*/.*$')) AND NOT (rule = 'ADDRESS_IPV4' AND regexp_matches(path, '^src2/[^/]5$'))")
+LITERALS = [("pache", False), ("EXAMPLE.com", False), ("icensed under", True), ("LICENSED UNDER", True), ("n = \"", False), ("@", True)]
+
+
+@query(f"""SELECT path, line::INT AS line, CASE WHEN exact THEN value ELSE lower(value) END AS value FROM {LINES}
+  JOIN (VALUES {", ".join(f"('{v}', {e})" for v, e in LITERALS)}) i(value, exact) ON CASE WHEN exact THEN contains(content, value) ELSE contains(lower(content), lower(value)) END""")
+def indicator_contains(spark, d):
+    return indicators.literal_hits(rules.lines(tables.files(spark, d)), spark.createDataFrame(LITERALS, "value string, exact boolean"))
+
+
+GLOBS = {"CONTACT_EMAIL": (["src1*/**", "**/1?"], ["^src1[^/]*/.*$", "^(.*/)?1[^/]$"]), "ADDRESS_IPV4": (["src2/?5", "src2/**/?7"], ["^src2/[^/]5$", "^src2/(.*/)?[^/]7$"]), "LICENSE_NOTICE": (["**/*1"], ["^(.*/)?[^/]*1$"])}
+
+
+@query(f"SELECT path, line::INT AS line, rule FROM {HITS} WHERE NOT ({' OR '.join(f"rule = '{r}' AND regexp_matches(path, '{p}')" for r, (_, ps) in GLOBS.items() for p in ps)})")
 def policy_glob_suppression(spark, d):
     hits = rules.line_hits(tables.files(spark, d))
-    return indicators.not_globbed(hits, {"CONTACT_EMAIL": ["src1*/**"], "ADDRESS_IPV4": ["src2/?5"]}).select("path", "line", "rule")
+    return indicators.not_globbed(hits, {r: globs for r, (globs, _) in GLOBS.items()}).select("path", "line", "rule")
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(p, '/(es|it)/') THEN 'example' WHEN regexp_matches(p, '/(de|fr)/') THEN 'prose' ELSE 'source' END AS surface
@@ -50,9 +63,9 @@ def long_token_entropy(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", token).withColumn("entropy", F.round(scalars.byte_entropy("token"), 6))
 
 
-@query("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@query("SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def digest_bridge(spark, d):
-    return indicators.single_valued(tables.table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+    return indicators.single_valued(tables.table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 @query(f"""SELECT 'repository' AS type, source AS id, count(*)::BIGINT AS n FROM {HITS} GROUP BY 2 UNION ALL SELECT 'file', path, count(*)::BIGINT FROM {HITS} GROUP BY 2
@@ -107,7 +120,8 @@ def junit_summary(spark, d):
     return triage.suite_rows(tables.order_findings(spark, d))
 
 
-@query("SELECT user_id, count(*)::BIGINT AS seen, max(ts) AS newest, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY 1")
+@query("SELECT user_id AS key, count(*)::BIGINT AS seen, max(ts) AS newest FROM events GROUP BY 1")
 def stream_last_seen(spark, d):
-    newest = F.max_by("event_type", F.struct("ts", "event_id")).alias("kind")
-    return tables.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("seen"), F.max("ts").alias("newest"), newest)
+    schema = tables.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return monitor.newest_state(monitor.replay(spark, monitor.last_seen(events), "last-seen")).select("key", "seen", "newest")

@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer splits than that (a small table of one row group); otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as path, source, text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "source", "text")
 
 
@@ -29,9 +35,17 @@ def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder as path, size, content; .git, node_modules and other generated folders are left out."""
-    # Folders that a scan does not enter.
-    excluded = ["node_modules", ".git", "dist", "build", "coverage", ".next", "vendor", "__pycache__"]
+# Folders that a scan does not enter.
+EXCLUDED = ("node_modules", ".git", "__pycache__", ".venv", "venv", ".claude")
+
+
+def tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, max_depth: int = 20) -> DataFrame:
+    """Files below a folder as path, rel (below the root), size, content, depth; folders that are excluded or too deep are not entered.
+
+    Only what lies below the root counts: the root itself may have any name.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded)))).select("path", F.col("length").alias("size"), "content")
+    named = raw.withColumn("rel", F.regexp_extract("path", r"\Q" + root.rstrip("/").removeprefix("file:") + r"\E/+(.*)$", 1))
+    folders = F.slice(F.split("rel", "/"), 1, F.greatest(F.size(F.split("rel", "/")) - 1, F.lit(0)))
+    inside = named.where(~F.arrays_overlap(folders, F.array(*map(F.lit, excluded)))).withColumn("depth", F.size(folders))
+    return inside.where(F.col("depth") <= max_depth).select("path", "rel", F.col("length").alias("size"), "content", "depth")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,3 +37,55 @@ def last_seen(events: DataFrame, key: str = "user_id", at: str = "ts", what: str
     return events.groupBy(key).applyInPandasWithState(
         update, "key long, seen long, newest timestamp, kind string, known boolean", "seen long, newest timestamp, kind string", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; a temporary one only in local mode where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def replay(spark: SparkSession, out: DataFrame, name: str, mode: str = "update") -> DataFrame:
+    """The rows that a streaming frame gives for all that its source has now, with the batch they came in."""
+    folder = shared_folder(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/b{number}")
+
+    out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").schema(out.withColumn("batch", F.lit(0)).schema).parquet(f"{folder}/rows")
+
+
+def newest_state(rows: DataFrame, key: str = "key") -> DataFrame:
+    """The last state of each key of a replay."""
+    return rows.groupBy(key).agg(F.max_by(F.struct("*"), "batch").alias("s")).select("s.*").drop("batch")
+
+
+def alerts(events: DataFrame, key: str = "user_id", at: str = "ts", what: str = "event_type") -> DataFrame:
+    """key, at, what, newest_before: one row for each event that is newer than the last one seen of its key; the first batch of a key only sets the state."""
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (seen,) = state.get if state.exists else (None,)
+        rows = pd.concat(frames)
+        newest = rows[at].max()
+        if seen is not None:
+            fresh = rows[rows[at] > seen].drop_duplicates([at, what]).sort_values([at, what])
+            yield pd.DataFrame({"key": k[0], "at": fresh[at], "what": fresh[what], "newest_before": seen})
+        state.update((newest if seen is None else max(newest, seen),))
+
+    return events.groupBy(key).applyInPandasWithState(update, "key long, at timestamp, what string, newest_before timestamp", "newest timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
+def memos(transactions: DataFrame, programs: tuple[str, ...]) -> DataFrame:
+    """id, memo: data of the top-level and inner instructions (arrays of struct<program, data>) of the given programs."""
+    every = F.concat(F.coalesce("instructions", F.array()), F.coalesce(F.flatten("inner"), F.array()))
+    return transactions.select("id", F.explode(every).alias("i")).where(F.col("i.program").isin(*programs)).select("id", F.col("i.data").alias("memo"))
+
+
+def once(events: DataFrame, key: str = "event_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Each event once: by id within the watermark on a stream, over all rows on a static frame."""
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
