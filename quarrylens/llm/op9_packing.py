@@ -23,6 +23,7 @@ empty table gives no pieces. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,11 +57,13 @@ class PieceIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.bytes_of = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHED:
             self.clear()
-        ids = self[piece] = self.whole(piece)
+        # the tokenizer's own steps, without the offsets and masks of a whole encoding
+        ids = self[piece] = array("I", [t.id for part, _ in self.bytes_of(piece) for t in self.model.tokenize(part)]).tobytes()
         return ids
 
     def whole(self, text: str) -> bytes:
