@@ -23,12 +23,11 @@ empty table gives no pieces. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from array import array
-from collections.abc import Callable, Iterator
+import base64
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,60 +35,46 @@ from pyspark.sql import functions as F
 SEQ_LEN = 1024
 SEPARATOR = 0
 SPECIAL = "<|endoftext|>"
-#: Distinct pre-tokens that a Python worker keeps.
-CACHED = 500_000
 #: Tokens of a block; the tail of a block is the only padding.
 BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenizer_path() -> str:
+def tokenizer_paths() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class PieceIds(dict):
-    """Ids (little-endian uint32 bytes) of a pre-token, computed by the tokenizers library when first seen."""
+def encoder(json_path: str, ranks_path: str):
+    """text -> uint32 ids, as the tokenizers library gives them for ``json_path`` without special tokens added.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.bytes_of = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        # the tokenizer's own steps, without the offsets and masks of a whole encoding
-        ids = self[piece] = array("I", [t.id for part, _ in self.bytes_of(piece) for t in self.model.tokenize(part)]).tobytes()
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-_caches: dict[str, PieceIds] = {}
-
-
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """text -> uint32 ids, as the tokenizers library gives them for ``path`` without special tokens added.
-
-    Byte-level BPE never merges across pre-tokens, so a text's ids are those of
-    its pre-tokens one after the other, and each distinct pre-token is encoded
-    once in a Python worker. A text that spells the special token is encoded whole.
+    The ranks of the same vocabulary are read by tiktoken, which takes a third of
+    the time or less; a text that spells the special token is left to the
+    tokenizers library itself. Equality is tested on whole tables.
     """
     import public_tokenizers
+    import tiktoken
 
-    if path not in _caches:
-        _caches[path] = PieceIds(path)
-    ids, split = _caches[path], regex.compile(public_tokenizers.PATTERN).findall
+    ranks = {}
+    with open(ranks_path, "rb") as f:
+        for line in f:
+            token, rank = line.split()
+            ranks[base64.b64decode(token)] = int(rank)
+    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    slow: list = []
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
-            return np.frombuffer(ids.whole(text), "<u4")
-        return np.frombuffer(b"".join([ids[p] for p in split(text)]), "<u4")
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(json_path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        except UnicodeEncodeError:
+            return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
 
@@ -140,12 +125,12 @@ def pack_block(ids: list[np.ndarray], seq_len: int) -> list[tuple[int, int, int,
     return out
 
 
-def pack(docs: DataFrame, seq_len: int = SEQ_LEN, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, seq_len: int = SEQ_LEN, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
-    path = path or tokenizer_path()
+    paths = paths or tokenizer_paths()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(*paths)
         part = TaskContext.get().partitionId() << 32
         sequences = 0
         keys: list = []
