@@ -14,9 +14,9 @@ pair of blocks is a task's unit, so hot buckets are spread and none is capped.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing and are kept; so do vectors of different dimensions. Rows that
-repeat an id and vector count as copies of each other; two vectors under one id
-are judged as two rows, each with the links of its own vector. Rows with a null
-id link with nothing, have a null component and are kept. An empty table gives no
+repeat an id and vector count as copies of each other. Different vectors that
+have the same smallest id are one node: each of its rows has the links of all of
+them. Rows with a null id link with nothing, have a null component and are kept. An empty table gives no
 rows. Extra columns are ignored, whatever their names.
 """
 
