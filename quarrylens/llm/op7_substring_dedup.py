@@ -15,10 +15,12 @@ measured on the texts, gives the internal nodes. A node ``window`` words down or
 deeper is a maximal repeat of its suffixes within the passages: it has its depth
 and its smallest document, and removes that depth's words from the others.
 
-A group of more than ``LIMIT`` passages would not be even work or memory. Its
-prefixes are lengthened to ``window`` words: each such prefix is a group of its
-own, whose tree has a single node, of which only the smallest document is needed
-- a minimum that Spark combines before the shuffle, however many suffixes it has.
+A group of more than ``LIMIT`` passages would not be even work or memory. Equal
+passages become one of the smallest document first (the others go whole), which is
+a minimum that Spark combines before the shuffle. Where even the different ones
+are too many, their prefixes are lengthened to ``window`` words: each such prefix
+is a group of its own, whose tree has a single node, of which again only the
+smallest document is needed.
 
 Equal texts are one text with the smallest of their ids; the others are removed
 whole where they have ``window`` words. Rows with a null id are never removed
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +138,7 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
                 edge = np.append(np.flatnonzero(first), len(start))
                 a, s, e = anchor[edge[:-1]], start[edge[:-1]], start[edge[1:] - 1]
                 text = w.doc()[a]
-                hot = n[a] > limit
                 body = raw[offs[i] : offs[j]].tobytes()
-                nodes = range_hash(w.hash, start, start + window).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h[a].view(np.int64)),
@@ -147,13 +148,13 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
                         pa.array(keys[1][i + text]),
                         pa.array((s - w.offs[text]).astype(np.int32)),
                         pa.array((a - s).astype(np.int32)),
-                        pa.array([None if x else body[p:q] for p, q, x in zip(w.starts[s].tolist(), w.ends[e + window - 1].tolist(), hot.tolist(), strict=True)], pa.binary()),
-                        pa.array([nodes[p:q] if x else None for p, q, x in zip(edge[:-1].tolist(), edge[1:].tolist(), hot.tolist(), strict=True)], pa.list_(pa.int64())),
+                        pa.array((e - s + window).astype(np.int32)),
+                        pa.array([body[p:q] for p, q in zip(w.starts[s].tolist(), w.ends[e + window - 1].tolist(), strict=True)], pa.binary()),
                     ],
-                    ["prefix", "n", "doc_id", "t1", "t2", "start", "lead", "body", "nodes"],
+                    ["prefix", "n", "doc_id", "t1", "t2", "start", "lead", "words", "body"],
                 )
 
-    rows = scratch.stage(chosen.mapInArrow(suffixes, "prefix long, n long, doc_id long, t1 long, t2 long, start int, lead int, body binary, nodes array<long>"), "suffixes")
+    rows = scratch.stage(chosen.mapInArrow(suffixes, "prefix long, n long, doc_id long, t1 long, t2 long, start int, lead int, words int, body binary"), "passages")
     scratch.drop(places)
     scratch.sweep()
 
@@ -190,14 +191,41 @@ def spans(scratch: Scratch, docs: DataFrame, classes: DataFrame, window: int, pr
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    grouped = rows.where(F.col("n") <= limit).select("prefix", "doc_id", "t1", "t2", "start", "lead", "body").repartition("prefix").sortWithinPartitions("prefix")
-    cold = grouped.mapInArrow(trees, "t1 long, t2 long, from int, to int")
-    single = rows.where(F.col("n") > limit).select("prefix", "doc_id", "t1", "t2", "start", F.posexplode("nodes").alias("i", "node"))
-    # a table of its own, so that the join shuffles both sides and Spark can split a node that very many documents hold
-    least = scratch.stage(single.groupBy("prefix", "node").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest"), "least")
-    hot = single.join(least, ["prefix", "node"]).where("doc_id > smallest").select("t1", "t2", (F.col("start") + F.col("i")).alias("from"), (F.col("start") + F.col("i") + window).alias("to"))
-    out = scratch.stage(cold.union(hot).groupBy("t1", "t2").agg(F.collect_list(F.struct("from", "to")).alias("runs")), "runs")
-    scratch.drop(rows, least)
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The suffixes of passages (columns as grouped has them), by their first ``window`` words."""
+        for b in batches:
+            raw, offs = utf8(b.column(6))
+            for i, j in slices(offs):
+                w = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                starts = w.counts - window + 1
+                row = np.repeat(np.arange(j - i), starts)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+                suffix = w.offs[row] + at
+                take = pa.array(i + row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(k).take(take) for k in range(4)), pa.array((np.asarray(b.column(4))[i + row] + at).astype(np.int32)), pa.array(range_hash(w.hash, suffix, suffix + window).view(np.int64))],
+                    ["prefix", "doc_id", "t1", "t2", "start", "node"],
+                )
+
+    keys = ["prefix", "h1", "h2"]
+    hot = rows.where(F.col("n") > limit).withColumn("h1", F.xxhash64("lead", "body")).withColumn("h2", F.xxhash64("body", F.lit(1)))
+    least = scratch.stage(hot.groupBy(*keys).agg(F.min("doc_id").alias("smallest")), "least")
+    # a copy of a passage that a smaller document has goes whole; the smallest document's stands for all
+    copies = hot.select(*keys, "doc_id", "t1", "t2", "start", "words").join(least, keys).where("doc_id > smallest").select("t1", "t2", F.col("start").alias("from"), (F.col("start") + F.col("words")).alias("to"))
+    single = scratch.stage(hot.join(least, keys).where("doc_id = smallest").drop("n", "h1", "h2", "smallest", "words"), "single")
+    sizes = scratch.stage(single.groupBy("prefix").agg(F.count("*").alias("n")), "sizes")
+    parted = single.join(sizes, "prefix")
+    columns = ["prefix", "doc_id", "t1", "t2", "start", "lead", "body"]
+    small = rows.where(F.col("n") <= limit).select(*columns).union(parted.where(F.col("n") <= limit).select(*columns))
+    found = [small.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trees, "t1 long, t2 long, from int, to int"), copies]
+    if sizes.where(F.col("n") > limit).head(1):  # even its different passages are too many: prefixes of ``window`` words
+        long = scratch.stage(parted.where(F.col("n") > limit).select(*columns).mapInArrow(nodes, "prefix long, doc_id long, t1 long, t2 long, start int, node long"), "nodes")
+        # a table of its own, so that the join shuffles both sides and Spark can split a node that very many documents hold
+        first = scratch.stage(long.groupBy("prefix", "node").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest"), "first")
+        found.append(long.join(first, ["prefix", "node"]).where("doc_id > smallest").select("t1", "t2", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
+    every = reduce(DataFrame.union, found)
+    out = scratch.stage(every.groupBy("t1", "t2").agg(F.collect_list(F.struct("from", "to")).alias("runs")), "runs")
+    scratch.drop(rows, least, single)
     scratch.sweep()
     return out
 
