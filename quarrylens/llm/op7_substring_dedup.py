@@ -48,7 +48,7 @@ from quarrylens.llm.repeats import anchors, keyed, merge, repeated, text_classes
 
 WINDOW, PREFIX = 50, 10
 #: Passages (of some 430 bytes) of a group beyond which its prefixes are lengthened, and passages that a task holds before it solves them.
-LIMIT, HELD, PART = 8_192, 2_000, 500
+LIMIT, HELD, PART = 32_768, 2_000, 500
 
 
 def windows_of(raw: np.ndarray, offs: np.ndarray, window: int, prefix: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,13 +66,17 @@ def subtrees(flat: np.ndarray, offs: np.ndarray, lead: np.ndarray, doc: np.ndarr
 
     Passage i's prefixes end ``prefix`` words after word lead[i].
     """
-    w = Words(flat, offs)
-    starts = w.counts - window + 1
+    # words are found slice by slice, so that arrays as long as the text stay small
+    parts = [Words(flat[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in slices(offs)]
+    word = np.concatenate([np.zeros(0, np.uint64), *(w.hash for w in parts)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(w.counts for w in parts)])
+    begin = np.append(0, np.cumsum(counts))
+    starts = counts - window + 1
     row = np.repeat(np.arange(len(starts)), starts)
     at = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
-    suffix = w.offs[row] + at
-    path = range_hash(w.hash, suffix, w.offs[row] + lead[row] + prefix)
-    down = range_hash(w.hash, suffix, suffix + window)
+    suffix = begin[row] + at
+    path = range_hash(word, suffix, begin[row] + lead[row] + prefix)
+    down = range_hash(word, suffix, suffix + window)
     order = np.lexsort((down, path))
     path, down, sorted_suffix, sorted_row = path[order], down[order], suffix[order], row[order]
     shared = np.append(False, (path[1:] == path[:-1]) & (down[1:] == down[:-1]))
@@ -80,10 +84,10 @@ def subtrees(flat: np.ndarray, offs: np.ndarray, lead: np.ndarray, doc: np.ndarr
     here = np.flatnonzero(shared)
     x, y = sorted_suffix[here - 1], sorted_suffix[here]
     low = np.full(len(here), window)
-    high = np.minimum(w.offs[sorted_row[here - 1] + 1] - x, w.offs[sorted_row[here] + 1] - y)
+    high = np.minimum(begin[sorted_row[here - 1] + 1] - x, begin[sorted_row[here] + 1] - y)
     while (low < high).any():
         middle = (low + high + 1) // 2
-        same = range_hash(w.hash, x, x + middle) == range_hash(w.hash, y, y + middle)
+        same = range_hash(word, x, x + middle) == range_hash(word, y, y + middle)
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
     common = np.full(len(order), np.iinfo(np.int64).max)
     common[here] = low
