@@ -109,3 +109,37 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     q.awaitTermination(120)
     pick = lambda df: {(r["window_start"], r["event_type"]): r["n"] for r in df.collect()}
     assert pick(spark.table("tumbling")) == pick(monitor.tumbling(src, width="1 day"))
+
+
+def test_windows_report_a_match_where_it_starts(spark):
+    files = spark.createDataFrame([("f", "a\nb = 2\nc\nend")], "path string, text string")
+    hit = lambda p, n: sorted(r["line"] for r in rules.line_hits(files, (rules.Rule("R", "low", p, spans=n),)).collect())
+    assert hit("b = 2", 2) == [2] and hit("a.b", 2) == [1] and hit("b.*end", 3) == [2] and hit("b.*end", 2) == []
+
+
+def test_globs():
+    import re
+
+    from quarrylens.operators.indicators import glob_regex
+
+    match = lambda g, p: re.match(glob_regex(g), p) is not None
+    assert match("src/**/a.js", "src/a.js") and match("src/**/a.js", "src/x/y/a.js") and match("**/a.js", "a.js")
+    assert not match("src/*.js", "src/x/a.js") and match("src/**", "src/x/a.js") and not match("a.js", "ba.js") and not match("**/a.js", "ba.js")
+
+
+def test_tree_looks_below_the_root_only(spark, tmp_path):
+    from quarrylens.sources import tables
+
+    for name in ("build/app/a.js", "build/app/node_modules/b.js", "build/app/dist/c.js", "build/app/.git/d"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert sorted(r["rel"] for r in tables.tree(spark, str(tmp_path / "build/app")).select("rel").collect()) == ["a.js", "dist/c.js"]
+    assert [r["rel"] for r in tables.tree(spark, str(tmp_path / "build/app"), max_depth=0).collect()] == ["a.js"]
+
+
+def test_unreadable_documents_give_no_rows(spark):
+    from quarrylens.sources import formats, workflows
+
+    bad = spark.createDataFrame([("f", "{"), ("g", None)], "path string, text string")
+    assert formats.npm_lock_v1(bad).count() == formats.bun_lock(bad).count() == formats.pyproject(bad).count() == 0
+    assert workflows.steps(spark.createDataFrame([("f", "a: b\n   c")], "path string, text string")).where("ok").count() == 0
