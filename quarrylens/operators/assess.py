@@ -112,10 +112,11 @@ def compact(findings: DataFrame, k: int = 20) -> DataFrame:
 
 def validated_confidence(findings: DataFrame) -> DataFrame:
     """confidence and tier: raised by 0.1 where the rule is found in several files of its target, lowered by 0.2 in tests."""
-    files = F.size(F.collect_set("file").over(Window.partitionBy("target", "rule")))
+    # counted before rows meet, so that no task holds all files of a rule
+    spread = findings.groupBy("target", "rule").agg((F.min("file") != F.max("file")).alias("_several"))
     test = F.col("file").rlike(r"(?i)(^|/)(tests?|fixtures?)/")
-    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.8)) + F.when(files > 1, 0.1).otherwise(0.0) - F.when(test, 0.2).otherwise(0.0)))
-    out = findings.withColumn("confidence", F.round(value, 4))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.8)) + F.when(F.col("_several"), 0.1).otherwise(0.0) - F.when(test, 0.2).otherwise(0.0)))
+    out = findings.join(spread, ["target", "rule"], "left").withColumn("confidence", F.round(value, 4)).select(*findings.columns)
     return out.withColumn("tier", F.when(F.col("confidence") >= 0.8, "confirmed").when(F.col("confidence") >= 0.5, "likely").otherwise("possible"))
 
 
@@ -139,20 +140,36 @@ def without_overlaps(findings: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ as-of and intervals
-def as_of(probes: DataFrame, points: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """probes with ``value`` of the last point (key, at, value) at or before each, by one window over both; null if there is none.
+def as_of(probes: DataFrame, points: DataFrame, key: str, at: str, value: str, span: float | None = None) -> DataFrame:
+    """probes with ``value`` of the last point (key, at, value) at or before each, by windows over both; null if there is none.
 
-    Both sides are sorted once by key and place; no pair of a probe and a point is made.
+    Both sides are sorted once by key and place; no pair of a probe and a point is
+    made. With ``span`` (a length on a numeric ``at``), a window is such a stretch
+    of a key and takes over the last value before it, so a hot key is the work of
+    many tasks. Points without a key, a place or a value count for nothing.
     """
+    points = points.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull())
     a = probes.select("*", F.lit(None).cast(dict(points.dtypes)[value]).alias(value), F.lit(1).alias("is_probe"))
     b = points.select(*(F.col(c) if c in (key, at, value) else F.lit(None).cast(t).alias(c) for c, t in a.drop("is_probe").dtypes), F.lit(0).alias("is_probe"))
-    w = Window.partitionBy(key).orderBy(at, "is_probe").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last(value, ignorenulls=True).over(w)).where("is_probe = 1").drop("is_probe")
-
-
-def within(events: DataFrame, ranges: DataFrame, key: str, at: str) -> DataFrame:
+    both = a.unionByName(b)
+    last = F.last(value, ignorenulls=True)
+    if span is None:
+        w = Window.partitionBy(key).orderBy(at, "is_probe").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn(value, last.over(w)).where("is_probe = 1").drop("is_probe")
+    both = both.withColumn("_stretch", F.floor(F.col(at) / span))
+    w = Window.partitionBy(key, "_stretch").orderBy(at, "is_probe").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per stretch; rows without an order are no candidates of max_by
+    ends = both.groupBy(key, "_stretch").agg(F.max_by(value, F.when(F.col("is_probe") == 0, F.col(at))).alias("_before"))
+    earlier = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_before", F.last("_before", ignorenulls=True).over(earlier))
+    found = both.withColumn(value, last.over(w)).where("is_probe = 1").join(carried, [key, "_stretch"], "left")
+    return found.withColumn(value, F.coalesce(value, "_before")).select(*a.drop("is_probe").columns)
+
+
+def within(events: DataFrame, ranges: DataFrame, key: str, at: str, span: float | None = None) -> DataFrame:
     """Events that lie in a range (key, start, stop; ranges of a key don't overlap), found as of their start."""
-    return as_of(events, ranges.select(key, F.col("start").alias(at), F.struct("start", "stop").alias("range")), key, at, "range").where(F.col("range.stop") >= F.col(at))
+    starts = ranges.select(key, F.col("start").alias(at), F.struct("start", "stop").alias("range"))
+    return as_of(events, starts, key, at, "range", span).where(F.col("range.stop") >= F.col(at))
 
 
 def near(lines: DataFrame, first: str, second: str, reach: int = 15) -> DataFrame:
@@ -366,10 +383,36 @@ def markdown_cell(value: Column) -> Column:
     return F.regexp_replace(F.replace(value, F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
 
 
+STRINGS = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
+
+
 def masked_comments(text: Column) -> Column:
     """The text with // and /* */ comments blanked; strings in single, double or back quotes are left alone."""
-    strings = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
-    return F.regexp_replace(text, rf"(?s)({strings})|//[^\n]*|/\*.*?\*/", "$1")
+    return F.regexp_replace(text, rf"(?s)({STRINGS})|//[^\n]*|/\*.*?\*/", "$1")
+
+
+def with_context(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """hits (path, line, start from 1) with the context of their start: comment, quoted, markdown_code or plain.
+
+    Lines (path, line, content) are those of the files. A Markdown line is code
+    between fences or back quotes; elsewhere what stands before the start decides,
+    complete strings left out. Hits on lines that don't exist go.
+    """
+    markdown = F.col("path").rlike(r"(?i)\.(md|mdx|markdown)$")
+    fence = F.col("content").rlike(r"^\s*(?:```|~~~)")
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    fenced = lines.select("path", "line", "content", (markdown & (fence | (F.sum(fence.cast("int")).over(w) % 2 == 1))).alias("_fenced"))
+    before = F.substring(F.col("content"), F.lit(1), F.col("start") - 1)
+    rest = F.regexp_replace(before, STRINGS, "")
+    comment, quote = F.regexp_instr(rest, F.lit(r"(?<!:)//|/\*|(?:^|\s)#")), F.regexp_instr(rest, F.lit("[\"'`]"))
+    code = F.col("_fenced") | (F.length(F.regexp_replace(before, "[^`]", "")) % 2 == 1)
+    context = (
+        F.when(markdown, F.when(code, "markdown_code").otherwise("plain"))
+        .when((comment > 0) & ((quote == 0) | (comment < quote)), "comment")
+        .when(quote > 0, "quoted")
+        .otherwise("plain")
+    )
+    return hits.join(fenced, ["path", "line"]).select(*(F.col(c) for c in hits.columns), context.alias("context"))
 
 
 def internet_time(at: Column) -> Column:

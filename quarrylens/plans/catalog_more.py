@@ -135,7 +135,7 @@ def _overlaps(spark, each):
 def as_of_lookup(spark, d):
     probes = tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_id").alias("at"))
     points = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("at"), F.col("o_orderkey").alias("orderkey"))
-    return assess.as_of(probes, points, "key", "at", "orderkey").select("event_id", F.coalesce("orderkey", F.lit(-1)).alias("orderkey"))
+    return assess.as_of(probes, points, "key", "at", "orderkey", span=1000).select("event_id", F.coalesce("orderkey", F.lit(-1)).alias("orderkey"))
 
 
 ORACLES["as_of_lookup"] = "SELECT event_id, coalesce(orderkey, -1)::BIGINT AS orderkey FROM (" + ORACLES["as_of_lookup"] + ")"
@@ -145,7 +145,7 @@ ORACLES["as_of_lookup"] = "SELECT event_id, coalesce(orderkey, -1)::BIGINT AS or
 def interval_containment(spark, d):
     events = tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_id").alias("at"))
     ranges = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 20).alias("stop"))
-    return assess.within(events, ranges, "key", "at").select("event_id")
+    return assess.within(events, ranges, "key", "at", span=1000).select("event_id")
 
 
 @query(f"""SELECT path, min(line)::INT AS line FROM (SELECT b.path, b.line FROM {LINES} a JOIN {LINES} b ON a.path = b.path AND b.line - a.line BETWEEN 0 AND 15
@@ -281,7 +281,18 @@ def _escapes(spark, each):
     return each.select("nation", "id", out.alias("value"))
 
 
-@cases("single_indicator", "value string", [("X.TEST ",), ("y.test",)], "value, type", [("X.TEST ", "domain")])
+CONTEXT_LINES = [("a.js", 1, "x = 1 // db.corp"), ("a.js", 2, "y = 'http://db.corp'"), ("a.js", 3, "z = 'a // b' + db.corp"), ("a.js", 4, "f(db.corp) # no"), ("a.py", 1, "# it's db.corp"),
+    ("d.md", 1, "see db.corp"), ("d.md", 2, "```"), ("d.md", 3, "curl db.corp"), ("d.md", 4, "```"), ("d.md", 5, "use `db.corp`"), ("d.md", 6, "it's db.corp")]
+
+
+@cases("lexical_contexts", "path string, line int, content string", CONTEXT_LINES, "path, line, context",
+    [("a.js", 1, "comment"), ("a.js", 2, "quoted"), ("a.js", 3, "plain"), ("a.js", 4, "plain"), ("a.py", 1, "comment"), ("d.md", 1, "plain"), ("d.md", 3, "markdown_code"), ("d.md", 5, "markdown_code"), ("d.md", 6, "plain")])
+def _contexts(spark, each):
+    hits = lambda x: x.select("path", "line", F.instr("content", "db.corp").alias("start")).where("start > 0")
+    return per_nation(lambda x: assess.with_context(hits(x), x), each, "path").select("nation", "path", "line", "context")
+
+
+@cases("single_indicator","value string", [("X.TEST ",), ("y.test",)], "value, type", [("X.TEST ", "domain")])
 def _single(spark, each):
     feed = formats.feed(spark.createDataFrame([('[{"type": "domain", "value": "x.test"}]',)], "value string"))
     return each.withColumn("key", F.lower(F.trim("value"))).join(feed.select(F.lower("value").alias("key"), "type"), "key").select("nation", "value", "type")

@@ -143,3 +143,14 @@ def test_unreadable_documents_give_no_rows(spark):
     bad = spark.createDataFrame([("f", "{"), ("g", None)], "path string, text string")
     assert formats.npm_lock_v1(bad).count() == formats.bun_lock(bad).count() == formats.pyproject(bad).count() == 0
     assert workflows.steps(spark.createDataFrame([("f", "a: b\n   c")], "path string, text string")).where("ok").count() == 0
+
+
+@pytest.mark.parametrize("span", [None, 1, 10, 1000])
+def test_as_of_is_the_same_in_stretches(spark, span):
+    from quarrylens.operators import assess
+
+    points = spark.createDataFrame([("a", 1, 10), ("a", 25, 20), ("a", 26, None), ("b", 5, 50), (None, 1, 9), ("a", None, 8)], "k string, at int, v int")
+    probes = spark.createDataFrame([("a", 0), ("a", 1), ("a", 24), ("a", 25), ("a", 25), ("a", 99), ("b", 4), ("b", 5), (None, 7), ("a", None)], "k string, at int")
+    got = sorted(one(assess.as_of(probes, points, "k", "at", "v", span).select("k", "at", "v")), key=str)
+    assert got == sorted([("a", 0, None), ("a", 1, 10), ("a", 24, 10), ("a", 25, 20), ("a", 25, 20), ("a", 99, 20), ("b", 4, None), ("b", 5, 50), (None, 7, None), ("a", None, None)], key=str)
+    assert assess.as_of(probes.limit(0), points, "k", "at", "v", span).count() == 0
