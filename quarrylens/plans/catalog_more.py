@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import analytics, assess, rules
+from quarrylens.operators import analytics, assess, rules, structural
 from quarrylens.plans.catalog import LINES, ORACLES, ORDERS, QUERIES, RANK, WEIGHT, query
 from quarrylens.sources import documents, formats, locks, tables
 from quarrylens.streaming import monitor
@@ -363,3 +363,20 @@ MEMOS = [("tx1", [("memo", "hi"), ("pay", "1")], [[("memo", "in")]]), ("tx2", [(
 @cases("stream_memos", "id string, instructions array<struct<program:string,data:string>>, inner array<array<struct<program:string,data:string>>>", MEMOS, "id, memo", [("tx1", "hi"), ("tx1", "in")])
 def _memos(spark, each):
     return per_nation(lambda x: monitor.memos(x, ("memo",)), each, "id")
+
+
+# ------------------------------------------------------------------ structures
+DROPPERS = [
+    ("a.js", "const p = os.tmpdir() + '/x'\nfs.writeFileSync(p, body)\nspawn(p)"),
+    ("b.js", "let p = tmpdir(); fs.writeFile(p, b)\np = 'notes.txt'\nexec(p)"),
+    ("c.js", "exec('C:/Drop/run.EXE')\nsaveFile('C:/in/run.exe', b)\nexecFile('run.exe'); exec('other.exe')"),
+    ("d.js", "const q = 'notes.txt'\nwriteFileSync(q, b)\nexec(q)\n// writeFileSync('z.bat'); exec('z.bat')"),
+    ("e.js", "p = '/tmp/a'\nwriteFileSync(p, b)\nwriteFileSync(p, c); system(p)\nlog(p === q)\nspawnSync(p)"),
+    ("f.js", ""),
+    ("g.js", None),
+]
+
+
+@cases("write_then_run", "file string, text string", DROPPERS, "file, line, run_line", [("a.js", 2, 3), ("c.js", 2, 3), ("e.js", 3, 3), ("e.js", 3, 5)])
+def _droppers(spark, each):
+    return per_nation(lambda e: structural.write_then_run(e.withColumnRenamed("file", "path")).withColumnRenamed("path", "file"), each, "file")
