@@ -13,6 +13,7 @@ from quarrylens.llm import (
     op8_chat,
     op9_packing,
     op10_sharding,
+    op13_merkle,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat.op8_chat_formatting,
     "op9_cost_balanced_packing": op9_packing.op9_cost_balanced_packing,
     "op10_sampled_splitters": op10_sharding.op10_sampled_splitters,
+    "op13_merkle_manifest": op13_merkle.op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op6_hyperplane_neardup": op6_embedding_dedup.ORACLE,
     "op7_suffix_tree_dedup": op7_substring_dedup.ORACLE,
     "op8_chat_formatting": op8_chat.ORACLE,
+    "op13_merkle_manifest": op13_merkle.ORACLE,
 }
