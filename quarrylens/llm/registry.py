@@ -13,6 +13,7 @@ from quarrylens.llm import (
     op8_chat,
     op9_packing,
     op10_sharding,
+    op11_lm,
     op12_alignment,
     op13_merkle,
 )
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat.op8_chat_formatting,
     "op9_cost_balanced_packing": op9_packing.op9_cost_balanced_packing,
     "op10_sampled_splitters": op10_sharding.op10_sampled_splitters,
+    "op11_gated_recurrent_lm": op11_lm.op11_gated_recurrent_lm,
     "op12_tokenizer_alignment": op12_alignment.op12_tokenizer_alignment,
     "op13_merkle_manifest": op13_merkle.op13_merkle_manifest,
 }
