@@ -162,7 +162,7 @@ def collapse_and_render(conversations: DataFrame, long_turns: int = LONG_TURNS,
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), "chat"
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), "chat", "chunk"
     )
 
 
@@ -181,7 +181,8 @@ kept AS (
   SELECT * FROM whole w
   WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = w.n AND p.prefix = w.prefix))
 SELECT k.conv_id, k.n::BIGINT AS n_turns, k.n_copies::BIGINT AS n_copies,
-       string_agg('<|' || replace(replace(role, '\\', '\\\\'), '<|', '<\\|') || '|>' || chr(10) || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.pos) AS chat
+       string_agg('<|' || replace(replace(role, '\\', '\\\\'), '<|', '<\\|') || '|>' || chr(10) || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.pos) AS chat,
+       0::BIGINT AS chunk
 FROM kept k JOIN t ON t.conv_id = k.conv_id
 GROUP BY 1, 2, 3
 """
