@@ -1,7 +1,8 @@
 """Rule families: what a line of a file of some kind gives away.
 
 Each family is a tuple of rules for ``rules.line_hits``. Patterns are written for
-Java's regular expressions and bounded, so no line costs more than linear work.
+Java's regular expressions with at most one bounded gap; tokens in order are
+sequences (see ``ordered``), so no line costs more than linear work.
 """
 
 from __future__ import annotations
@@ -9,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrylens.operators.ordered import Sequence
 from quarrylens.operators.rules import Rule, validated
 
 #: Paths of tests and fixtures, which most rules skip.
 TESTS = r"(?i)(^|/)(__tests__|tests?|spec|fixtures?)/|\.(test|spec)\.[a-z]+$"
 
 
-def in_order(*tokens: str, gap: int = 200, barriers: str = "", across: bool = False) -> str:
-    """A pattern of tokens that follow one another with at most ``gap`` characters between, none of them a barrier or, unless ``across``, a newline."""
-    outside = barriers if across else f"\\n{barriers}"
-    return (f"[^{outside}]{{0,{gap}}}?" if outside else rf"[\s\S]{{0,{gap}}}?").join(f"(?:{t})" for t in tokens)
+def in_order(*tokens: str, gap: int = 200, barriers: str = "", across: bool = False) -> Sequence:
+    """Tokens that follow one another with at most ``gap`` characters between, none of them a barrier or, unless ``across``, a newline."""
+    return Sequence(tokens, gap, barriers, across)
 
 
 def many_characters(least: int):
@@ -31,7 +32,7 @@ def real_secret(value: Column) -> Column:
     return ~value.rlike(r"(?i)example|placeholder|changeme|your[_-]|xxxx|<|\$\{|process\.env") & (F.size(F.array_distinct(F.split(value, ""))) >= 6)
 
 
-def _rule(id_: str, severity: str, pattern: str, **more) -> Rule:
+def _rule(id_: str, severity: str, pattern: str | Sequence, **more) -> Rule:
     return Rule(id_, severity, pattern, **({"not_path": TESTS} | more))
 
 
@@ -85,7 +86,7 @@ PYPI_HOOK = validated(tuple(
 
 BEACON_MINER = validated((
     _rule("BEACON_INTERVAL_FETCH", "high", in_order(r"\bsetInterval\s*\(", SEND, gap=160), flags="i"),
-    _rule("MINER_STRATUM", "critical", r"\bstratum\+(?:tcp|ssl)://", flags="i"),
+    _rule("MINER_STRATUM", "critical", r"\bstratum2?\+[a-z]{2,5}:/{2}\S", flags="i"),
     _rule("MINER_BINARY", "critical", r"\b(?:xmrig|minerd|cpuminer|nbminer)\b", flags="i"),
     _rule("MINER_POOL_CONFIG", "high", r"[\"'](?:pool|pool_address)[\"']\s*:\s*[\"'][^\"']+:\d{2,5}[\"']", flags="i"),
     _rule("PROTESTWARE_GEO", "critical", in_order(r"(?:geoip|ipapi|ipinfo|country_code)", r"\b(?:rmSync|unlinkSync|rimraf|rm -rf)\b", gap=400, across=True), spans=8, flags="i"),
@@ -102,7 +103,7 @@ OBFUSCATION = validated((
     _rule("OBF_TEMPLATE_EVAL", "high", r"\beval\s*\(\s*`[^`\n]{0,200}\$\{"),
     _rule("OBF_SVG_SCRIPT", "high", r"<script\b", only_path=r"(?i)\.svg$", flags="i"),
     _rule("OBF_BIDI_OVERRIDE", "critical", r"[\u202a-\u202e\u2066-\u2069]"),
-    _rule("OBF_SPLIT_STRING", "medium", r"(?:['\"][A-Za-z]{1,3}['\"]\s*\+\s*){4}"),
+    _rule("OBF_SPLIT_STRING", "medium", r"(?:'\w{1,2}' ?\+ ?){4,}'|(?:\"\w{1,2}\" ?\+ ?){4,}\""),
     _rule("OBF_NESTED_DECODE", "critical", in_order(r"\batob\s*\(", r"\batob\s*\(", gap=20)),
     _rule("OBF_PROXY_TRAP", "high", in_order(r"\bnew\s+Proxy\s*\(", r"\b(?:eval|exec|fetch)\b", gap=400, across=True), spans=6),
 ))
@@ -217,8 +218,8 @@ WORKFLOW = validated((
     Rule("GHA_WGET_PIPE_EXEC", "high", in_order(r"\bwget\b", r"\|", SHELL, barriers=";"), **_FLOW),
     Rule("GHA_CURL_DOWNLOAD_EXEC", "high", in_order(r"\bcurl\b", r"\s-o\s", r"&&", r"\./|chmod|" + SHELL), **_FLOW),
     Rule("GHA_WGET_DOWNLOAD_EXEC", "high", in_order(r"\bwget\b", r"&&", r"\./|chmod|" + SHELL), **_FLOW),
-    Rule("GHA_SECRET_CURL", "high", rf"{in_order(chr(92) + 'bcurl' + chr(92) + 'b', _SECRET)}|{in_order(_SECRET, chr(92) + 'bcurl' + chr(92) + 'b')}", **_FLOW),
-    Rule("GHA_SECRET_WGET", "high", rf"{in_order(chr(92) + 'bwget' + chr(92) + 'b', _SECRET)}|{in_order(_SECRET, chr(92) + 'bwget' + chr(92) + 'b')}", **_FLOW),
+    Rule("GHA_SECRET_CURL", "high", (in_order(r"\bcurl\b", _SECRET), in_order(_SECRET, r"\bcurl\b")), **_FLOW),
+    Rule("GHA_SECRET_WGET", "high", (in_order(r"\bwget\b", _SECRET), in_order(_SECRET, r"\bwget\b")), **_FLOW),
     Rule("GHA_BASE64_PAYLOAD", "high", r"['\"][A-Za-z0-9+/]{80,}={0,2}['\"]", **_FLOW),
     Rule("GHA_BASE64_EXEC", "high", in_order(_DECODE, r"\|", SHELL), **_FLOW),
     Rule("GHA_ATOB_USAGE", "medium", r"\batob\s*\(", **_FLOW),

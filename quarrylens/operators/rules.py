@@ -10,15 +10,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylens.operators.ordered import Sequence
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A line pattern with guards.
+    """A line pattern, or a sequence of tokens (or several, one of which is found), with guards.
 
     ``spans`` > 1 matches that many lines joined by a newline; a match belongs to
     the line where it starts, and a dot matches the newline too. ``accept`` is a
@@ -28,7 +31,7 @@ class Rule:
 
     id: str
     severity: str
-    pattern: str
+    pattern: str | Sequence | tuple[Sequence, ...]
     confidence: float = 0.8
     only_path: str | None = None
     not_path: str | None = None
@@ -44,11 +47,19 @@ class Rule:
             raise ValueError(f"{self.id}: a rule spans 1 to 20 lines")
         if not self.id or not self.pattern:
             raise ValueError("a rule has an id and a pattern")
+        if self.sequences:
+            if self.accept is not None or self.group:
+                raise ValueError(f"{self.id}: a sequence has no groups")
+            return
         try:
             re.compile(self.pattern)
         except re.error as e:
             raise ValueError(f"{self.id}: {e}") from e
 
+    @property
+    def sequences(self) -> tuple[Sequence, ...]:
+        return (self.pattern,) if isinstance(self.pattern, Sequence) else self.pattern if isinstance(self.pattern, tuple) else ()
+
     @property
     def regex(self) -> str:
         flags = self.flags + ("s" if self.spans > 1 else "")
@@ -56,13 +67,25 @@ class Rule:
         return head + (rf"\A[^\n]*?(?:{self.pattern})" if self.spans > 1 else self.pattern)
 
     def hits(self, content: Column) -> Column:
-        out = content.rlike(self.regex)
+        """Whether a line (or, with ``spans``, so many lines joined) is a hit."""
+        if self.sequences:
+            out = reduce(Column.__or__, (x.found(content, self.flags, self.spans > 1) for x in self.sequences))
+        else:
+            out = content.rlike(self.regex)
         if self.accept is not None:
             out = out & self.accept(F.regexp_extract(content, self.regex, self.group))
         if self.exempt:
             out = out & ~content.rlike(self.exempt)
         return out
 
+    def possible(self, text: Column) -> Column:
+        """Whether a file can hold a hit, told from its whole text: true wherever a line hits."""
+        if self.sequences:
+            return reduce(Column.__or__, (x.possible(text, self.flags) for x in self.sequences))
+        if re.search(r"\\[AzZG]", self.pattern):
+            return F.lit(True)
+        return text.rlike(f"(?m{self.flags}{'s' if self.spans > 1 else ''}){self.pattern}")
+
 
 def validated(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
     """The rules, if no two have the same id."""
@@ -96,22 +119,36 @@ def _guard(rule: Rule, path: Column, text: Column | None) -> Column:
     return out
 
 
-def line_hits(files: DataFrame, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
-    """path, line, content, rule, severity, confidence of each rule that hits a line, in files of any size."""
-    guarded = files.select("path", "text", F.array(*(_guard(r, F.col("path"), F.col("text")) for r in rules)).alias("allowed"))
-    each = guarded.select("path", "allowed", F.posexplode(F.split("text", "\n")).alias("i", "content"))
-    width = max(r.spans for r in rules)
-    if width > 1:
-        w = Window.partitionBy("path").orderBy("i")
-        for r in sorted({r.spans for r in rules if r.spans > 1}):
-            each = each.withColumn(f"span{r}", F.concat_ws("\n", "content", *(F.lead("content", k).over(w) for k in range(1, r))))
+def line_hits(files: DataFrame, rules: tuple[Rule, ...] = DEFAULT, scope: Callable[[Rule], Column] | None = None) -> DataFrame:
+    """path, line, content, rule, severity, confidence of each rule that hits a line, in files of any size.
+
+    A rule is tried on the lines of those files only whose path and whole text allow
+    it (and its ``scope``, a condition on the columns of files); a file that allows
+    none isn't split. Spans of lines are cut from the file's own row, so nothing is
+    shuffled.
+    """
+    text = F.col("text")
+    allowed = F.array(*(_guard(r, F.col("path"), text) & (scope(r) if scope else F.lit(True)) & F.coalesce(r.possible(text), F.lit(False)) for r in rules))
+    guarded = files.select("path", "text", allowed.alias("allowed")).where(F.exists("allowed", lambda a: a))
+    split = guarded.select("path", "allowed", F.split("text", "\n").alias("lines"))
+    widths = sorted({r.spans for r in rules if r.spans > 1})
+
+    def entry(x: Column, i: Column) -> Column:
+        spans = []
+        for w in widths:
+            wanted = reduce(Column.__or__, (F.element_at("allowed", k + 1) for k, r in enumerate(rules) if r.spans == w))
+            spans.append(F.when(wanted, F.array_join(F.slice("lines", i + 1, w), "\n")).alias(f"span{w}"))
+        return F.struct(x.alias("content"), *spans)
+
+    each = split.select("path", "allowed", F.posexplode(F.transform("lines", entry)).alias("i", "x")).select("path", "allowed", "i", "x.*")
     hits = F.array(
         *(
             F.when(F.element_at("allowed", k + 1) & r.hits(F.col("content" if r.spans == 1 else f"span{r.spans}")), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence")))
             for k, r in enumerate(rules)
         )
     )
-    found = each.select("path", (F.col("i") + 1).alias("line"), "content", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    # the outer form, as Spark would evaluate all rules once more to leave out lines without a hit before a plain explode
+    found = each.select("path", (F.col("i") + 1).alias("line"), "content", F.explode_outer(F.filter(hits, lambda h: h.isNotNull())).alias("h")).where("h IS NOT NULL")
     return found.select("path", "line", "content", "h.rule", "h.severity", "h.confidence")
 
 

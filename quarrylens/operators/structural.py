@@ -13,11 +13,12 @@ WRITES = "writeFile|writeFileSync|write_bytes|saveFile"
 RUNS = "exec|execSync|execFile|execFileSync|spawn|spawnSync|ShellExecute|CreateProcess|system"
 
 CALL = rf"\b({WRITES}|{RUNS})\s*\((.*)"
-NAME = r"[A-Za-z_$][\w$]*"
-ASSIGNED = rf"({NAME})\s*=(?![=>])(.*)"
+NAME = r"[\p{Alpha}_$][\w$]*"
+#: A name that gets a value, by = or := and with or without a type; comparisons, arrows and compound operators are none.
+ASSIGNED = rf"(?<![\w$.])({NAME})(?: *: *[\w.\[\]|]+)? *:?= *([^=>\s].*)"
 PROGRAM = r"([^\s\\/+(\"'`]+\.(?:exe|bat|cmd|ps1))\b"
-#: A value that names a temporary folder or a program.
-TEMPORARY = r"(?i)\b(?:temp|tmp|tmpdir|tempfile|appdata)\b|\.(?:exe|bat|cmd|ps1)\b"
+#: A value in a folder for passing files, or the name of something that can be started.
+TEMPORARY = r"(?i)/(?:var/)?tmp/|%(?:local)?appdata%|%te?mp%|env\.te?mp|mkd?s?temp|gettempdir|tempfile\.|tmpdir\(|\.(?:exe|com|scr|bat|cmd|vbs|ps1|dll)['\"` ]"
 QUOTED = r"\"[^\"]*\"|'[^']*'"
 
 
