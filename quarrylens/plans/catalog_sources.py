@@ -15,8 +15,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.plans.catalog import ORACLES, QUERIES
-from quarrylens.sources import formats, locks, manifests, tables, workflows
+from quarrylens.plans.catalog import ORACLES, QUERIES, query
+from quarrylens.sources import coverage, formats, locks, manifests, tables, workflows
 
 _INNER = '{"dependencies": {"a{n}": {"version": "{v}", "dependencies": {"b": {"version": "1.0.0", "dependencies": {"c": {"version": "2.0.0"}}}}}}}'
 #: format -> (reader, file name, text, rows to be read); {n} is the part's key, {v} its size.
@@ -48,9 +48,13 @@ READERS: dict[str, tuple] = {
 }
 
 
+def _filled(text):
+    return F.replace(F.replace(text, F.lit("{n}"), F.col("p_partkey").cast("string")), F.lit("{v}"), F.col("p_size").cast("string"))
+
+
 def generated(spark: SparkSession, d: str, name: str, text: str) -> DataFrame:
     """path, text: for each part the text with its key and size."""
-    filled = F.replace(F.replace(F.lit(text), F.lit("{n}"), F.col("p_partkey").cast("string")), F.lit("{v}"), F.col("p_size").cast("string"))
+    filled = _filled(F.lit(text))
     return tables.table(spark, d, "part").select(F.format_string(f"r%d/{name}", "p_partkey").alias("path"), filled.alias("text"))
 
 
@@ -248,7 +252,7 @@ def _archives() -> list[tuple[str, bytes]]:
     return [*out, ("l.tar", b.getvalue()), ("broken.zip", b"PK rest")]
 
 
-@sampled_query("archive_members", "member, size, problem", [("a.zip", "a/ok.txt", 5, None), ("bad.zip", None, -1, "leads out"), ("c.tgz", "d/x.js", 3, None), ("l.tar", None, -1, "leads out")])
+@sampled_query("archive_members", "member, size, problem", [("a.zip", "a/ok.txt", 5, None), ("bad.zip", None, -1, "leads out"), ("c.tgz", "d/x.js", 3, None), ("l.tar", None, -1, "leads out"), ("broken.zip", None, -1, "unreadable: BadZipFile")])
 def archive_members(spark, d):
     rows = spark.createDataFrame(_archives(), "name string, content binary")
     files = tables.table(spark, d, "nation").select("n_nationkey").join(F.broadcast(rows)).select(F.format_string("n%d/%s", "n_nationkey", "name").alias("path"), "content")
@@ -256,3 +260,55 @@ def archive_members(spark, d):
 
 
 ORACLES["archive_members"] = ORACLES["archive_members"].replace("e.size", "e.size::BIGINT AS size")
+
+
+# ------------------------------------------------------------------ coverage
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    """For each part one reader's file, by its key; a part of an odd size has its file cut to a third."""
+    names = sorted(n for n in formats.WITH_PROBLEMS if n in READERS)
+    rows = spark.createDataFrame([(k, n, READERS[n][1], READERS[n][2]) for k, n in enumerate(names)], "k long, reader string, file string, body string")
+    part = tables.table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_partkey") % len(names)).alias("k"))
+    text = F.when(F.col("p_size") % 2 == 0, F.col("body")).otherwise(F.expr("left(body, int(length(body) / 3))"))
+    # a handful of constants
+    return part.join(F.broadcast(rows), "k").withColumn("body", _filled(F.col("body"))).select(F.format_string("r%d/%s/%s", "p_partkey", "reader", "file").alias("path"), text.alias("text"), "p_partkey", "p_size")
+
+
+def _readers() -> dict[str, str]:
+    return {n: f"/{n}/" for n in sorted(n for n in formats.WITH_PROBLEMS if n in READERS)}
+
+
+@query(f"SELECT 'r' || p_partkey::VARCHAR || '/' || e.reader || '/' || e.file AS path, 'unreadable' AS state, 1::BIGINT AS n FROM part JOIN (VALUES {', '.join(f'({k}, {_quoted(n)}, {_quoted(READERS[n][1])})' for k, n in enumerate(_readers()))}) e(k, reader, file) ON p_partkey % {len(_readers())} = e.k WHERE p_size % 2 = 1")
+def coverage_of_readers(spark, d):
+    """Files cut short give one coverage row each; the others none."""
+    return coverage.per_file(coverage.problems(_damaged(spark, d), _readers())).select("path", "state", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT 'src' || (doc_id % 7)::VARCHAR AS target, bool_or(strlen(text) > 20000 OR doc_id % 50 = 3) AS partial FROM documents GROUP BY 1")
+def coverage_partial_targets(spark, d):
+    """Documents without content, over 20,000 bytes or absent make their target partial."""
+    docs = tables.files(spark, d).withColumn("path", F.format_string("src%d/%d", F.col("doc_id") % 7, "doc_id"))
+    there = docs.where("doc_id % 50 <> 3")
+    _, lost = coverage.bounded(there, 20_000)
+    seen = coverage.missing(docs, there).union(lost)
+    targets = docs.select(F.substring_index("path", "/", 1).alias("target")).distinct().withColumn("partial", F.lit(False))
+    return coverage.partial(targets, seen, F.substring_index("path", "/", 1))
+
+
+ODD_FILES = [
+    ("a/tool_servers", '{"mcpServers": {"a": {"args": [5, "p@1"]}, "b": 7, "c": {"command": ["x"]}, "d": {"command": "ok"}}}'),
+    ("b/pyproject", '[project]\ndependencies = ["a>=1", 5]\n[dependency-groups]\nx = ["b"]\ny = [{include-group = "x"}, "c", {include-group = "z"}]\n'),
+    ("c/auto_commands", "[" * 100_000),
+    ("d/npm_lock_v1", '{"dependencies": {"a": 5, "b": {"version": "1", "dependencies": {"c": {"version": 2}}}}}'),
+    ("e/bun_lock", '{"packages": {"a": ["a@1"], "b": 5, "c": [null], "d": ["ws"]}}'),
+    ("f/attestations", '{"subject": [{"name": "p"}, 3, {"name": 4}]}'),
+    ("g/cargo_toml", '[dependencies]\na = 5\nb = "1"\n'),
+    ("h/tool_servers", None),
+]
+
+
+@sampled_query("coverage_of_odd_entries", "state, n", [("a/tool_servers", "partial", 2), ("b/pyproject", "partial", 2), ("c/auto_commands", "unreadable", 1), ("d/npm_lock_v1", "partial", 2), ("e/bun_lock", "partial", 2), ("f/attestations", "partial", 2), ("g/cargo_toml", "partial", 1), ("h/tool_servers", "unreadable", 1)])
+def coverage_of_odd_entries(spark, d):
+    """Each entry is judged alone; a nested, a null and an odd file end no job."""
+    rows = spark.createDataFrame(ODD_FILES, "name string, text string")
+    files = tables.table(spark, d, "nation").select("n_nationkey").join(F.broadcast(rows)).select(F.format_string("n%d/%s", "n_nationkey", "name").alias("path"), "text")
+    return coverage.per_file(coverage.problems(files, {n: f"/{n}$" for n in formats.WITH_PROBLEMS})).select("path", "state", F.col("n").cast("int").alias("n"))

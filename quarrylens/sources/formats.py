@@ -1,12 +1,12 @@
 """More readers: nested and commented JSON, TOML and XML manifests, attestations, archives, agent and plugin settings.
 
-files(path, text) -> path, name, version unless a reader says otherwise; what doesn't parse gives no row.
+files(path, text) -> path, name, version unless a reader says otherwise; what doesn't parse gives no row
+here, and one in ``coverage.problems``.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import io
 import json
 import posixpath
@@ -14,40 +14,86 @@ import re
 import tarfile
 import tomllib
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _by_file(files: DataFrame, read: Callable[[str], list[tuple]], columns: str, source: str = "text") -> DataFrame:
-    """path and the columns of what ``read`` gives for each file's text; errors of the format give no row."""
-    names = ["path", *(c.strip().split(" ")[0] for c in columns.split(","))]
+class Odd(str):
+    """An entry that couldn't be read, in the place of its row."""
+
+
+def _by_file(files: DataFrame, read: Callable[[str], Iterable[tuple]], columns: str, source: str = "text") -> DataFrame:
+    """path, the columns of what ``read`` gives for each file's text, and problem.
+
+    Whatever goes wrong, the other files are read: a file that fails gives one row
+    with the problem ``unreadable`` after what was read before, a null one too, and an
+    entry that ``read`` gives as Odd one with ``odd entry`` and what it is.
+    """
+    names = ["path", *(c.strip().split(" ")[0] for c in columns.split(",")), "problem"]
+    width = len(names) - 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for path, text in zip(f["path"], f[source], strict=True):
                 try:
-                    out += [(path, *row) for row in read(text)]
-                except (ValueError, KeyError, TypeError, AttributeError, EOFError, tarfile.TarError, zipfile.BadZipFile, binascii.Error):
-                    continue
+                    for row in read(text):
+                        out.append((path, *[None] * width, f"odd entry: {row}") if isinstance(row, Odd) else (path, *row, None))
+                except Exception as e:  # noqa: BLE001  files are hostile: none of them may end the job
+                    out.append((path, *[None] * width, f"unreadable: {type(e).__name__}"))
             yield pd.DataFrame(out, columns=names)
 
-    return files.select("path", source).mapInPandas(run, f"path string, {columns}")
+    return files.select("path", source).mapInPandas(run, f"path string, {columns}, problem string")
+
+
+#: Readers that run Python in the tasks: name -> the frame with its problems.
+WITH_PROBLEMS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def _reader(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The reader's rows without its problems, which ``coverage.problems`` gives."""
+
+    def rows(files: DataFrame) -> DataFrame:
+        return f(files).where("problem IS NULL").drop("problem")
+
+    rows.__name__, rows.__doc__ = f.__name__, f.__doc__
+    WITH_PROBLEMS[f.__name__] = f
+    return rows
+
 
+def _text(x, what: str) -> str | None:
+    """x where it is a string or nothing; other values are an odd entry."""
+    if x is not None and not isinstance(x, str):
+        raise ValueError(what)
+    return x
 
+
+def _each(entries: Iterable, one: Callable) -> Iterator[tuple]:
+    """What ``one`` gives for each entry, Odd where it fails."""
+    for e in entries:
+        try:
+            yield from one(e)
+        except (ValueError, KeyError, TypeError, AttributeError, IndexError):
+            yield Odd(str(e)[:80])
+
+
+@_reader
 def npm_lock_v1(files: DataFrame) -> DataFrame:
     """package-lock.json of version 1: dependencies nested to any depth."""
 
-    def read(text: str) -> list[tuple]:
-        out, left = [], [json.loads(text).get("dependencies") or {}]
+    def read(text: str) -> Iterator[tuple]:
+        left = [json.loads(text).get("dependencies") or {}]
+
+        def one(entry: tuple) -> Iterator[tuple]:
+            name, d = entry
+            yield name, _text(d.get("version"), name)
+            left.append(d.get("dependencies") or {})
+
         while left:
-            for name, d in left.pop().items():
-                out.append((name, d.get("version")))
-                left.append(d.get("dependencies") or {})
-        return out
+            yield from _each(left.pop().items(), one)
 
     return _by_file(files, read, "name string, version string")
 
@@ -65,29 +111,52 @@ def without_comments(text: str) -> str:
     return re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", out)
 
 
+@_reader
 def bun_lock(files: DataFrame) -> DataFrame:
-    def read(text: str) -> list[tuple]:
-        entries = json.loads(without_comments(text)).get("packages") or {}
-        return [tuple(e[0].rsplit("@", 1)) for e in entries.values() if e and "@" in e[0][1:]]
+    """bun.lock (JSON with comments); entries without a version, such as links into the workspace, give no row."""
 
-    return _by_file(files, read, "name string, version string")
+    def one(e) -> Iterator[tuple]:
+        if not isinstance(e, list) or not isinstance(e[0], str):
+            raise ValueError
+        if "@" in e[0][1:]:
+            yield tuple(e[0].rsplit("@", 1))
+
+    return _by_file(files, lambda text: _each((json.loads(without_comments(text)).get("packages") or {}).values(), one), "name string, version string")
 
 
 _REQUIREMENT = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*([^;]*)")
 
 
+def _version(v) -> str:
+    return v if isinstance(v, str) else _text(v.get("version", "*"), "version")
+
+
+@_reader
 def pyproject(files: DataFrame) -> DataFrame:
-    """PEP 621 dependencies and extras, PEP 735 groups and poetry's tables; python itself is left out."""
+    """PEP 621 dependencies and extras, PEP 735 groups with what they include, and poetry's tables; python itself is left out."""
 
-    def read(text: str) -> list[tuple]:
+    def read(text: str) -> Iterator[tuple]:
         doc = tomllib.loads(text)
         project, poetry = doc.get("project") or {}, (doc.get("tool") or {}).get("poetry") or {}
-        specs = list(project.get("dependencies") or [])
-        for group in [*(project.get("optional-dependencies") or {}).values(), *(doc.get("dependency-groups") or {}).values()]:
-            specs += [s for s in group if isinstance(s, str)]
-        out = [(m[1], m[2].strip()) for s in specs if (m := _REQUIREMENT.match(s))]
-        tables = [poetry.get("dependencies") or {}, *((g.get("dependencies") or {}) for g in (poetry.get("group") or {}).values())]
-        return out + [(n, v if isinstance(v, str) else v.get("version", "*")) for t in tables for n, v in t.items() if n != "python"]
+        groups = doc.get("dependency-groups") or {}
+
+        def spec(s) -> Iterator[tuple]:
+            if isinstance(s, dict):
+                if s.get("include-group") not in groups:
+                    raise ValueError(s)
+                return  # its entries are read where that group stands
+            if not (m := _REQUIREMENT.match(s)):
+                raise ValueError(s)
+            yield m[1], m[2].strip()
+
+        def entry(e: tuple) -> Iterator[tuple]:
+            if e[0] != "python":
+                yield e[0], _version(e[1])
+
+        for specs in [project.get("dependencies") or [], *(project.get("optional-dependencies") or {}).values(), *groups.values()]:
+            yield from _each(specs, spec)
+        for table in [poetry.get("dependencies") or {}, *((g.get("dependencies") or {}) for g in (poetry.get("group") or {}).values())]:
+            yield from _each(table.items(), entry)
 
     return _by_file(files, read, "name string, version string")
 
@@ -110,12 +179,14 @@ def gemfile(files: DataFrame) -> DataFrame:
     return _matches(files, r"(?m)^\s*gem ['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"])?")
 
 
+@_reader
 def cargo_toml(files: DataFrame) -> DataFrame:
     """Dependencies of every kind; those without a version have *."""
 
-    def read(text: str) -> list[tuple]:
+    def read(text: str) -> Iterator[tuple]:
         doc = tomllib.loads(text)
-        return [(n, v if isinstance(v, str) else v.get("version", "*")) for k in ("dependencies", "dev-dependencies", "build-dependencies") for n, v in (doc.get(k) or {}).items()]
+        for k in ("dependencies", "dev-dependencies", "build-dependencies"):
+            yield from _each((doc.get(k) or {}).items(), lambda e: [(e[0], _version(e[1]))])
 
     return _by_file(files, read, "name string, version string")
 
@@ -139,18 +210,20 @@ def frontmatter(files: DataFrame) -> DataFrame:
     return files.where(F.col("text").rlike(p)).select("path", F.regexp_extract("text", p, 1).alias("head"), F.regexp_extract("text", p, 2).alias("body"))
 
 
+@_reader
 def tool_servers(files: DataFrame) -> DataFrame:
     """path, server, command, package, version, url, secret_env (boolean) of tool-server settings (JSON with comments)."""
 
-    def read(text: str) -> list[tuple]:
+    def one(entry: tuple) -> Iterator[tuple]:
+        name, s = entry
+        first = next((a for a in map(str, s.get("args") or []) if not a.startswith("-")), None)
+        at = first.rfind("@") if first else -1
+        env = any(re.search(r"TOKEN|SECRET|KEY|PASSWORD", k, re.I) for k in s.get("env") or {})
+        yield name, _text(s.get("command"), name), first[:at] if at > 0 else first, first[at + 1 :] if at > 0 else None, _text(s.get("url"), name), env
+
+    def read(text: str) -> Iterator[tuple]:
         doc = json.loads(without_comments(text))
-        out = []
-        for name, s in (doc.get("mcpServers") or doc.get("servers") or {}).items():
-            first = next((a for a in s.get("args") or [] if not a.startswith("-")), None)
-            at = first.rfind("@") if first else -1
-            env = any(re.search(r"TOKEN|SECRET|KEY|PASSWORD", k, re.I) for k in s.get("env") or {})
-            out.append((name, s.get("command"), first[:at] if at > 0 else first, first[at + 1 :] if at > 0 else None, s.get("url"), env))
-        return out
+        return _each((doc.get("mcpServers") or doc.get("servers") or {}).items(), one)
 
     return _by_file(files, read, "server string, command string, package string, version string, url string, secret_env boolean")
 
@@ -169,6 +242,7 @@ def tool_server_findings(servers: DataFrame, bad: DataFrame) -> DataFrame:
     return joined.select("path", "server", F.explode(ids).alias("rule"))
 
 
+@_reader
 def auto_commands(files: DataFrame) -> DataFrame:
     """path, command: every string under a key named command, at any depth, of settings that run things by themselves (JSON with comments)."""
 
@@ -194,16 +268,18 @@ def plugin_findings(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(ids).alias("rule"))
 
 
+@_reader
 def attestations(files: DataFrame) -> DataFrame:
     """path, predicate, builder, subject, digest of in-toto statements, bare or inside a DSSE envelope or bundle."""
 
-    def read(text: str) -> list[tuple]:
+    def read(text: str) -> Iterator[tuple]:
         doc = json.loads(text)
         envelope = doc.get("dsseEnvelope", doc)
         if "payload" in envelope:
             doc = json.loads(base64.b64decode(envelope["payload"], validate=True))
         builder = ((doc.get("predicate") or {}).get("builder") or {}).get("id") or (((doc.get("predicate") or {}).get("runDetails") or {}).get("builder") or {}).get("id")
-        return [(doc.get("predicateType"), builder, s.get("name"), (s.get("digest") or {}).get("sha256")) for s in doc.get("subject") or []]
+        kind = _text(doc.get("predicateType"), "predicateType")
+        return _each(doc.get("subject") or [], lambda s: [(kind, _text(builder, "builder"), _text(s.get("name"), "name"), _text((s.get("digest") or {}).get("sha256"), "digest"))])
 
     return _by_file(files, read, "predicate string, builder string, subject string, digest string")
 
@@ -220,34 +296,59 @@ def _unsafe(name: str) -> bool:
 def members(files: DataFrame) -> DataFrame:
     """path, member, size, content, problem of zip, tar and tar.gz files (path, content): regular members, within the bounds.
 
-    An archive that breaks a bound, or holds a path or link that leads out of it, gives
-    one row with the problem and none of its members.
+    An archive that breaks a bound, or holds a path or link that leads out of it,
+    gives one row with the problem and none of its members. A member that can't be
+    read (encrypted, damaged, of an unknown method) has a problem and no content; the
+    others are read. An archive that can't be opened, or ends too soon, has a row with
+    the problem after the members before.
     """
 
-    def read(body: bytes) -> list[tuple]:
-        if len(body) > ARCHIVE_IN:
-            return [(None, None, None, "too large")]
+    def zipped(body: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(body)) as z:
+            infos = [i for i in z.infolist() if not i.is_dir()]
+            if len(infos) > ARCHIVE_ENTRIES or sum(i.file_size for i in infos) > ARCHIVE_OUT:
+                yield None, None, None, "expands too far"
+            elif any(_unsafe(i.filename) or (i.external_attr >> 28) == 0o12 for i in infos):
+                yield None, None, None, "leads out"
+            else:
+                for i in infos:
+                    try:
+                        yield i.filename, i.file_size, z.read(i), None
+                    except Exception as e:  # noqa: BLE001  each member for itself
+                        yield i.filename, i.file_size, None, f"unreadable: {type(e).__name__}"
+
+    def tarred(body: bytes) -> list[tuple]:
         out, total = [], 0
-        if body[:2] == b"PK":
-            with zipfile.ZipFile(io.BytesIO(body)) as z:
-                infos = [i for i in z.infolist() if not i.is_dir()]
-                if len(infos) > ARCHIVE_ENTRIES or sum(i.file_size for i in infos) > ARCHIVE_OUT:
-                    return [(None, None, None, "expands too far")]
-                if any(_unsafe(i.filename) or (i.external_attr >> 28) == 0o12 for i in infos):
-                    return [(None, None, None, "leads out")]
-                return [(i.filename, i.file_size, z.read(i), None) for i in infos]
-        with tarfile.open(fileobj=io.BytesIO(body)) as t:
-            for m in t:
-                total += m.size
-                if len(out) > ARCHIVE_ENTRIES or total > ARCHIVE_OUT:
-                    return [(None, None, None, "expands too far")]
-                if _unsafe(m.name) or ((m.issym() or m.islnk()) and _unsafe(posixpath.join(posixpath.dirname(m.name) if m.issym() else "", m.linkname))):
-                    return [(None, None, None, "leads out")]
-                if m.isfile():
-                    out.append((m.name, m.size, t.extractfile(m).read(), None))
+        try:
+            with tarfile.open(fileobj=io.BytesIO(body)) as t:
+                for m in t:
+                    total += m.size
+                    if len(out) > ARCHIVE_ENTRIES or total > ARCHIVE_OUT:
+                        return [(None, None, None, "expands too far")]
+                    if _unsafe(m.name) or ((m.issym() or m.islnk()) and _unsafe(posixpath.join(posixpath.dirname(m.name) if m.issym() else "", m.linkname))):
+                        return [(None, None, None, "leads out")]
+                    if m.isfile():
+                        out.append((m.name, m.size, t.extractfile(m).read(), None))
+        except Exception as e:  # noqa: BLE001
+            out.append((None, None, None, f"unreadable: {type(e).__name__}"))
         return out
 
-    return _by_file(files, read, "member string, size long, content binary, problem string", "content")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, body in zip(f["path"], f["content"], strict=True):
+                if body is None or len(body) > ARCHIVE_IN:
+                    rows: Iterable[tuple] = [(None, None, None, "unreadable: no content" if body is None else "too large")]
+                else:
+                    rows = zipped(body) if body[:2] == b"PK" else tarred(body)
+                out = []
+                try:
+                    for row in rows:
+                        out.append((path, *row))
+                except Exception as e:  # noqa: BLE001
+                    out.append((path, None, None, None, f"unreadable: {type(e).__name__}"))
+                yield pd.DataFrame(out, columns=["path", "member", "size", "content", "problem"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, member string, size long, content binary, problem string")
 
 
 def has_pe_magic(content: Column) -> Column:
@@ -291,16 +392,14 @@ def policy(files: DataFrame) -> DataFrame:
     from quarrylens.sources.workflows import read_yaml
 
     def read(text: str) -> list[tuple]:
-        try:
-            doc = read_yaml(text)
-            out = []
-            for section, body in doc.items():
-                if isinstance(body, dict):
-                    out += [(section, str(k), v if isinstance(v, str) else json.dumps(v)) for k, v in body.items()]
-                else:
-                    out += [(section, str(x), None) for x in ([body] if isinstance(body, str) else body or [])]
-            return out
-        except (ValueError, AttributeError, IndexError):
-            return [("warning", "unreadable policy", None)]
+        out = []
+        for section, body in read_yaml(text).items():
+            if isinstance(body, dict):
+                out += [(section, str(k), v if isinstance(v, str) else json.dumps(v)) for k, v in body.items()]
+            else:
+                out += [(section, str(x), None) for x in ([body] if isinstance(body, str) else body or [])]
+        return out
 
-    return _by_file(files, read, "section string, item string, value string")
+    rows = _by_file(files, read, "section string, item string, value string")
+    warning = F.col("problem").isNotNull()
+    return rows.select("path", F.when(warning, "warning").otherwise(F.col("section")).alias("section"), F.when(warning, "unreadable policy").otherwise(F.col("item")).alias("item"), "value")

@@ -114,7 +114,7 @@ def _rows(path: str, text: str | None) -> list[dict]:
             for k, s in enumerate(j.get("steps") or []):
                 out.append(base | {"idx": k, "name": s.get("name"), "uses": s.get("uses"), "run": s.get("run"), "env": base["env"] | _strings(s.get("env")), "inputs": _strings(s.get("with"))})
         return out
-    except (ValueError, AttributeError, IndexError, TypeError):
+    except Exception:  # noqa: BLE001  whatever a file holds, the others are read
         return [none]
 
 
