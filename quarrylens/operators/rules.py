@@ -70,14 +70,22 @@ class Rule:
         """Whether a line (or, with ``spans``, so many lines joined) is a hit."""
         if self.sequences:
             out = reduce(Column.__or__, (x.found(content, self.flags, self.spans > 1) for x in self.sequences))
+        elif self.accept is not None:
+            out = F.exists(self._values(content), self.accept)
         else:
             out = content.rlike(self.regex)
-        if self.accept is not None:
-            out = out & self.accept(F.regexp_extract(content, self.regex, self.group))
         if self.exempt:
             out = out & ~content.rlike(self.exempt)
         return out
 
+    def _values(self, content: Column) -> Column:
+        return F.regexp_extract_all(content, F.lit(self.regex), F.lit(self.group))
+
+    def value(self, content: Column) -> Column:
+        """What ``group`` holds in the first match that is accepted."""
+        values = self._values(content)
+        return F.get(F.filter(values, self.accept) if self.accept is not None else values, F.lit(0))
+
     def possible(self, text: Column) -> Column:
         """Whether a file can hold a hit, told from its whole text: true wherever a line hits."""
         if self.sequences:
