@@ -167,8 +167,16 @@ def as_of(probes: DataFrame, points: DataFrame, key: str, at: str, value: str, s
 
 
 def within(events: DataFrame, ranges: DataFrame, key: str, at: str, span: float | None = None) -> DataFrame:
-    """Events that lie in a range (key, start, stop; ranges of a key don't overlap), found as of their start."""
-    starts = ranges.select(key, F.col("start").alias(at), F.struct("start", "stop").alias("range"))
+    """Events that lie in a range (key, start, stop) of their key, ends included, with the ``range`` of those around them that ends last.
+
+    Ranges may overlap: as of each start the one that ends last so far is kept, and
+    no later end is needed to tell whether an event lies in any. Ranges that end
+    before they start hold nothing.
+    """
+    whole = ranges.where("stop >= start")
+    so_far = Window.partitionBy(key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    longest = F.max(F.struct("stop", "start")).over(so_far)
+    starts = whole.select(key, F.col("start").alias(at), longest.alias("x")).distinct().select(key, at, F.struct(F.col("x.start").alias("start"), F.col("x.stop").alias("stop")).alias("range"))
     return as_of(events, starts, key, at, "range", span).where(F.col("range.stop") >= F.col(at))
 
 

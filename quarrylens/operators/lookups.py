@@ -115,9 +115,7 @@ def changed_only(findings: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """a, b, depth: every b that a needs, by any path of edges(a, b: int); edges must not form a cycle."""
-    return spark.sql(
-        """WITH RECURSIVE r AS (SELECT a, b, 1 AS depth FROM {edges} UNION ALL SELECT r.a, e.b, r.depth + 1 FROM r JOIN {edges} e ON r.b = e.a)
-        SELECT a, b, depth FROM r""",
-        edges=edges,
-    )
+    """a, b, depth: every b that a needs over edges(a, b), with the length of the shortest path; cycles end, long chains work."""
+    from quarrylens.operators import fixpoint
+
+    return fixpoint.closure(edges)

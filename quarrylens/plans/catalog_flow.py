@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import contexts, disclosure
+from quarrylens.operators import contexts, disclosure, flow
 from quarrylens.plans.catalog import query
 from quarrylens.sources import tables
 
@@ -21,8 +21,8 @@ def even(yes: str, no: str) -> F.Column:
     return F.when(F.col("p_size") % 2 == 0, yes).otherwise(no)
 
 
-def third(*lines: str) -> F.Column:
-    return F.element_at(F.array(*map(F.lit, lines)), (F.col("p_partkey") % len(lines) + 1).cast("int"))
+def even_column(yes: F.Column, no: F.Column) -> F.Column:
+    return F.when(F.col("p_size") % 2 == 0, yes).otherwise(no)
 
 
 @query("""SELECT 'part' || p_partkey::VARCHAR || '/a.js' AS path, e.line::INT AS line, e.context FROM part, (VALUES
@@ -57,3 +57,57 @@ def internal_addresses_in_documents(spark, d):
     docs = tables.files(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), moved.alias("text"))
     only = tuple(r for r in disclosure.families.INTERNAL if r.id == "INTERNAL_PRIVATE_IP")
     return disclosure.scan(docs, only).select("path", "line")
+
+
+# ------------------------------------------------------------------ data flow
+@query("""SELECT 'part' || p_partkey::VARCHAR || '/a.js' AS path, 2::INT AS line, (3 + p_partkey % 6)::INT AS sink_line FROM part WHERE p_size % 2 = 0""")
+def credential_alias_chains(spark, d):
+    """A token that goes over up to five further names; where the size is odd, the name sent is an inner one that shadows it."""
+    chain = [F.when(F.col("p_partkey") % 6 >= k, F.lit(f"  const a{k} = 'x' + a{k - 1};")) for k in range(1, 6)]
+    last = F.concat(F.lit("a"), (F.col("p_partkey") % 6).cast("string"))
+    send = even_column(F.concat(F.lit("  fetch(u, { body: "), last, F.lit(" });")), F.concat(F.lit("  list.map(("), last, F.lit(") => { fetch(u, "), last, F.lit("); });")))
+    return flow.credential_flow(by_part(spark, d, "a.js", "function run{n}(u) {", "  const a0 = process.env.NPM_TOKEN; // secret", *chain, send, "}"))
+
+
+@query("""SELECT 'part' || p_partkey::VARCHAR || '/a.js' AS path, e.line::INT AS line, e.sink::INT AS sink_line FROM part JOIN (VALUES (0, 1, 2), (2, 3, 5), (4, 1, 4), (6, 1, 1)) e(k, line, sink) ON p_partkey % 8 = e.k""")
+def credential_flow_cases(spark, d):
+    cases = [
+        "let t = read('.npmrc');\nhttp.request(t);",
+        "let t = read('.npmrc');\nt = 'none';\nhttp.request(t);",
+        "let t = '';\nif (a) {\n  t = process.env.NODE_AUTH_TOKEN;\n}\nfetch(t);",
+        "function f() { const t = process.env.NPM_TOKEN; }\nfunction g(t) { fetch(t); }\nfetch(t);",
+        "const t = process.env.NPM_TOKEN;\nfunction f() {\n  const o = { k: t };\n  axios.post(u, o);\n}",
+        "// const t = process.env.NPM_TOKEN\nconst t = 'fetch(process.env.NPM_TOKEN)';\nfetch(t.length);".replace("'fetch(process.env.NPM_TOKEN)'", "`a`"),
+        "fetch(u + process.env.NPM_TOKEN)",
+        "const t = process.env.NPM_TOKEN;\nlog(t); fetch(u, { t: 1 });",
+    ]
+    return flow.credential_flow(by_part(spark, d, "a.js", F.element_at(F.array(*map(F.lit, cases)), (F.col("p_partkey") % 8 + 1).cast("int"))))
+
+
+@query("""SELECT 'part' || p_partkey::VARCHAR || '/a.py' AS path, e.line::INT AS line, e.exec::INT AS exec_line FROM part JOIN (VALUES (0, 2, 3), (2, 2, 4), (3, 2, 6), (4, 1, 1), (6, 3, 4)) e(k, line, exec) ON p_partkey % 8 = e.k""")
+def decode_then_exec(spark, d):
+    cases = [
+        "import base64\np = base64.b64decode(s)\nexec(p)",
+        "import base64\np = base64.b64decode(s)\np = 'safe'\nexec(p)",
+        "import base64\np = base64.b64decode(s)\nif x:\n    p = 'safe'; exec(p)",
+        "import base64\np = base64.b64decode(\n  s,\n  # exec(p)\n)\nexec(p, {})",
+        "exec(base64.b64decode(s))",
+        "p = base64.b64decode(s)\nrunner.exec(p); execute(p)",
+        'x = """\n"""\np = b64decode(s)\nq = 1; exec(p); exec(q)',
+        "# p = b64decode(s)\np = 'b64decode(s)'\nexec(p)",
+    ]
+    return flow.decode_then_exec(by_part(spark, d, "a.py", F.element_at(F.array(*map(F.lit, cases)), (F.col("p_partkey") % 8 + 1).cast("int"))))
+
+
+@query("""SELECT 'part' || p_partkey::VARCHAR || '/a.js' AS path, e.line::INT AS line, e.destroy::INT AS destroy_line FROM part JOIN (VALUES (0, 1, 3), (1, 1, 3), (5, 2, 2)) e(k, line, destroy) ON p_partkey % 7 = e.k""")
+def gated_destruction(spark, d):
+    cases = [
+        "const l = navigator.language;\nif (l === 'xx') {\n  fs.rmSync(home); fs.unlinkSync(home);\n}",
+        "const z = Intl.DateTimeFormat().resolvedOptions(); const t = z.timeZone;\nif (t.startsWith('Xx/')) { log(1); {\n  rimraf('/');\n} }",
+        "const l = navigator.language;\nif (l) {\n  fs.rmSync(home);\n}",
+        "const l = navigator.language;\nif (l === 'xx') { log(l); }\nfs.rmSync(home);",
+        "const l = navigator.language;\nif (l === 'xx') {\n" + "\n" * 16 + "  fs.rmSync(home);\n}",
+        "function f() {\n  if (new Date().getTimezoneOffset() < -100) { fs.rmSync(a); }\n}",
+        "const l = navigator.language;\nif (k === 'xx') {\n  fs.rmSync(home);\n}",
+    ]
+    return flow.gated_destruction(by_part(spark, d, "a.js", F.element_at(F.array(*map(F.lit, cases)), (F.col("p_partkey") % 7 + 1).cast("int"))))
