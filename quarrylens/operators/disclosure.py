@@ -28,17 +28,17 @@ def found(files: DataFrame, of: tuple[rules.Rule, ...] = families.INTERNAL) -> D
     In a code file a single-label address counts inside strings and comments only (code
     has member accesses that look alike), in Markdown what stands in code is left out.
     """
-    path, content = F.col("path"), F.col("content")
-    able = files.where(~path.rlike(EXAMPLE)).where(F.exists(F.array(*(F.coalesce(r.possible(F.col("text")), F.lit(False)) for r in of)), lambda x: x))
+    path = F.col("path")
+    able = files.where(~path.rlike(EXAMPLE)).where(F.exists(F.array(*(F.coalesce(r.possible("text"), F.lit(False)) for r in of)), lambda x: x))
     each = contexts.lines(able)
     hits = []
     for r in of:
-        match = r.value(content)
-        row = F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.instr(content, match).alias("start"), match.alias("match"))
-        hits.append(F.when(r.hits(content) & rules._guard(r, path, None), row))
+        match = r.value("content")
+        row = F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.instr("content", match).alias("start"), match.alias("match"))
+        hits.append(F.when(r.hits("content") & F.expr(rules.guard(r)), row))
     # hits first, as contexts are dearer than patterns
     hit = each.select("*", F.explode_outer(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).where("h IS NOT NULL")
-    placed = hit.select("path", "line", "kind", "h.*", contexts.context(content, F.col("h.start"), F.col("kind"), F.col("entry")).alias("context"))
+    placed = hit.select("path", "line", "kind", "h.*", contexts.context(F.col("content"), F.col("h.start"), F.col("kind"), F.col("entry")).alias("context"))
     rule, where = F.col("rule"), F.col("context")
     counts = F.lit(True)
     for name, allowed in COUNTS.items():

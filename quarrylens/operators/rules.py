@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylens.operators.ordered import Sequence
+from quarrylens.operators.ordered import Sequence, quoted
 
 
 @dataclass(frozen=True)
@@ -66,33 +66,34 @@ class Rule:
         head = f"(?{flags})" if flags else ""
         return head + (rf"\A[^\n]*?(?:{self.pattern})" if self.spans > 1 else self.pattern)
 
-    def hits(self, content: Column) -> Column:
-        """Whether a line (or, with ``spans``, so many lines joined) is a hit."""
-        if self.sequences:
-            out = reduce(Column.__or__, (x.found(content, self.flags, self.spans > 1) for x in self.sequences))
-        elif self.accept is not None:
-            out = F.exists(self._values(content), self.accept)
-        else:
-            out = content.rlike(self.regex)
-        if self.exempt:
-            out = out & ~content.rlike(self.exempt)
-        return out
-
-    def _values(self, content: Column) -> Column:
+    def _exempt(self, content: str) -> str:
+        return f" AND NOT {content} RLIKE {quoted(self.exempt)}" if self.exempt else ""
+
+    def hits(self, content: str) -> Column:
+        """Whether a line (or, with ``spans``, so many lines joined), a column, is a hit."""
+        if self.accept is not None:
+            return F.exists(self._values(content), self.accept) & F.expr("true" + self._exempt(content))
+        own = " OR ".join(x.found(content, self.flags, self.spans > 1) for x in self.sequences) or f"{content} RLIKE {quoted(self.regex)}"
+        return F.expr(f"({own})" + self._exempt(content))
+
+    def _values(self, content: str) -> Column:
         return F.regexp_extract_all(content, F.lit(self.regex), F.lit(self.group))
 
-    def value(self, content: Column) -> Column:
+    def value(self, content: str) -> Column:
         """What ``group`` holds in the first match that is accepted."""
         values = self._values(content)
         return F.get(F.filter(values, self.accept) if self.accept is not None else values, F.lit(0))
 
-    def possible(self, text: Column) -> Column:
-        """Whether a file can hold a hit, told from its whole text: true wherever a line hits."""
+    def possible(self, text: str) -> Column:
+        """Whether a file, by its column of text, can hold a hit: true wherever a line hits."""
         if self.sequences:
-            return reduce(Column.__or__, (x.possible(text, self.flags) for x in self.sequences))
+            return F.expr(" OR ".join(x.possible(text, self.flags) for x in self.sequences))
         if re.search(r"\\[AzZG]", self.pattern):
             return F.lit(True)
-        return text.rlike(f"(?m{self.flags}{'s' if self.spans > 1 else ''}){self.pattern}")
+        return F.expr(f"{text} RLIKE {quoted(f"(?m{self.flags}{'s' if self.spans > 1 else ''}){self.pattern}")}")
+
+    def finding(self) -> str:
+        return f"named_struct('rule', {quoted(self.id)}, 'severity', {quoted(self.severity)}, 'confidence', {float(self.confidence)}D)"
 
 
 def validated(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
@@ -116,15 +117,16 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("text", "\n")).alias("i", "content")).select("path", (F.col("i") + 1).alias("line"), "content")
 
 
-def _guard(rule: Rule, path: Column, text: Column | None) -> Column:
-    out = F.lit(True)
+def guard(rule: Rule, path: str = "path", text: str | None = None) -> str:
+    """The rule's conditions on a file, as SQL over its columns."""
+    out = ["true"]
     if rule.only_path:
-        out = out & path.rlike(rule.only_path)
+        out.append(f"{path} RLIKE {quoted(rule.only_path)}")
     if rule.not_path:
-        out = out & ~path.rlike(rule.not_path)
+        out.append(f"NOT {path} RLIKE {quoted(rule.not_path)}")
     if rule.requires and text is not None:
-        out = out & text.rlike(rule.requires)
-    return out
+        out.append(f"{text} RLIKE {quoted(rule.requires)}")
+    return " AND ".join(out)
 
 
 def line_hits(files: DataFrame, rules: tuple[Rule, ...] = DEFAULT, scope: Callable[[Rule], Column] | None = None) -> DataFrame:
@@ -135,8 +137,8 @@ def line_hits(files: DataFrame, rules: tuple[Rule, ...] = DEFAULT, scope: Callab
     none isn't split. Spans of lines are cut from the file's own row, so nothing is
     shuffled.
     """
-    text = F.col("text")
-    allowed = F.array(*(_guard(r, F.col("path"), text) & (scope(r) if scope else F.lit(True)) & F.coalesce(r.possible(text), F.lit(False)) for r in rules))
+    tried = (F.expr(guard(r, "path", "text")) for r in rules)
+    allowed = F.array(*(F.coalesce((scope(r) & g if scope else g) & r.possible("text"), F.lit(False)) for r, g in zip(rules, tried, strict=True)))
     guarded = files.select("path", "text", allowed.alias("allowed")).where(F.exists("allowed", lambda a: a))
     split = guarded.select("path", "allowed", F.split("text", "\n").alias("lines"))
     widths = sorted({r.spans for r in rules if r.spans > 1})
@@ -149,12 +151,7 @@ def line_hits(files: DataFrame, rules: tuple[Rule, ...] = DEFAULT, scope: Callab
         return F.struct(x.alias("content"), *spans)
 
     each = split.select("path", "allowed", F.posexplode(F.transform("lines", entry)).alias("i", "x")).select("path", "allowed", "i", "x.*")
-    hits = F.array(
-        *(
-            F.when(F.element_at("allowed", k + 1) & r.hits(F.col("content" if r.spans == 1 else f"span{r.spans}")), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence")))
-            for k, r in enumerate(rules)
-        )
-    )
+    hits = F.array(*(F.when(F.expr(f"element_at(allowed, {k + 1})") & r.hits("content" if r.spans == 1 else f"span{r.spans}"), F.expr(r.finding())) for k, r in enumerate(rules)))
     # the outer form, as Spark would evaluate all rules once more to leave out lines without a hit before a plain explode
     found = each.select("path", (F.col("i") + 1).alias("line"), "content", F.explode_outer(F.filter(hits, lambda h: h.isNotNull())).alias("h")).where("h IS NOT NULL")
     return found.select("path", "line", "content", "h.rule", "h.severity", "h.confidence")

@@ -1,9 +1,10 @@
 """Workflow documents: YAML text to jobs and steps as rows, and what their structure gives away.
 
-A small reader of the YAML that workflows are written in (mappings, sequences, block
-and quoted scalars, flow lists) runs once a file in the tasks; everything after it is
-DataFrame work on its rows. A text that it cannot read gives no row and counts as
-unreadable in ``coverage``.
+A small reader of the YAML that workflows are written in runs once a file in the
+tasks; everything after it is DataFrame work on its rows. A text that it cannot read
+gives no row and counts as unreadable in ``coverage``. Where a line stands (in a
+command, an environment or elsewhere) is told from the lines' indents alone, also in
+files that can't be read.
 """
 
 from __future__ import annotations
@@ -15,81 +16,185 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-_KEY = re.compile(r"""^("[^"]*"|'[^']*'|[^\s#'"\[\]{},][^#]*?)\s*:(?:\s+(.*))?$""")
 SCHEMA = "path string, triggers array<string>, listens array<string>, permissions string, job string, needs array<string>, job_permissions string, gate string, idx int, name string, uses string, run string, env map<string,string>, inputs map<string,string>, ok boolean"
 
 
-def _scalar(text: str):
-    text = text.strip()
-    if text[:1] in "\"'" and text[-1:] == text[:1] and len(text) > 1:
-        return text[1:-1]
-    if text.startswith("[") and text.endswith("]"):
-        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
-    if text.startswith("{") and text.endswith("}"):
-        return {k.strip(): _scalar(v) for k, _, v in (x.partition(":") for x in text[1:-1].split(",") if x.strip())}
-    return re.sub(r"\s+#.*$", "", text)
+_KEY = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^\s#'"\[\]{},&*!|>%@`-][^#]*?|-[^\s#][^#]*?|<<)\s*:(?=\s|$)""")
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
+#: Collections within one another at most; deeper documents are unreadable.
+DEEPEST = 60
 
 
-def read_yaml(text: str):
-    """Nested dicts, lists and strings of a document; raises ValueError where a line fits nowhere."""
-    lines = [(len(x) - len(x.lstrip(" ")), x.strip(), x) for x in text.replace("\t", "  ").split("\n")]
-    at = 0
+def _unquoted(text: str) -> str:
+    if text[0] == "'":
+        return text[1:-1].replace("''", "'")
+    return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), text[1:-1], flags=re.S)
+
+
+class _Yaml:
+    """One document, block by block; ``self.at`` is the next line. Lines are (indent, text without indent and comment, whole)."""
 
-    def skip() -> None:
-        nonlocal at
-        while at < len(lines) and (not lines[at][1] or lines[at][1].startswith("#") or lines[at][1] == "---"):
-            at += 1
+    def __init__(self, text: str):
+        whole = text.replace("\r", "").replace("\t", "  ").split("\n")
+        self.lines = [(len(x) - len(x.lstrip(" ")), x.strip(" "), x) for x in whole]
+        self.at, self.anchors = 0, {}
 
-    def block_scalar(indent: int, folded: bool) -> str:
-        nonlocal at
+    def skip(self) -> bool:
+        """To the next line that says something; whether there is one."""
+        while self.at < len(self.lines) and (not self.lines[self.at][1] or self.lines[self.at][1][0] == "#" or self.lines[self.at][1] in ("---", "...")):
+            self.at += 1
+        return self.at < len(self.lines)
+
+    def block_text(self, indent: int, folded: bool) -> str:
         out = []
-        while at < len(lines) and (not lines[at][1] or lines[at][0] > indent):
-            out.append(lines[at][2])
-            at += 1
+        while self.at < len(self.lines) and (not self.lines[self.at][1] or self.lines[self.at][0] > indent):
+            out.append(self.lines[self.at][2])
+            self.at += 1
         depth = min((len(x) - len(x.lstrip(" ")) for x in out if x.strip()), default=0)
         return (" " if folded else "\n").join(x[depth:] for x in out).rstrip()
 
-    def value(rest: str | None, indent: int):
-        if rest is not None and re.match(r"^[|>][-+0-9]*$", rest.strip()):
-            return block_scalar(indent, rest.strip()[0] == ">")
-        if rest and rest.strip() and not rest.strip().startswith("#"):
-            return _scalar(rest)
-        skip()
-        if at < len(lines) and (lines[at][0] > indent or (lines[at][0] == indent and lines[at][1].startswith("- "))):
-            return node(lines[at][0])
+    def more(self, indent: int) -> str:
+        """The next line, which continues a scalar or flow collection; none that stands further left."""
+        if self.at >= len(self.lines) or (self.lines[self.at][1] and self.lines[self.at][0] <= indent):
+            raise ValueError("it doesn't end")
+        self.at += 1
+        return self.lines[self.at - 1][1]
+
+    def scalar(self, rest: str, indent: int, depth: int):
+        """The value that begins with ``rest``, which may go on over further lines."""
+        if rest[0] == "&":
+            name, _, rest = rest[1:].partition(" ")
+            self.anchors[name] = value = self.value(rest.strip(), indent, depth)
+            return value
+        if rest[0] == "*":
+            return self.anchors[rest[1:].split()[0]]
+        if rest[0] == "!":
+            return self.value(rest.partition(" ")[2].strip(), indent, depth)
+        if rest[0] in "|>":
+            if not re.match(r"[|>][-+0-9]*\s*(?:#.*)?$", rest):
+                raise ValueError(rest)
+            return self.block_text(indent, rest[0] == ">")
+        if rest[0] in "\"'":
+            pattern = re.compile(r""""(?:\\.|[^"\\])*"|'(?:''|[^'])*'""", re.S)
+            while not (m := pattern.match(rest)):
+                rest += " " + self.more(indent)
+            if rest[m.end() :].strip() and not re.match(r"\s+#", rest[m.end() :]):
+                raise ValueError(rest)
+            return _unquoted(m[0])
+        if rest[0] in "[{":
+            parts = [rest]
+            while True:
+                value, left = self.flow("\n".join(parts), depth)
+                if left is not None:
+                    break
+                parts.append(self.more(indent))
+            if left.strip() and not left.strip().startswith("#"):
+                raise ValueError(left)
+            return value
+        out = [re.sub(r"\s+#.*$", "", rest)]
+        # a plain scalar goes on over lines that stand further right, none of them a key
+        while self.at < len(self.lines) and self.lines[self.at][1] and self.lines[self.at][0] > indent and not _KEY.match(self.lines[self.at][1]) and self.lines[self.at][1][0] != "#" and "#" not in rest[len(out[0]) :]:
+            out.append(re.sub(r"\s+#.*$", "", self.more(indent)))
+        return " ".join(out)
+
+    def flow(self, text: str, depth: int):
+        """(value, what follows) of a flow collection; (None, None) where the text ends too soon."""
+        token = re.compile(r"""\s*(?:\#[^\n]*\s*)?([\[\]{},]|:(?=[\s,\[\]{}"']|$)|"(?:\\.|[^"\\])*"|'(?:''|[^'])*'|(?:[^\s\[\]{},:#"']|:(?![\s,\[\]{}]|$)|[ \t](?=[^\s\[\]{},:#])|\#)+)""", re.S)
+        stack: list = []
+        at, key, last = 0, None, None
+        keys: list = []
+        while m := token.match(text, at):
+            at, t = m.end(), m[1]
+            if t in "[{":
+                if depth + len(stack) > DEEPEST:
+                    raise ValueError("too deep")
+                stack.append([] if t == "[" else {})
+                keys.append(key)
+                key = last = None
+            elif t in "]},":
+                top = stack[-1]
+                if key is not None:
+                    pair = {key: last[0] if last else None}
+                    top.append(pair) if isinstance(top, list) else top.update(pair)
+                elif last:
+                    top.append(last[0]) if isinstance(top, list) else top.update({str(last[0]): None})
+                key = last = None
+                if t != ",":
+                    if (t == "]") != isinstance(top, list):
+                        raise ValueError(text)
+                    last, key = (stack.pop(),), keys.pop()
+                    if not stack:
+                        return last[0], text[at:]
+            elif t == ":":
+                key, last = str(last[0]) if last else "", None
+            else:
+                if last:
+                    raise ValueError(text)
+                last = (_unquoted(t) if t[0] in "\"'" else self.anchors[t[1:]] if t[0] == "*" else t.strip(),)
+        if text[at:].strip() and not text[at:].strip().startswith(("#", '"', "'")):
+            raise ValueError(text)
+        return None, None
+
+    def value(self, rest: str, indent: int, depth: int):
+        """What stands after a key or a dash: on its line, or below it, further right (a sequence also as far left as its key)."""
+        if rest and rest[0] != "#":
+            return self.scalar(rest, indent, depth)
+        if self.skip() and (self.lines[self.at][0] > indent or (self.lines[self.at][0] == indent and re.match(r"-(?:\s|$)", self.lines[self.at][1]))):
+            return self.node(self.lines[self.at][0], depth + 1)
         return None
 
-    def node(indent: int):
-        nonlocal at
-        skip()
-        if lines[at][1].startswith("- ") or lines[at][1] == "-":
+    def node(self, indent: int, depth: int = 0):
+        if depth > DEEPEST:
+            raise ValueError("too deep")
+        text = self.lines[self.at][1]
+        if re.match(r"-(?:\s|$)", text):
             items = []
-            while at < len(lines) and lines[at][0] == indent and (lines[at][1].startswith("- ") or lines[at][1] == "-"):
-                rest = lines[at][1][1:].strip()
-                if _KEY.match(rest) and not rest.startswith(("'", '"')):
-                    inner = indent + 2
-                    lines[at] = (inner, rest, " " * inner + rest)
-                    items.append(node(inner))
+            while self.skip() and self.lines[self.at][0] == indent and (m := re.match(r"-(?:\s+|$)", self.lines[self.at][1])):
+                rest = self.lines[self.at][1][m.end() :]
+                inner = indent + m.end()
+                if re.match(r"-(?:\s|$)", rest) or _KEY.match(rest):
+                    # what follows the dash is a node of its own, as if the dash were blanks
+                    self.lines[self.at] = (inner, rest, " " * inner + rest)
+                    items.append(self.node(inner, depth + 1))
                 else:
-                    at += 1
-                    items.append(value(rest, indent))
-                skip()
+                    self.at += 1
+                    items.append(self.value(rest, indent, depth))
             return items
-        out = {}
-        while at < len(lines) and lines[at][0] == indent:
-            m = _KEY.match(lines[at][1])
+        if not _KEY.match(text):
+            self.at += 1
+            return self.scalar(text, indent - 1, depth)
+        out: dict = {}
+        while self.skip() and self.lines[self.at][0] == indent:
+            m = _KEY.match(self.lines[self.at][1])
             if not m:
-                raise ValueError(lines[at][1])
-            at += 1
-            out[_scalar(m[1])] = value(m[2], indent)
-            skip()
-        if at < len(lines) and lines[at][0] > indent:
-            raise ValueError(lines[at][1])
+                raise ValueError(self.lines[self.at][1])
+            self.at += 1
+            key, value = m[1], self.value(self.lines[self.at - 1][1][m.end() :].strip(), indent, depth)
+            if key == "<<":
+                for other in value if isinstance(value, list) else [value]:
+                    out = dict(other) | out
+            else:
+                out[_unquoted(key) if key[0] in "\"'" else key] = value
+        if self.at < len(self.lines) and self.lines[self.at][0] > indent:
+            raise ValueError(self.lines[self.at][1])
         return out
 
-    skip()
-    return node(lines[at][0]) if at < len(lines) else {}
+
+def read_yaml(text: str):
+    """Nested dicts, lists and strings of a document; raises ValueError where a line fits nowhere.
+
+    Block and flow collections, plain, quoted and block scalars over any number of
+    lines, comments, anchors, aliases and merge keys are read; a second document isn't.
+    """
+    y = _Yaml(text)
+    if not y.skip():
+        return {}
+    out = y.node(y.lines[y.at][0])
+    if y.skip():
+        raise ValueError(y.lines[y.at][1])
+    return out
 
 
 def _strings(x) -> dict[str, str]:
@@ -203,3 +308,58 @@ def consumers(rows: DataFrame) -> DataFrame:
     named = rows.where("job IS NULL").select(F.col("path").alias("producer"), F.col("name").alias("wanted"))
     pairs = runs.join(named, "wanted").join(many(down, "consumer"), "consumer").join(many(up, "producer"), "producer")
     return pairs.where(F.col("consumer_any") | F.col("producer_any") | F.arrays_overlap("consumer_names", "producer_names")).select("consumer", "producer")
+
+
+# ------------------------------------------------------------------ regions
+_LINE_KEY = r"^\s*((?:-\s+)*)[\"']?([\w-]+)[\"']?\s*:(?:\s+(.*))?$"
+#: Keys whose value is run.
+RUN_KEYS = ("run", "script")
+
+
+def _spans(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """path, start, stop (lines) of what stands below each head (path, line, column): up to the next line that doesn't stand further right.
+
+    Each line meets the columns of its file's heads, which are a few; the line that
+    ends a head's span is the next one of those at or left of its column.
+    """
+    columns = heads.select("path", "column").distinct()
+    ends = lines.join(columns, "path").where("indent <= column").select("path", "column", "line")
+    following = F.lead("line").over(Window.partitionBy("path", "column").orderBy("line"))
+    spans = ends.withColumn("next", following).join(heads.select("path", "line", "column"), ["path", "column", "line"])
+    return spans.select("path", (F.col("line") + 1).cast("long").alias("start"), F.coalesce(F.col("next") - 1, F.lit(1 << 40)).cast("long").alias("stop")).where("stop >= start")
+
+
+def regions(files: DataFrame) -> DataFrame:
+    """path, line, content, region of the lines that aren't blank: exec (part of a command), env (set as data) or other.
+
+    What stands below a command is part of it whatever it looks like.
+    """
+    from quarrylens.operators.assess import within
+
+    each = files.select("path", F.posexplode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n")).alias("i", "content")).where("trim(content) <> ''")
+    bare = F.regexp_replace("content", r"(?:^|\s+)#.*$", "")
+    lines = each.select("path", (F.col("i") + 1).cast("long").alias("line"), "content", F.length(F.regexp_extract("content", r"^ *", 0)).alias("indent"), bare.alias("bare"))
+    key, value = F.regexp_extract("bare", _LINE_KEY, 2), F.trim(F.regexp_extract("bare", _LINE_KEY, 3))
+    keyed = lines.select("path", "line", (F.col("indent") + F.length(F.regexp_extract("bare", _LINE_KEY, 1))).alias("column"), key.alias("key"), value.alias("value"))
+    runs = keyed.where(F.col("key").isin(*RUN_KEYS))
+    at_once = runs.where("value <> '' AND NOT value RLIKE '^[|>][0-9+-]*$'").select("path", "line")
+    below = within(lines.select("path", "line"), _spans(lines, runs), "path", "line").select("path", "line")
+    executed = at_once.union(below).distinct().withColumn("executed", F.lit(True))
+    marked = keyed.join(executed, ["path", "line"], "left").where("key = 'env' AND executed IS NULL")
+    data = within(lines.select("path", "line"), _spans(lines, marked.where("value = ''")), "path", "line").select("path", "line").union(marked.where("value <> ''").select("path", "line"))
+    both = lines.join(executed, ["path", "line"], "left").join(data.distinct().withColumn("data", F.lit(True)), ["path", "line"], "left")
+    return both.select("path", "line", "content", F.when(F.col("executed"), "exec").when(F.col("data"), "env").otherwise("other").alias("region"))
+
+
+#: Rules of the workflow family that speak of the structure; the others of what is run.
+STRUCTURAL = ("GHA_OIDC_WRITE_PERM", "GHA_CACHE_POISONING", "GHA_BASE64_PAYLOAD")
+
+
+def rule_hits(files: DataFrame) -> DataFrame:
+    """path, line, rule, severity: the workflow rules' hits, those on commands in commands only."""
+    from quarrylens.operators import families, rules
+
+    hits = rules.line_hits(files, families.WORKFLOW)
+    own = files.join(hits.select("path").distinct(), "path", "left_semi")
+    placed = hits.join(regions(own).select("path", F.col("line").cast("int").alias("line"), "region"), ["path", "line"])
+    return placed.where(F.col("rule").isin(*STRUCTURAL) | (F.col("region") == "exec")).select("path", "line", "rule", "severity")
