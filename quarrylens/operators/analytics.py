@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrylens.functions.scalars import dimension_weight, risk_level, round_half_up, score_weight, severity_rank
 
@@ -62,6 +63,28 @@ def incidents(findings: DataFrame, clusters: DataFrame) -> DataFrame:
     return met.where((F.col("n_rules") >= F.col("min_match")) & (F.col("has_required") | ~F.col("needs_any"))).select("target", "cluster", "n_rules", "confidence")
 
 
+def correlated(findings: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings with boosted confidence and the cluster that came last, incidents with the confidence that their findings had by then).
+
+    clusters: seq, cluster, rule, required, needs_any, min_match, boost. The clusters
+    that a target meets are gone through by seq; each adds its boost to the confidence
+    (0.8 where unknown, 1 at most) of its findings, so a finding in two of them is
+    boosted twice, and the later average sees the earlier boost. findings: target,
+    seq (unique in the target), rule, confidence.
+    """
+    met = incidents(findings, clusters).select("target", "cluster", "n_rules")
+    base = findings.select("target", F.col("seq").alias("finding"), "rule", F.coalesce("confidence", F.lit(0.8)).alias("base"))
+    of_cluster = clusters.select("seq", "cluster", "rule", "boost").distinct()
+    pairs = base.join(of_cluster, "rule").join(met, ["target", "cluster"])
+    order = Window.partitionBy("target", "finding").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    # boosts are positive, so the capped running sum is the running sum, capped
+    stepped = pairs.withColumn("now", F.least(F.lit(1.0), F.col("base") + F.sum("boost").over(order)))
+    found = stepped.groupBy("target", "seq", "cluster", "n_rules").agg(F.avg("now").alias("confidence"), F.count("*").alias("n_findings"))
+    last = stepped.groupBy("target", "finding").agg(F.max_by("now", "seq").alias("now"), F.max_by("cluster", "seq").alias("correlation"))
+    out = findings.join(last.withColumnRenamed("finding", "seq"), ["target", "seq"], "left").withColumn("confidence", F.coalesce("now", "confidence")).drop("now")
+    return out, found.withColumn("confidence", F.least(F.lit(1.0), "confidence"))
+
+
 def shared_rules(findings: DataFrame, least_targets: int = 3) -> DataFrame:
     """rule, n_targets, confidence of rules found in several targets."""
     out = findings.groupBy("rule").agg(F.countDistinct("target").alias("n_targets")).where(F.col("n_targets") >= least_targets)

