@@ -217,11 +217,12 @@ def freshness(published: Column, now: str) -> Column:
 def confusion(packages: DataFrame, internal: str, hallucinated: tuple[str, ...], now: str) -> DataFrame:
     """package, rule, severity of declared packages (package, exists, published, downloads, scripts): names that an outsider could or did take."""
     own, made_up = F.col("package").rlike(internal), F.col("package").isin(*hallucinated)
-    fresh = freshness(F.col("published"), now).isin("hot", "cooldown")
-    flags = fresh.cast("int") + (F.col("downloads") < 100).cast("int") + F.col("scripts").cast("int")
+    # what isn't known counts neither for a package nor against it
+    fresh = F.col("published").isNotNull() & freshness(F.col("published"), now).isin("hot", "cooldown")
+    flags = fresh.cast("int") + F.coalesce((F.col("downloads") < 100).cast("int"), F.lit(0)) + F.coalesce(F.col("scripts").cast("int"), F.lit(0))
     rule = (
         F.when(made_up, _finding("DEP_HALLUCINATED_PACKAGE", "high"))
-        .when(~F.col("exists"), _finding("DEPCONF_NOT_ON_REGISTRY", "high"))
+        .when(~F.coalesce("exists", F.lit(True)), _finding("DEPCONF_NOT_ON_REGISTRY", "high"))
         .when(own, _finding("DEP_INTERNAL_NAME_PUBLIC", F.when(flags >= 2, "critical").otherwise("high")))
         .when(flags >= 2, _finding("DEP_SUSPICIOUS_METADATA", F.when(flags == 3, "high").otherwise("medium")))
     )
@@ -332,15 +333,26 @@ def setup_context(files: DataFrame) -> DataFrame:
     return files.where(has(r"cmdclass\s*=") & has(r"\b(?:os\.system|subprocess|urlopen|requests\.)")).select("path")
 
 
+# Options of package tools whose value is the next word.
+VALUED = "--prefix|--registry|--cwd|--dir|--workspace|--filter|--cache|--tag|--index-url|--extra-index-url|--find-links|--requirement|--constraint|--target|--python|-C|-w|-r|-c|-t|-f"
+_BEFORE = r"^\s*(?:(?:sudo|env|command|time|nice|exec)\s+(?:-\S+\s+)*|\w+=\S*\s+)*(?:python[\d.]*\s+-m\s+)?"
+_INSTALL = r"^(?:npm (?:i|in|install|add)|yarn (?:global )?add|pnpm (?:i|install|add)|bun (?:i|install|add)|pip[\d.]* install)(?=\s|$)"
+
+
 def install_specs(command: Column) -> Column:
-    """name and version of each package that an install command names; options and other commands give none."""
-    words = F.split(F.trim(command), r"\s+")
-    is_install = command.rlike(r"^\s*(?:npm (?:i|install|add)|yarn add|pnpm add|pip install)\b")
-    specs = F.filter(F.slice(words, 3, F.size(words)), lambda w: ~w.startswith("-") & ~w.rlike(r"^(?:\.|/|https?:|git\+)"))
+    """name and version of each package that install commands name; other commands, options and their values give none.
+
+    Commands follow one another by &&, || and ;. What runs another command (sudo,
+    env, settings of variables) is passed over.
+    """
+    one = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), _BEFORE, ""), rf"\s(?:{VALUED})(?:=|\s+)\S+|\s-i\s+https?:\S+", " "), r"\s--?[\w-]+(?:=\S*)?(?=\s|$)", " ")
+    plain = lambda c: F.regexp_replace(one(c), r"\s+", " ")
+    installs = F.filter(F.transform(F.split(command, r"&&|\|\|?|;"), plain), lambda c: c.rlike(_INSTALL))
+    words = F.flatten(F.transform(installs, lambda c: F.split(F.trim(F.regexp_replace(c, _INSTALL, "")), " ")))
+    specs = F.filter(words, lambda w: (w != "") & ~w.startswith("-") & ~w.rlike(r"^(?:\.|/|https?:|git\+)"))
     at = lambda w: F.regexp_extract(w, r"^(@?[^@=<>~]+)(?:@|==)?(.*)$", 1)
     version = lambda w: F.regexp_extract(w, r"^@?[^@=<>~]+(?:@|==)(.*)$", 1)
-    none = F.array().cast("array<struct<name:string,version:string>>")
-    return F.when(is_install, F.transform(specs, lambda w: F.struct(at(w).alias("name"), version(w).alias("version")))).otherwise(none)
+    return F.transform(specs, lambda w: F.struct(at(w).alias("name"), version(w).alias("version")))
 
 
 def guard(commands: DataFrame, bad: DataFrame) -> DataFrame:

