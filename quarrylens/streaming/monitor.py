@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def tumbling(events: DataFrame, at: str = "ts", width: str = "1 hour", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
@@ -89,3 +91,66 @@ def memos(transactions: DataFrame, programs: tuple[str, ...]) -> DataFrame:
 def once(events: DataFrame, key: str = "event_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
     """Each event once: by id within the watermark on a stream, over all rows on a static frame."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+
+
+class Watch(StatefulProcessor):
+    """State of one watched key: the newest event seen and a timer for its silence.
+
+    Frames of a batch are taken one after the other. Rows that ``read`` refuses give
+    one error row for the key and batch; the key's other rows, and other keys, go on.
+    The first batch with a readable row only sets the state.
+    """
+
+    def __init__(self, read: Callable[[pd.DataFrame], pd.DataFrame], quiet_ms: int):
+        self.read, self.quiet_ms = read, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen = pd.Timestamp(self.newest.get()[0]) if self.newest.exists() else None
+        newest, error = seen, None
+        for frame in rows:
+            try:
+                good, refused = self.read(frame), None
+            except Exception as e:  # noqa: BLE001  a poisoned key must not stop the others
+                good, refused = frame.iloc[:0], type(e).__name__
+                for k in range(len(frame)):
+                    with contextlib.suppress(Exception):
+                        good = pd.concat([good, self.read(frame.iloc[k : k + 1])])
+            error = error or refused
+            if len(good):
+                top = pd.Timestamp(good["at"].max())
+                if seen is not None:
+                    fresh = good[good["at"] > seen].drop_duplicates(["at", "what"]).sort_values(["at", "what"])
+                    if len(fresh):
+                        yield self._rows(key, fresh["at"], "alert", fresh["what"])
+                newest = top if newest is None else max(newest, top)
+        if error:
+            yield self._rows(key, [newest], "error", [error])
+        if newest is not None and newest != seen:
+            self.newest.update((newest,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(newest.timestamp() * 1000) + self.quiet_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._rows(key, [pd.Timestamp(self.newest.get()[0])], "silent", [None])
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _rows(key, at, kind: str, detail) -> pd.DataFrame:  # noqa: ANN001
+        return pd.DataFrame({"key": key[0], "at": list(at), "kind": kind, "detail": list(detail)})
+
+
+def watched(events: DataFrame, read: Callable[[pd.DataFrame], pd.DataFrame], key: str = "user_id", at: str = "ts", late: str = "10 minutes", quiet_ms: int = 3_600_000) -> DataFrame:
+    """key, at, kind (alert, error, silent), detail of a stream: news of each key, what could not be read, and keys that fell silent.
+
+    ``read`` turns rows of a key into columns at and what. A key is silent when the
+    watermark passes its newest event by ``quiet_ms``. Needs the RocksDB state store.
+    """
+    grouped = events.withWatermark(at, late).groupBy(key)
+    return grouped.transformWithStateInPandas(statefulProcessor=Watch(read, quiet_ms), outputStructType="key long, at timestamp, kind string, detail string", outputMode="append", timeMode="eventtime")
