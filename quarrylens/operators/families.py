@@ -77,6 +77,16 @@ PYPI = validated((
     _rule("PYPI_GIT_DEPENDENCY", "medium", r"\bgit\+https?://"),
     _rule("PYPI_ENV_EXFIL", "critical", in_order(r"\brequests\.(?:post|get)\s*\(|urlopen\s*\(", r"os\.environ", gap=120)),
     _rule("PYPI_HOST_EXFIL", "high", in_order(r"\brequests\.(?:post|get)\s*\(|urlopen\s*\(", r"gethostname|getpass\.getuser|platform\.node", gap=120)),
+    _rule("PYPI_EXEC_ENCODED", "critical", in_order(r"\bexec\s*\(", r"\.decode\s*\(|\bfromhex\s*\(|\bunhexlify\s*\(", gap=80)),
+    _rule("PYPI_EVAL_ENCODED", "critical", in_order(r"\beval\s*\(", r"\bb64decode\s*\(|\bfromhex\s*\(|\bunhexlify\s*\(|\bcodecs\.decode\s*\(", gap=80)),
+    _rule("PYPI_EXEC_MARSHAL", "critical", in_order(r"\bexec\s*\(", r"\bmarshal\.loads\s*\(", gap=60)),
+    _rule("PYPI_IMPORT_BASE64", "high", r"__import__\s*\(\s*['\"]base64"),
+    _rule("PYPI_IMPORT_CODECS", "medium", r"__import__\s*\(\s*['\"]codecs"),
+    _rule("PYPI_IMPORT_MARSHAL", "high", r"__import__\s*\(\s*['\"]marshal"),
+    _rule("PYPI_URLLIB_FETCH", "high", r"\burl(?:open|retrieve)\s*\(\s*[frb]?['\"]https?:"),
+    _rule("PYPI_REQUESTS_FETCH", "medium", r"\brequests\.\w+\s*\(\s*[frb]?['\"]https?:"),
+    _rule("PYPI_SUSPICIOUS_INDEX", "critical", r"(?<!extra)-index-url[ =]+https?://(?!(?:test\.)?pypi\.org)"),
+    _rule("PYPI_INSTALL_CLASS_OVERRIDE", "medium", r"^\s*class\s+\w+\s*\(\s*(?:\w+\.)*(?:install|develop|egg_info|build_py|sdist)\s*\)"),
 ))
 
 PYPI_HOOK = validated(tuple(
@@ -90,12 +100,20 @@ BEACON_MINER = validated((
     _rule("MINER_BINARY", "critical", r"\b(?:xmrig|minerd|cpuminer|nbminer)\b", flags="i"),
     _rule("MINER_POOL_CONFIG", "high", r"[\"'](?:pool|pool_address)[\"']\s*:\s*[\"'][^\"']+:\d{2,5}[\"']", flags="i"),
     _rule("PROTESTWARE_GEO", "critical", in_order(r"(?:geoip|ipapi|ipinfo|country_code)", r"\b(?:rmSync|unlinkSync|rimraf|rm -rf)\b", gap=400, across=True), spans=8, flags="i"),
+    _rule("BEACON_TIMEOUT_FETCH", "medium", in_order(r"\bsetTimeout\s*\(", SEND, gap=160), flags="i"),
+    _rule("BEACON_WEBSOCKET_EXTERNAL", "medium", r"\bWebSocket\s*\(\s*['\"`]wss?://(?!localhost|127\.|\[?::1)"),
+    _rule("MINER_POOL_DOMAIN", "critical", r"\b(?:minexmr|nanopool|supportxmr|hashvault|moneroocean|2miners|nicehash)\.[a-z]{2,8}\b", flags="i"),
+    _rule("MINER_LIBRARY_REF", "critical", r"\b(?:coin-?hive|crypto-?loot|cryptonight|webminerpool)\b", flags="i"),
+    _rule("MINER_CONFIG_KEYS", "high", in_order(r"['\"](?:donate-level|rig-id|cpu-priority)['\"]\s*:", r"['\"](?:url|user|wallet)['\"]\s*:", across=True), spans=6),
 ))
 
 BUILD_TOOL = validated((
     _rule("BUILD_PLUGIN_EXEC", "high", in_order(r"\bplugins?\b", r"child_process|execSync", gap=200), flags="i", only_path=r"(?i)(webpack|rollup|vite|babel|gulpfile)[^/]*\.(js|ts|mjs|cjs)$"),
     _rule("BUILD_REMOTE_FETCH", "high", SEND + r"\s*\(\s*['\"]https?://", flags="i", only_path=r"(?i)(webpack|rollup|vite|babel|gulpfile)[^/]*\.(js|ts|mjs|cjs)$"),
     _rule("MONOREPO_ROOT_HOOK", "medium", r"\"(?:pre|post)install\"\s*:", flags="i", only_path=r"(^|/)package\.json$", requires=r"\"workspaces\""),
+    _rule("BUILD_ENV_EXFIL", "critical", in_order(SEND, r"\bprocess\.env\b"), only_path=r"(?i)(webpack|rollup|vite|babel|gulpfile)[^/]*\.(js|ts|mjs|cjs)$"),
+    _rule("BUILD_DYNAMIC_REQUIRE", "medium", r"\brequire\s*\(\s*[A-Za-z_$][\w$.]*\s*[+)]", only_path=r"(?i)(webpack|rollup|vite|babel|gulpfile)[^/]*\.(js|ts|mjs|cjs)$"),
+    _rule("WORKSPACE_PRIVATE_PUBLISH", "high", r"\"publishConfig\"\s*:", only_path=r"(^|/)package\.json$", requires=r"\"private\"\s*:\s*true"),
 ))
 
 OBFUSCATION = validated((
@@ -106,6 +124,9 @@ OBFUSCATION = validated((
     _rule("OBF_SPLIT_STRING", "medium", r"(?:'\w{1,2}' ?\+ ?){4,}'|(?:\"\w{1,2}\" ?\+ ?){4,}\""),
     _rule("OBF_NESTED_DECODE", "critical", in_order(r"\batob\s*\(", r"\batob\s*\(", gap=20)),
     _rule("OBF_PROXY_TRAP", "high", in_order(r"\bnew\s+Proxy\s*\(", r"\b(?:eval|exec|fetch)\b", gap=400, across=True), spans=6),
+    _rule("WASM_SUSPICIOUS", "medium", r"\bWebAssembly\.(?:instantiate|compile)\s*\(\s*(?:Buffer\b|new\s+Uint8Array|Uint8Array\b|atob\b)"),
+    _rule("STEGANOGRAPHY_DECODE", "high", in_order(r"\bgetImageData\s*\(", r"\bfromCharCode\b|\beval\s*\(|\bFunction\s*\(", across=True), spans=6),
+    _rule("CODE_RUNTIME_DEOBFUSCATION", "high", in_order(r"\.split\s*\(\s*(?:''|\"\")\s*\)", r"\.reverse\s*\(\s*\)", r"\.join\s*\(", gap=30)),
 ))
 
 IAC = validated((
@@ -120,6 +141,15 @@ INFOSTEALER = validated((
     _rule("STEALER_WALLET_PATH", "critical", r"(?i)\b(?:wallet\.dat|Exodus[\\/]+exodus\.wallet|MetaMask|\.config[\\/]+solana[\\/]+id\.json)"),
     _rule("STEALER_DEAD_DROP", "high", in_order(SEND, r"pastebin\.com/raw|gist\.githubusercontent\.com|t\.me/", gap=120), flags="i"),
     _rule("DROPPER_TEMP_WRITE", "high", in_order(r"\bwriteFile(?:Sync)?\s*\(", r"tmpdir\s*\(|/tmp/|%TEMP%", gap=120)),
+    _rule("DEAD_DROP_STEAM", "critical", r"\bsteamcommunity\.com/(?:id|profiles)/\w"),
+    _rule("DEAD_DROP_TELEGRAM", "critical", r"\bapi\.telegram\.org/bot|\b(?:t|telegram)\.me/[A-Za-z]\w{3}"),
+    _rule("DEAD_DROP_PASTEBIN", "high", r"\b(?:pastebin\.com|paste\.ee|rentry\.co)/(?:raw|r)?/?\w"),
+    _rule("DEAD_DROP_DNS_TXT", "medium", in_order(r"\bresolveTxt\s*\(", r"\beval\s*\(|\batob\s*\(|\bBuffer\.from\s*\(", gap=160)),
+    _rule("VIDAR_BROWSER_THEFT", "high", in_order(r"Login Data|Web Data|cookies\.sqlite|logins\.json", r"\bCryptUnprotectData\b|\bkey4\.db\b|\bsqlite3?\b")),
+    _rule("VIDAR_WALLET_THEFT", "high", in_order(r"(?i:\b(?:electrum|exodus|atomic|metamask|phantom)\b)", r"(?i:\bwallets?\b|\bkeystore\b|\bleveldb\b)", gap=80)),
+    _rule("PROXY_BACKCONNECT", "high", in_order(r"\bsocks[45]?\b", r"\b(?:back-?connect|reverse|relay)\b", gap=80), flags="i"),
+    _rule("DROPPER_ANTIVM", "high", in_order(r"\b(?:vmware|virtualbox|vboxservice|qemu|sandboxie)\b", r"\b(?:process|sys|os)\._?exit\b", gap=160), flags="i"),
+    _rule("DROPPER_SLEEP_EVASION", "high", r"\b(?:setTimeout|sleep|Start-Sleep)\b[^\n]{0,80}?\b\d{6}"),
 ))
 
 LURE = validated((
@@ -127,6 +157,8 @@ LURE = validated((
     Rule("LURE_PASSWORD_ARCHIVE", "high", r"\b(?:archive|zip|rar)\b[^\n]{0,40}\bpassword\b", flags="i", only_path=r"(?i)\.(md|txt|rst)$"),
     Rule("LURE_CRACK", "medium", r"\b(?:crack(?:ed)?|keygen|activator)\b", flags="i", only_path=r"(?i)\.(md|txt|rst)$"),
     Rule("LURE_RUN_AS_ADMIN", "medium", r"run[^\n]{0,20}as (?:an )?administrator", flags="i", only_path=r"(?i)\.(md|txt|rst)$"),
+    Rule("README_LURE_LEAKED", "high", r"\bleaked\b[^\n]{0,30}\b(?:source|code|build|model|weights)\b", flags="i", only_path=r"(?i)\.(md|txt|rst)$"),
+    Rule("README_LURE_URGENCY", "medium", in_order(r"\bdownload\b", r"\b(?:hurry|limited time|taken down|while you can)\b", gap=80), flags="i", only_path=r"(?i)\.(md|txt|rst)$"),
 ))
 
 PROMPT_INJECTION = validated((
@@ -231,12 +263,22 @@ WORKFLOW = validated((
     Rule("GHA_SELF_MODIFY", "critical", in_order(r"(?:>|\btee\b|\bcp\b|\bsed\s+-i)", r"\.github/workflows/"), **_FLOW),
 ))
 
+_EDITOR = {"only_path": r"\.(js|ts|mjs|cjs)$", "requires": r"['\"]vscode['\"]"}
 VSCODE = validated((
     _rule("VSCODE_EXEC", "high", r"\b(?:child_process|execSync|spawn)\b", only_path=r"\.(js|ts)$"),
     _rule("VSCODE_TERMINAL_SEND", "high", in_order(r"\bcreateTerminal\b|\bterminal\b", r"\.sendText\s*\(", gap=80), only_path=r"\.(js|ts)$"),
     _rule("VSCODE_SECRET_STORAGE", "medium", r"\bcontext\.secrets\.get\s*\(", only_path=r"\.(js|ts)$"),
     _rule("VSCODE_STARTUP_ACTIVATION", "low", r"\"activationEvents\"\s*:\s*\[[^\]]*\"\*\"", only_path=r"(^|/)package\.json$"),
     _rule("VSCODE_HEX_NAMES", "medium", r"\b_0x[0-9a-f]{4,}\b", only_path=r"\.(js|ts)$"),
+    _rule("VSCODE_EVAL", "high", r"\beval\s*\(", **_EDITOR),
+    _rule("VSCODE_FUNCTION_CONSTRUCTOR", "high", r"\bnew\s+Function\s*\(", **_EDITOR),
+    _rule("VSCODE_CHILD_PROCESS", "medium", r"['\"](?:node:)?child_process['\"]", **_EDITOR),
+    _rule("VSCODE_NETWORK", "low", r"\brequire\s*\(\s*['\"](?:node:)?(?:https?|net|tls|dgram)['\"]", **_EDITOR),
+    _rule("VSCODE_ENV_ACCESS", "low", r"\bprocess\.env\b", **_EDITOR),
+    _rule("VSCODE_FILE_WRITE", "low", r"\bfs\.(?:promises\.)?(?:write|append|createWrite)\w*\s*\(", **_EDITOR),
+    _rule("VSCODE_BASE64", "medium", r"\batob\s*\(|,\s*['\"]base64['\"]\s*\)", **_EDITOR),
+    _rule("VSCODE_CHARCODE", "medium", r"\bfromCharCode\s*\(", **_EDITOR),
+    _rule("VSCODE_HEX_STRINGS", "medium", r"(?:\\x[0-9a-fA-F]{2}){6}", **_EDITOR),
 ))
 
 
