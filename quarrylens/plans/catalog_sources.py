@@ -200,7 +200,7 @@ def agent_frontmatter(spark, d):
 
 @sampled_query("policy_items", "section, item, value", [("t0", "disable", "RULE_A", None), ("t0", "severity", "RULE_B", "low"), ("t1", "warning", "unreadable policy", None)])
 def policy_items(spark, d):
-    return formats.policy(_sampled(spark, d, ["disable:\n  - RULE_A\nseverity:\n  RULE_B: low\n", "a: b\n   c"]))
+    return formats.policy(_sampled(spark, d, ["disable:\n  - RULE_A\nseverity:\n  RULE_B: low\n", "a: b\n   c: d"]))
 
 
 @sampled_query("late_commits", "hash", [("t0", "h1")])

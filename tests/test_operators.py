@@ -142,7 +142,7 @@ def test_unreadable_documents_give_no_rows(spark):
 
     bad = spark.createDataFrame([("f", "{"), ("g", None)], "path string, text string")
     assert formats.npm_lock_v1(bad).count() == formats.bun_lock(bad).count() == formats.pyproject(bad).count() == 0
-    assert workflows.steps(spark.createDataFrame([("f", "a: b\n   c")], "path string, text string")).where("ok").count() == 0
+    assert workflows.steps(spark.createDataFrame([("f", "a: b\n   c: d")], "path string, text string")).where("ok").count() == 0
 
 
 @pytest.mark.parametrize("span", [None, 1, 10, 1000])
