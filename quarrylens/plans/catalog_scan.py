@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators import analytics, assess, indicators, rules, scan
 from quarrylens.plans.catalog import LINES, ORDERS, WEIGHT, query
-from quarrylens.sources import documents, sinks, tables, workflows
+from quarrylens.sources import documents, formats, sinks, tables, workflows
 
 _FLOW = "on: push\npermissions:\n  contents: read\njobs:\n  b:\n    steps:\n      - env:\n          X: curl https://x.test | sh\n        run: |\n          curl https://x.test | sh\n"
 #: (files, what is found: line, rule, severity, detector, condition on the part).
@@ -144,3 +144,36 @@ def report_sarif_locations(spark, d):
 def report_json_rows(spark, d):
     """One JSON object a finding."""
     return sinks.json_rows(tables.order_findings(spark, d).select("target", "seq", "rule", "severity", "file"))
+
+
+# ------------------------------------------------------------------ readers over rows of the tables
+@query("""SELECT CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'M' ELSE 'R' END AS status, 'src/' || o_orderkey::VARCHAR || '.js' AS path FROM orders WHERE o_orderkey % 7 <> 0""")
+def changed_files_of_orders(spark, d):
+    """A name-status diff with a line for each order: added, changed and renamed files count, deleted ones don't."""
+    own = F.format_string("src/%d.js", "o_orderkey")
+    status = F.when(F.col("o_orderkey") % 7 == 0, "D").when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "M").otherwise("R100\told.js")
+    return formats.changed_paths(tables.table(spark, d, "orders").select(F.concat_ws("\t", status, own).alias("value")))
+
+
+@query("""SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'domain' WHEN 1 THEN 'package' ELSE 'hash' END AS type, 'v' || p_partkey::VARCHAR AS value, CASE WHEN p_size % 2 = 0 THEN 'high' END AS severity, true AS accepted FROM part WHERE p_size % 5 <> 0 AND p_partkey % 11 <> 0
+  UNION ALL SELECT CASE p_size % 3 WHEN 0 THEN 'domain' WHEN 1 THEN 'package' ELSE 'hash' END, CASE WHEN p_partkey % 11 <> 0 THEN '' ELSE NULL END, CASE WHEN p_size % 2 = 0 THEN 'high' END, false FROM part WHERE p_size % 5 = 0 OR p_partkey % 11 = 0""")
+def feed_of_parts(spark, d):
+    """A payload for each part: entries with an empty value or none are kept apart."""
+    kind = F.when(F.col("p_size") % 3 == 0, "domain").when(F.col("p_size") % 3 == 1, "package").otherwise("hash")
+    value = F.when(F.col("p_partkey") % 11 == 0, F.lit(None)).when(F.col("p_size") % 5 == 0, "").otherwise(F.format_string("v%d", "p_partkey"))
+    entry = F.struct(kind.alias("type"), value.alias("value"), F.when(F.col("p_size") % 2 == 0, "high").alias("severity"))
+    payload = F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.array(entry))).otherwise(F.to_json(F.struct(F.array(entry).alias("entries"))))
+    rows = tables.table(spark, d, "part").select(payload.alias("value"))
+    return formats.feed(rows).withColumn("accepted", F.lit(True)).union(formats.quarantined(rows).withColumn("accepted", F.lit(False)))
+
+
+@query("""SELECT 's' || s_suppkey::VARCHAR || '/after.yml' AS consumer, 's' || s_suppkey::VARCHAR || '/ci.yml' AS producer FROM supplier WHERE s_suppkey % 3 <> 1""")
+def workflow_graph_of_suppliers(spark, d):
+    """A workflow for each supplier takes what its own CI made: by the same name, by another one, or by one that is known in the run only."""
+    up = "name: CI {n}\non: push\njobs:\n  b:\n    steps:\n      - uses: actions/upload-artifact@v4\n        with:\n          name: out\n"
+    down = "name: After\non:\n  workflow_run:\n    workflows: ['CI {n}']\njobs:\n  b:\n    steps:\n      - uses: actions/download-artifact@v4\n        with: { name: '{a}' }\n"
+    name = F.element_at(F.array(F.lit("out"), F.lit("other"), F.lit("${{ inputs.name }}")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    both = F.explode(F.array(F.struct(F.lit("ci.yml").alias("file"), F.lit(up).alias("text")), F.struct(F.lit("after.yml").alias("file"), F.replace(F.lit(down), F.lit("{a}"), name).alias("text"))))
+    rows = tables.table(spark, d, "supplier").select("s_suppkey", both.alias("x"))
+    files = rows.select(F.format_string("s%d/%s", "s_suppkey", "x.file").alias("path"), F.replace("x.text", F.lit("{n}"), F.col("s_suppkey").cast("string")).alias("text"))
+    return workflows.consumers(workflows.steps(files))
