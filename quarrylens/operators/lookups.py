@@ -85,6 +85,25 @@ def similar_pairs(names: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a < b").select("a", "b").distinct().where(osa_at_most_one(F.col("a"), F.col("b")))
 
 
+# Fixed value: shorter names are one edit from almost any other.
+SIMILAR_LEAST = 4
+
+
+def similar_dependencies(deps: DataFrame, known: DataFrame) -> DataFrame:
+    """target, name, other: dependencies (target, pos, name) of one target within one edit of each other; known(name) can't be the odd one.
+
+    A name is paired with the first such other by pos, and a pair is told once, by
+    the name that comes first. Scoped names and short ones are left out.
+    """
+    able = deps.where((F.length("name") >= SIMILAR_LEAST) & ~F.col("name").startswith("@")).groupBy("target", "name").agg(F.min("pos").alias("pos"))
+    keyed = able.select("target", "name", "pos", F.explode(deletion_keys(F.col("name"))).alias("key"))
+    other = keyed.select("target", "key", F.col("name").alias("other"), F.col("pos").alias("other_pos"))
+    close = keyed.join(known.select("name").distinct(), "name", "left_anti").join(other, ["target", "key"]).where((F.col("name") != F.col("other")) & osa_at_most_one(F.col("name"), F.col("other")))
+    first = close.groupBy("target", "name", "pos").agg(F.min(F.struct("other_pos", "other")).alias("o"))
+    pair = F.struct(F.least("name", "o.other").alias("a"), F.greatest("name", "o.other").alias("b"))
+    return first.withColumn("pair", pair).groupBy("target", "pair").agg(F.min(F.struct("pos", "name", "o.other")).alias("x")).select("target", "x.name", "x.other")
+
+
 def minus_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings without a baseline row of the same rule, file and line (nulls count as empty)."""
     same = F.col("f.rule").eqNullSafe(F.col("b.rule")) & F.col("f.file").eqNullSafe(F.col("b.file")) & F.col("f.line").eqNullSafe(F.col("b.line"))

@@ -39,6 +39,18 @@ def forecast(history: DataFrame, key: str, order: str, value: str, tail: int = 1
     return out.withColumn("ahead", F.col("current") + horizon * F.col("slope"))
 
 
+# The score from which a risk is critical, and the slope of a steep rise.
+CRITICAL, STEEP = 60, 5
+
+
+def forecast_warnings(history: DataFrame, key: str, order: str, value: str, least: int = 3) -> DataFrame:
+    """key, warning (crosses or rises), ahead: keys whose value goes over CRITICAL within the horizon, or else rises by more than STEEP a step."""
+    out = forecast(history, key, order, value).where(F.col("n") >= least)
+    ahead = F.floor(F.col("ahead") + 0.5)
+    warning = F.when((ahead > CRITICAL) & (F.col("current") <= CRITICAL), "crosses").when(F.col("slope") > STEEP, "rises")
+    return out.select(key, warning.alias("warning"), ahead.cast("long").alias("ahead")).where("warning IS NOT NULL")
+
+
 def capped_history(history: DataFrame, key: str, order: str, rows: int = 100) -> DataFrame:
     newest = Window.partitionBy(key).orderBy(F.col(order).desc())
     return history.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= rows).drop("_rn")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import analytics, assess, indicators, rules, scan
+from quarrylens.operators import analytics, assess, indicators, lookups, rules, scan, timeseries
 from quarrylens.plans.catalog import LINES, ORDERS, WEIGHT, query
 from quarrylens.sources import documents, formats, sinks, tables, workflows
 
@@ -177,3 +177,24 @@ def workflow_graph_of_suppliers(spark, d):
     rows = tables.table(spark, d, "supplier").select("s_suppkey", both.alias("x"))
     files = rows.select(F.format_string("s%d/%s", "s_suppkey", "x.file").alias("path"), F.replace("x.text", F.lit("{n}"), F.col("s_suppkey").cast("string")).alias("text"))
     return workflows.consumers(workflows.steps(files))
+
+
+@query("""WITH d AS (SELECT p_size AS target, 'lib' || (p_partkey * 7 % 143)::VARCHAR AS name, min(p_partkey) AS pos FROM part GROUP BY 1, 2),
+  c AS (SELECT a.target, a.name, a.pos, b.name AS other, row_number() OVER (PARTITION BY a.target, a.name ORDER BY b.pos) AS rn FROM d a JOIN d b ON a.target = b.target AND a.name <> b.name AND damerau_levenshtein(a.name, b.name) = 1
+    WHERE length(a.name) >= 4 AND length(b.name) >= 4 AND NOT ends_with(a.name, '1')),
+  p AS (SELECT *, row_number() OVER (PARTITION BY target, least(name, other), greatest(name, other) ORDER BY pos) AS k FROM c WHERE rn = 1)
+  SELECT target, name, other FROM p WHERE k = 1""")
+def similar_dependencies(spark, d):
+    """Names within one target, their order by key; names that end in 1 are known ones."""
+    name = F.format_string("lib%d", F.col("p_partkey") * 7 % 143)
+    deps = tables.table(spark, d, "part").select(F.col("p_size").alias("target"), F.col("p_partkey").alias("pos"), name.alias("name"))
+    return lookups.similar_dependencies(deps, deps.where("name LIKE '%1'").select("name"))
+
+
+@query("""WITH h AS (SELECT o_custkey AS key, o_orderkey AS i, o_orderkey % 61 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back FROM orders),
+  f AS (SELECT key, count(*) AS n, max_by(v, i)::DOUBLE AS current, regr_slope(v::DOUBLE, -back::DOUBLE) AS slope FROM h WHERE back <= 10 GROUP BY 1),
+  a AS (SELECT *, floor(current + 5 * slope + 0.5)::BIGINT AS ahead FROM f WHERE n >= 3)
+  SELECT key, CASE WHEN ahead > 60 AND current <= 60 THEN 'crosses' ELSE 'rises' END AS warning, ahead FROM a WHERE (ahead > 60 AND current <= 60) OR slope > 5""")
+def forecast_warnings(spark, d):
+    o = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 61).alias("v"))
+    return timeseries.forecast_warnings(o, "key", "i", "v")
