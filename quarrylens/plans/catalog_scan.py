@@ -40,9 +40,10 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
     return scan.findings(repositories(spark, d), bad)
 
 
-@query(f"SELECT 'part' || p_partkey::VARCHAR AS target, line, rule, severity, detector FROM ({FOUND})")
+@query(f"SELECT 'part' || p_partkey::VARCHAR AS target, coalesce(line, 0) AS line, rule, severity, detector FROM ({FOUND})")
 def scan_findings(spark, d):
-    return _found(spark, d).select(F.substring_index("path", "/", 1).alias("target"), "line", "rule", "severity", "detector")
+    """Findings of whole files have line 0."""
+    return _found(spark, d).select(F.substring_index("path", "/", 1).alias("target"), F.coalesce("line", F.lit(0)).alias("line"), "rule", "severity", "detector")
 
 
 @query(f"""WITH f AS ({FOUND}), s AS (SELECT p_partkey, least(100, sum(w)) AS score, sum(n) AS n, max_by(severity, w) AS worst FROM (
