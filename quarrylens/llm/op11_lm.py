@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +75,8 @@ def counted(train: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words, shapes = (np.concatenate(x) for x in zip(*held, strict=True))
-            word, first, n = np.unique(words, return_index=True, return_counts=True)
-            return batch(word, shapes[first], n)
+            found = pa.table({"word": words, "shape": shapes}).group_by("word", use_threads=False).aggregate([("shape", "min"), ("word", "count")])
+            return batch(*(found.column(c).to_numpy() for c in ("word", "shape_min", "word_count")))
 
         def batch(word: np.ndarray, shape: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(shape.astype(np.int8)), pa.array(n, pa.int64())], ["word", "shape", "n"])
@@ -127,8 +128,8 @@ class Statistics:
         """(place among the most frequent words, whether it is the word)."""
         if not len(self.words):
             return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return at, self.words[at] == words
+        at = pc.index_in(pa.array(words), value_set=pa.array(self.words))
+        return at.fill_null(0).to_numpy(), at.is_valid().to_numpy(zero_copy_only=False)
 
     def terms(self, known: np.ndarray, n: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """Whether known, log10 of the base's numerator, log10 of the word's part of its shape."""

@@ -142,6 +142,59 @@ def test_gradients(net, monkeypatch):
             assert abs((ends[0] - ends[1]) / (2 * step) - grads[name][at]) < 1e-3 * max(1, abs(grads[name][at]))
 
 
+def test_a_window_takes_few_softmaxes(net, monkeypatch):
+    """Classes with few targets share array operations: a window of few lanes costs a few exp, not one for each class."""
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(np, name)
+
+    monkeypatch.setattr(gru, "np", Counted())
+    rng = np.random.default_rng(6)
+    target = (gru.HEAD_WORDS * rng.random(1000) ** 3).astype(int)
+    gru.Pass(net).output(rng.normal(0, 0.5, (1000, gru.HIDDEN)).astype(np.float32), target, {})
+    assert len(np.unique(target // gru.CLASS_WORDS)) == gru.HEAD_CLASSES
+    assert calls.count("exp") <= gru.HEAD_CLASSES // 2
+
+
+@pytest.mark.parametrize("n", [1, 7, 3000])
+def test_stacks_of_classes_equal_one_softmax_each(net, n):
+    rng = np.random.default_rng(n)
+    target = (gru.START * rng.random(n) ** 3).astype(int)
+    states = rng.normal(0, 2, (n, gru.HIDDEN)).astype(np.float32)
+    grads = {}
+    logp, back = gru.Pass(net).output(states, target, grads)
+    p, want, dww = {k: v.astype(float) for k, v in net.items()}, [], np.zeros(net["ww"].shape)
+    for s, t, b in zip(states.astype(float), target.tolist(), back, strict=True):
+        head = t < gru.HEAD_WORDS
+        kind = t // gru.CLASS_WORDS if head else t - gru.HEAD_WORDS + gru.HEAD_CLASSES
+        e = np.exp(s @ p["wc"] + p["bc"])
+        e /= e.sum()
+        want.append(math.log(e[kind]))
+        e[kind] -= 1
+        own = p["wc"] @ e
+        if head:
+            w = np.exp(s @ p["ww"][kind] + p["bw"][kind])
+            w /= w.sum()
+            want[-1] += math.log(w[t % gru.CLASS_WORDS])
+            w[t % gru.CLASS_WORDS] -= 1
+            own += p["ww"][kind] @ w
+            dww[kind] += np.outer(s, w)
+        assert np.allclose(b, own, atol=1e-4)
+    assert np.allclose(logp, want, atol=1e-4)
+    assert np.allclose(grads["ww"], dww, atol=2e-3)
+
+
+def test_states_are_the_same_when_steps_are_not_kept(net):
+    rng = np.random.default_rng(7)
+    codes, first = rng.integers(0, gru.START, (9, 5)), rng.random((9, 5)) < 0.3
+    h = rng.normal(0, 0.3, (5, gru.HIDDEN)).astype(np.float32)
+    kept, passed = (gru.Pass(net).forward(h, codes, first, keep=k)[0] for k in (True, False))
+    assert (kept == passed).all()
+
+
 def test_averages_by_tokens(spark):
     nets = [(k, k + 1, np.full(3, float(k), "<f4").tobytes()) for k in range(40)]
     df = spark.createDataFrame(nets, "bucket long, tokens long, net binary")
