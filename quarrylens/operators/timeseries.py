@@ -32,11 +32,22 @@ def trend(history: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 
 def forecast(history: DataFrame, key: str, order: str, value: str, tail: int = 10, horizon: int = 5) -> DataFrame:
-    """key, n, current, slope of the last rows and the value it leads to."""
+    """key, n, current, slope of the last rows and the value it leads to.
+
+    The slope is that of REGR_SLOPE. Both it and ``ahead`` are one quotient of sums over differences from the newest
+    value: for whole numbers the sums are exact, so what lies on a limit stays there in whatever order rows come.
+    """
     newest = Window.partitionBy(key).orderBy(F.col(order).desc())
-    last = history.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= tail)
-    out = last.groupBy(key).agg(F.count("*").alias("n"), F.max_by(value, order).cast("double").alias("current"), F.regr_slope(F.col(value).cast("double"), (-F.col("_back")).cast("double")).alias("slope"))
-    return out.withColumn("ahead", F.col("current") + horizon * F.col("slope"))
+    y = F.col(value).cast("double")
+    rows = history.withColumn("_back", F.row_number().over(newest)).withColumn("_rise", y - F.first(y, ignorenulls=True).over(newest))
+    r = F.col("_rise")
+    x = F.when(r.isNotNull(), (-F.col("_back")).cast("double"))
+    out = rows.where(F.col("_back") <= tail).groupBy(key).agg(
+        F.count("*").alias("n"), F.max_by(value, order).cast("double").alias("current"),
+        (F.count(r) * F.sum(x * r) - F.sum(x) * F.sum(r)).alias("_up"), (F.count(r) * F.sum(x * x) - F.sum(x) * F.sum(x)).alias("_run"),
+    )
+    slope, ahead = F.try_divide("_up", "_run"), F.col("current") + F.try_divide(horizon * F.col("_up"), F.col("_run"))
+    return out.select(key, "n", "current", slope.alias("slope"), ahead.alias("ahead"))
 
 
 # The score from which a risk is critical, and the slope of a steep rise.

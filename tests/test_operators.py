@@ -154,3 +154,16 @@ def test_as_of_is_the_same_in_stretches(spark, span):
     got = sorted(one(assess.as_of(probes, points, "k", "at", "v", span).select("k", "at", "v")), key=str)
     assert got == sorted([("a", 0, None), ("a", 1, 10), ("a", 24, 10), ("a", 25, 20), ("a", 25, 20), ("a", 99, 20), ("b", 4, None), ("b", 5, 50), (None, 7, None), ("a", None, None)], key=str)
     assert assess.as_of(probes.limit(0), points, "k", "at", "v", span).count() == 0
+
+
+def test_forecasts_on_a_limit_are_exact(spark):
+    """The newest value first; exact slopes 17/2, 81/10, 5 and 1/2, and none for one row or none but nulls."""
+    series = {"a": [60, 47, 2, 10, 36], "b": [51, 48, 56, 59, 5], "c": [32, 41, 33, 11, 0, 26], "d": [10**9 + 1, None, 10**9], "e": [7], "f": [None, None]}
+    rows = [(k, -i, v) for k, vs in series.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "k string, i int, v long")
+    got = {r.k: (r.n, r.current, r.slope, r.ahead) for r in timeseries.forecast(df, "k", "i", "v").collect()}
+    assert got["a"] == (5, 60, 8.5, 102.5) and got["b"] == (5, 51, 8.1, 91.5) and got["c"] == (6, 32, 5, 57)
+    assert got["d"] == (3, 10**9 + 1, 0.5, 10**9 + 3.5)
+    assert got["e"] == (1, 7, None, None) and got["f"] == (2, None, None, None)
+    warned = {tuple(r) for r in timeseries.forecast_warnings(df, "k", "i", "v").collect()}
+    assert warned == {("a", "crosses", 103), ("b", "crosses", 92)}
