@@ -159,7 +159,7 @@ def _every(spark: SparkSession, d: str) -> DataFrame:
     each = tables.table(spark, d, "part").select("p_partkey", F.explode(sizes).alias("s")).select("p_partkey", "s.family", (F.col("p_partkey") % F.col("s.n")).alias("k"))
     # a handful of constants
     files = each.join(F.broadcast(rows), ["family", "k"]).select("family", F.format_string("repo%d/%s", "p_partkey", "name").alias("path"), "text")
-    hits = rules.line_hits(files, families.EVERY, scope=lambda r: F.col("family") == scan.FAMILY_OF[r.id])
+    hits = rules.line_hits(files, families.EVERY, scope=lambda r: f"family = '{scan.FAMILY_OF[r.id]}'")
     family = F.create_map(*(F.lit(x) for pair in scan.FAMILY_OF.items() for x in pair))[F.col("rule")]
     return hits.groupBy(family.alias("family"), "rule", "severity").agg(F.count("*").alias("n"))
 
