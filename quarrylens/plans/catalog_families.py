@@ -132,7 +132,7 @@ SAMPLES: dict[str, list[tuple[str, str, dict[int, str]]]] = {
 def sample_files(spark: SparkSession, d: str, samples: list[tuple[str, str, dict[int, str]]]) -> DataFrame:
     """path, text: part k holds the sample k modulo their number."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text, _) in enumerate(samples)], "k long, name string, text string")
-    part = tables.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(samples)).alias("k"))
+    part = tables.spread(tables.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(samples)).alias("k")))
     # a handful of constants
     return part.join(F.broadcast(rows), "k").select(F.format_string("repo%d/%s", "p_partkey", "name").alias("path"), "text")
 
@@ -156,7 +156,7 @@ def _every(spark: SparkSession, d: str) -> DataFrame:
     """All families over the samples of all, in one scan: a rule is tried on the files of its own family."""
     rows = spark.createDataFrame([(f, k, name, text) for f, samples in SAMPLES.items() for k, (name, text, _) in enumerate(samples)], "family string, k long, name string, text string")
     sizes = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(len(s)).alias("n")) for f, s in SAMPLES.items()))
-    each = tables.table(spark, d, "part").select("p_partkey", F.explode(sizes).alias("s")).select("p_partkey", "s.family", (F.col("p_partkey") % F.col("s.n")).alias("k"))
+    each = tables.spread(tables.table(spark, d, "part").select("p_partkey")).select("p_partkey", F.explode(sizes).alias("s")).select("p_partkey", "s.family", (F.col("p_partkey") % F.col("s.n")).alias("k"))
     # a handful of constants
     files = each.join(F.broadcast(rows), ["family", "k"]).select("family", F.format_string("repo%d/%s", "p_partkey", "name").alias("path"), "text")
     hits = rules.line_hits(files, families.EVERY, scope=lambda r: f"family = '{scan.FAMILY_OF[r.id]}'")
